@@ -1,0 +1,27 @@
+"""Joins with small tables supplied by the caller."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: A table of up to this many rows is broadcast; a bigger one is joined by shuffle.
+BROADCAST_ROWS = 200_000
+#: Copies of each row of a big table, to spread a frequent key over tasks.
+SALTS = 16
+
+
+def lookup_join(left: DataFrame, table: DataFrame, key: str, how: str = "left", spread: Column | None = None) -> DataFrame:
+    """Join ``left`` with a lookup table on one key column.
+
+    The table's size is checked first.  Beyond the bound the join is a shuffle
+    join in which each key is split over ``SALTS`` tasks (by ``spread``, a
+    column that varies among rows of one key), because words, countries and
+    the like repeat very unevenly.
+    """
+    if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(table), key, how)
+    by = spread if spread is not None else F.monotonically_increasing_id()
+    salted = left.withColumn("__salt", F.pmod(F.hash(by), F.lit(SALTS)))
+    copies = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [key, "__salt"], how).drop("__salt")
