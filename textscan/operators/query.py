@@ -102,7 +102,9 @@ def field_values(text: Column, query: str) -> Column:
         raise ValueError(f"Invalid query: {query}")
     field, term = parsed.groups()
     regex = field_regex(field).removeprefix("(?d)")
-    ahead = "(?d)(?=.*" + term_regex(term.strip("()")) + f")(?:{regex})"
+    # the pattern is tried first, so that lines are searched for the term only
+    # where an entity begins
+    ahead = f"(?d)(?={regex})(?=.*{term_regex(term.strip('()'))})(?:{regex})"
     return _trimmed(F.regexp_extract_all(text, F.lit(ahead), F.lit(0)))
 
 

@@ -89,7 +89,7 @@ def validate_by_rules(
     passport or tax numbers: adds valid, error and details."""
     table = rules.select(F.col("country").alias(country), "format", "details").dropDuplicates([country])
     joined = lookup_join(df, table, country, "left", F.col(value))
-    ok = F.col(value).rlike(F.concat(F.lit(r"(?d)\A(?:"), F.col("format"), F.lit(")")))
+    ok = F.regexp_like(F.col(value), F.concat(F.lit(r"(?d)\A(?:"), F.col("format"), F.lit(")")))
     error = F.when(F.col("format").isNull(), F.lit(unsupported)).when(~ok, F.lit("Invalid format"))
     return joined.withColumns(
         {

@@ -325,5 +325,5 @@ def checks() -> dict:
         exists(url, "v LIKE '%example%' OR v LIKE '%ssh%'")
         + " AND NOT " + exists(unix, "v LIKE '%etc%'") + " AND (text LIKE '%Id%' OR text LIKE '%write%')",
     )
-    rows("LQ13_nearness", "the+12+lab", "regexp_matches(text, 'the.{0,12}lab')")
+    rows("LQ13_nearness", "the+20+lab", "regexp_matches(text, 'the.{0,20}lab')")
     return out
