@@ -172,17 +172,16 @@ def markable(text: Column, sanitized: bool) -> Column:
 
 
 def marked(text: Column, pattern: Pattern) -> Column:
-    """The text with a mark before and after every match: one regex pass."""
+    """The text with a mark before and after every match, by one regex pass; null
+    if nothing matches, so that no copy of a text without a match is kept."""
     hit = F.regexp_replace(text, F.lit(jvm_regex(pattern)), F.lit(f"{START_MARK}$0{END_MARK}"))
-    if pattern.gate is None:
-        return hit
-    return F.when(text.rlike(to_jvm(pattern.gate)), hit).otherwise(text)
+    kept = let(hit, lambda m: F.when(F.contains(m, F.lit(START_MARK)), m))
+    return kept if pattern.gate is None else F.when(text.rlike(to_jvm(pattern.gate)), kept)
 
 
 def _pieces(marked_text: Column, read: Callable[[Column], Column], type_of_result: str) -> Column:
-    """``read`` of a marked text cut at its start marks; texts without a match
-    are dismissed by a byte search, before anything is cut."""
-    return F.when(F.contains(marked_text, F.lit(START_MARK)), let(F.split(marked_text, START_MARK), read)).otherwise(
+    """``read`` of a marked text cut at its start marks; empty without matches."""
+    return F.when(marked_text.isNotNull(), let(F.split(marked_text, START_MARK), read)).otherwise(
         F.array().cast(type_of_result)
     )
 

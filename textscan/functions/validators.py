@@ -24,7 +24,7 @@ from textscan.functions.checksums import (
     iban_mod97,
     luhn,
 )
-from textscan.functions.regexes import to_jvm
+from textscan.functions.regexes import let, to_jvm
 
 # --- Fixed values: formats, code lists and weights ----------------------------
 EMAIL_FORMAT = r"^[a-zA-Z0-9._%+-]+@(?:[a-zA-Z0-9-]+\.)+[a-zA-Z]{2,63}$"
@@ -300,13 +300,16 @@ def _compact_iban(value: Column) -> Column:
 def is_valid_iban(value: Column, check_length: bool = False) -> Column:
     """Country, check digits and remainder 1 by 97.  ``check_length`` also asks
     for the right length in the countries of the table."""
-    compact = ascii_digits(_compact_iban(value))
-    ok = compact.rlike(IBAN_SHAPE) & (iban_mod97(compact) == 1)
-    if check_length:
+
+    def of(compact: Column) -> Column:
+        ok = compact.rlike(IBAN_SHAPE) & (iban_mod97(compact) == 1)
+        if not check_length:
+            return ok
         lengths = F.create_map(*[F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair])
         expected = F.try_element_at(lengths, compact.substr(1, 2))
-        ok = ok & (expected.isNull() | (F.length(compact) == expected))
-    return known(value, ok)
+        return ok & (expected.isNull() | (F.length(compact) == expected))
+
+    return known(value, let(ascii_digits(_compact_iban(value)), of))
 
 
 def is_bank_account(value: Column) -> Column:
@@ -538,14 +541,18 @@ def validate_as(value: Column, type_name: Column | str) -> Column:
 
 def checked(value: Column, type_name: str) -> Column:
     """struct<valid, error> of a value as the named type."""
+    missing = F.when(value.isNull(), "Missing value")
     if type_name in EXPLAINED:
-        details = EXPLAINED[type_name](value)
-        valid, error = details["valid"], details["error"]
-    else:
-        valid = VALIDATORS[type_name](value)
-        error = F.when(~valid, F.lit("Invalid format"))
-    return F.struct(
-        F.coalesce(valid, F.lit(False)).alias("valid"),
-        F.when(value.isNull(), "Missing value").otherwise(error).alias("error"),
+        return let(
+            EXPLAINED[type_name](value),
+            lambda d: F.struct(
+                F.coalesce(d["valid"], F.lit(False)).alias("valid"), F.coalesce(missing, d["error"]).alias("error")
+            ),
+        )
+    return let(
+        VALIDATORS[type_name](value),
+        lambda ok: F.struct(
+            F.coalesce(ok, F.lit(False)).alias("valid"),
+            F.coalesce(missing, F.when(~ok, F.lit("Invalid format"))).alias("error"),
+        ),
     )
-

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textscan.functions import text as X
 from textscan.functions.regexes import to_jvm
@@ -24,30 +25,38 @@ def word_frequency(df: DataFrame, text: str, by: str | Sequence[str] = ()) -> Da
     return words.groupBy(*by, "word").agg(F.count(F.lit(1)).alias("count"))
 
 
+def _counted(df: DataFrame, text: str, by: list[str], order: str) -> DataFrame:
+    """(by…, word, count, first) where ``first`` orders words by occurrence: the
+    ``order`` of the row, then the place in the text.
+
+    An integer order and the place are packed into one decimal, a fixed-width
+    value that hash aggregation can keep; a struct would make Spark sort all
+    words before counting them.
+    """
+    words = df.select(
+        *by, F.col(order), F.posexplode(F.transform(X.tokenize_words(F.col(text)), F.lower)).alias("pos", "word")
+    )
+    if isinstance(df.schema[order].dataType, T.IntegralType):
+        width = F.lit(2**31).cast("decimal(10,0)")
+        place = F.col(order).cast("decimal(19,0)") * width + F.col("pos").cast("decimal(10,0)")
+    else:
+        place = F.struct(F.col(order), F.col("pos"))
+    return words.groupBy(*by, "word").agg(F.count(F.lit(1)).alias("count"), F.min(place).alias("first"))
+
+
 def top_words(df: DataFrame, text: str, order: str, n: int) -> DataFrame:
     """The n most frequent words; of equals, the one that occurs first (by the
     ``order`` column of its row, then by its place in the text)."""
-    words = df.select(
-        F.col(order), F.posexplode(F.transform(X.tokenize_words(F.col(text)), F.lower)).alias("pos", "word")
-    )
-    counts = words.groupBy("word").agg(
-        F.count(F.lit(1)).alias("count"), F.min(F.struct(F.col(order), F.col("pos"))).alias("first")
-    )
+    counts = _counted(df, text, [], order)
     return counts.orderBy(F.desc("count"), "first").limit(n).select("word", "count")
 
 
 def top_words_by(df: DataFrame, text: str, by: str, order: str, n: int) -> DataFrame:
-    """The n most frequent words of each group, ranked with the same ties."""
-    words = df.select(
-        by, F.col(order), F.posexplode(F.transform(X.tokenize_words(F.col(text)), F.lower)).alias("pos", "word")
-    )
-    counts = words.groupBy(by, "word").agg(
-        F.count(F.lit(1)).alias("count"), F.min(F.struct(F.col(order), F.col("pos"))).alias("first")
-    )
+    """The n most frequent words of each group, ranked with the same ties.  Spark
+    cuts each task's share of a group to n rows before it gathers the group."""
     ranked = Window.partitionBy(by).orderBy(F.desc("count"), "first")
-    return (
-        counts.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= n).select(by, "word", "count", "rank")
-    )
+    counts = _counted(df, text, [by], order).withColumn("rank", F.row_number().over(ranked))
+    return counts.filter(F.col("rank") <= n).select(by, "word", "count", "rank")
 
 
 def ngram_frequency(df: DataFrame, text: str, n: int = 2) -> DataFrame:

@@ -149,13 +149,13 @@ def entities(
     parts = []
     if single:
         base = markable(text, sanitized)
-        texts = F.array(
+        found = F.array(
             *[
-                F.struct(F.lit(label).alias("label"), marked(base, ps[0]).alias("marked"))
+                F.struct(F.lit(label).alias("label"), joined_values(marked(base, ps[0])).alias("values"))
                 for label, ps in single.items()
             ]
         )
-        parts.append(F.transform(texts, lambda x: final(joined_values(x["marked"]), x["label"])))
+        parts.append(F.transform(found, lambda x: final(x["values"], x["label"])))
     if several:
         texts = F.array(
             *[

@@ -20,12 +20,12 @@ def annotate(df: DataFrame, types: Mapping[str, str], suffix: str = "_check") ->
 def validity_report(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
     """Counts by column, validity and error reason.  Each row turns into one
     small struct per column and is counted before the shuffle."""
-    checks = [
-        F.struct(F.lit(c).alias("column"), check["valid"].alias("valid"), check["error"].alias("error"))
-        for c, t in types.items()
-        for check in [V.checked(F.col(c), t)]
-    ]
-    return df.select(F.inline(F.array(*checks))).groupBy("column", "valid", "error").agg(F.count(F.lit(1)).alias("count"))
+    checks = [F.struct(F.lit(c).alias("column"), V.checked(F.col(c), t).alias("check")) for c, t in types.items()]
+    return (
+        df.select(F.inline(F.array(*checks)))
+        .groupBy("column", "check.valid", "check.error")
+        .agg(F.count(F.lit(1)).alias("count"))
+    )
 
 
 def all_valid(types: Mapping[str, str]) -> Column:

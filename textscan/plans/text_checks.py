@@ -320,15 +320,14 @@ def checks() -> dict:
            '| key | name | segment |' || chr(10) || '|---|---|---|' || chr(10) || '| ' || c_custkey || ' | ' || c_name || ' | ' || c_mktsegment || ' |' || chr(10) AS gfm FROM customer""",
     )
     add(
-        "SNK1_concatenate_by_source",
-        lambda spark, d: sinks.concatenate(
+        "SNK1_fenced_blocks",
+        lambda spark, d: sinks.fenced_blocks(
             table(spark, d, "documents").select(
                 F.concat(F.col("source"), F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("path"), "text"
             )
-        ).select("folder", F.md5("content").alias("md5"), F.length("content").alias("length")),
-        """SELECT source AS folder, md5(c) AS md5, CAST(length(c) AS INTEGER) AS length FROM (SELECT source,
-           string_agg('## File: ' || source || '/' || lpad(CAST(doc_id AS VARCHAR), 9, '0') || chr(10) || '```' || chr(10) || text || chr(10) || '```' || chr(10) || chr(10), '' ORDER BY doc_id) AS c
-           FROM documents GROUP BY source)""",
+        ),
+        """SELECT path, '## File: ' || path || chr(10) || '```' || chr(10) || text || chr(10) || '```' || chr(10) || chr(10) AS block
+           FROM (SELECT source || '/' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS path, text FROM documents)""",
     )
     add(
         "CNV1_json_to_csv",

@@ -52,9 +52,10 @@ def spread(df: DataFrame) -> DataFrame:
 
     A small file is one task however costly its rows are.  A big table has more
     splits than cores and is returned as it is, so nothing large is shuffled.
+    Several tasks per core even out rows of very different length.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(4 * cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def _gitignore_regex(lines: Iterable[str]) -> list[tuple[bool, str]]:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,23 +17,35 @@ def fenced(path: Column, text: Column) -> Column:
 
 
 def fenced_blocks(texts: DataFrame) -> DataFrame:
-    """(path, block) of non-empty files, for writing in path order by range
-    partitions: the way to concatenate any number of files."""
+    """(path, block) of non-empty files in path order, over range partitions."""
     kept = texts.filter(F.length("text") > 0)
     return kept.select("path", fenced(F.col("path"), F.col("text")).alias("block")).orderBy("path")
 
 
-def concatenate(texts: DataFrame, folder: Column | None = None) -> DataFrame:
-    """(folder, content): the files of each folder in one text.  A folder's text
-    is one value and must fit a task; use ``fenced_blocks`` beyond that."""
-    by = F.regexp_replace("path", "/[^/]*$", "") if folder is None else folder
-    blocks = texts.filter(F.length("text") > 0).select(
-        by.alias("folder"), "path", fenced(F.col("path"), F.col("text")).alias("block")
-    )
-    ordered = F.array_sort(F.collect_list(F.struct("path", "block")))
-    return blocks.groupBy("folder").agg(
-        F.array_join(F.transform(ordered, lambda b: b["block"]), "").alias("content")
-    )
+def concatenate(texts: DataFrame, part_chars: int = 16_000_000) -> DataFrame:
+    """(part, content): all files in path order as consecutive pieces of one
+    document.
+
+    The document itself may be of any size, so it is never one value: a range
+    sort gives every task a stretch of paths, and each task closes a piece once
+    it holds ``part_chars``.  The pieces in order of ``part`` are the document.
+    """
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number, held, size = 0, [], 0
+        task = -1
+        for batch in batches:
+            for task, block in zip(batch["task"], batch["block"]):
+                held.append(block)
+                size += len(block)
+                if size >= part_chars:
+                    yield pd.DataFrame({"part": [(task << 33) + number], "content": ["".join(held)]})
+                    number, held, size = number + 1, [], 0
+        if held:
+            yield pd.DataFrame({"part": [(task << 33) + number], "content": ["".join(held)]})
+
+    ordered = fenced_blocks(texts).select(F.spark_partition_id().cast("long").alias("task"), "block")
+    return ordered.mapInPandas(gather, "part long, content string")
 
 
 def table_to_markdown(rows: Column, gfm: bool = False) -> Column:
