@@ -1,0 +1,82 @@
+import pytest
+from pyspark.sql import functions as F
+
+from textscan.operators import lookup, model
+from textscan.operators import validation as J
+from textscan.plans import actions
+
+
+@pytest.fixture(scope="module")
+def people(spark):
+    rows = [(1, "123-45-6789", "10.0.0.1"), (2, "000-45-6789", "10.0.0.1"), (3, None, "x"), (4, "123-45-6789", "1.2.3.4")]
+    return spark.createDataFrame(rows, "id int, ssn string, ip string")
+
+
+TYPES = {"ssn": "ssn", "ip": "ipv4"}
+
+
+def test_annotation_report_and_split(people):
+    checked = {r["id"]: r for r in J.annotate(people, TYPES).collect()}
+    assert checked[2]["ssn_check"]["error"] == "Invalid area number" and checked[3]["ssn_check"]["error"] == "Missing value"
+    report = {(r["column"], r["valid"], r["error"]): r["count"] for r in J.validity_report(people, TYPES).collect()}
+    assert report == {("ssn", True, None): 2, ("ssn", False, "Invalid area number"): 1, ("ssn", False, "Missing value"): 1,
+                      ("ip", True, None): 3, ("ip", False, "Invalid format"): 1}
+    good, bad = J.split_valid_rows(people, TYPES)
+    assert sorted(r["id"] for r in good.collect()) == [1, 4] and sorted(r["id"] for r in bad.collect()) == [2, 3]
+
+
+@pytest.mark.parametrize("bound", [200_000, 0])
+def test_lookups_with_and_without_broadcast(spark, monkeypatch, bound):
+    monkeypatch.setattr(lookup, "BROADCAST_ROWS", bound)
+    emails = spark.createDataFrame([(1, "a@b.com"), (2, "a@b.zz"), (3, "bad"), (4, "a@c.COM")], "id int, email string")
+    tlds = spark.createDataFrame([("com",), ("COM",), ("org",)], "tld string")
+    assert sorted(r["id"] for r in J.emails_with_known_tld(emails, "email", tlds).collect()) == [1, 4]
+    rules = spark.createDataFrame([("India", "^[A-Z][0-9]{8}$", "one letter")], "country string, format string, details string")
+    numbers = spark.createDataFrame([(1, "P12345678", "India"), (2, "X", "India"), (3, "P1", "Mars")], "id int, no string, country string")
+    got = {r["id"]: (r["valid"], r["error"], r["details"]) for r in J.validate_by_rules(numbers, "no", "country", rules).collect()}
+    assert got == {1: (True, None, "one letter"), 2: (False, "Invalid format", None), 3: (False, "Country not supported", None)}
+    phones = spark.createDataFrame([(1, "+1 (283) 456-7905"), (2, "+44 2345678901")], "id int, phone string")
+    codes = spark.createDataFrame([("128",)], "code string")
+    assert {r["id"]: r["valid"] for r in J.validate_phone_country(phones, "phone", codes).collect()} == {1: True, 2: False}
+
+
+def test_type_profile(people):
+    got = {r["type"]: (r["values"], r["share"]) for r in J.type_profile(people.filter("id <> 3"), "ip", ["ipv4", "ssn"]).collect()}
+    assert got == {"ipv4": (3, 1.0)}
+
+
+def test_actions(spark, people):
+    df = spark.createDataFrame([(1, "Mail a@b.co NOW")], "id int, text string")
+    assert actions.run(df, "extract", "text", "id", "email").first()["value"] == "a@b.co"
+    assert actions.run(df, "redact", "text", ["email"]).first()["text"] == "Mail [EMAIL] NOW"
+    assert actions.run(df, "normalize", "text", ["to_lowercase", "remove_special_chars"]).first()["text"] == "mail ab.co now"
+    assert actions.run(df, "search", "text", "email:b.co").count() == 1
+    assert actions.run(people, "identify", "ip", ["ipv4"]).first()["types"] == ["ipv4"]
+    assert actions.run(df, "diagnose", "text", "Look").first()["prompt"].startswith("Look\n\nObject: Mail")
+    with pytest.raises(ValueError, match="not defined"):
+        actions.run(df, "nothing")
+
+
+def test_sql_functions(spark):
+    names = actions.register_functions(spark)
+    assert "find_email" in names
+    row = spark.sql("select has_email('x a@b.co') h, find_email('x a@b.co') f, is_date('2024-01-02') d, find_url('it''s http://a') u").first()
+    assert tuple(row) == (True, ["a@b.co"], True, ["http://a"])
+
+
+def test_classifier(spark):
+    samples = model.character_samples(spark, per_class=60)
+    assert samples.count() == 540 and samples.filter(F.length("text") != 15).count() == 0
+    predicted = model.train_and_predict(samples, trees=20, hashed=256).cache()
+    accuracy = predicted.agg(F.avg((F.col("label") == F.col("prediction")).cast("int"))).first()[0]
+    assert accuracy > 0.6
+    report = model.classification_report(predicted).collect()
+    assert sum(r["support"] for r in report) == predicted.count()
+    tiny = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b")], "label string, prediction string")
+    got = {r["label"]: (r["precision"], r["recall"], r["support"]) for r in model.classification_report(tiny).collect()}
+    assert got == {"a": (1.0, 0.5, 2), "b": (0.5, 1.0, 1)}
+
+
+def test_character_counts(spark):
+    df = spark.createDataFrame([("a1 é²!\n",)], "t string")
+    assert df.select(model.character_counts(F.col("t"))).first()[0] == [1, 2, 2, 1]

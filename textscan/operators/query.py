@@ -112,14 +112,14 @@ _TOKEN = re.compile(r'"([^"]*)"|\[(\w+)\sTO\s(\w+)\]|([()])|([^\s()]+)')
 _JOINERS = ("AND", "OR", "NOT", "(")
 
 
-def _sql_string(value: str) -> str:
+def sql_string(value: str) -> str:
     """A SQL string literal without escapes inside."""
     parts = [f"r'{part}'" if part else "''" for part in value.split("'")]
     return "concat(" + ", \"'\", ".join(parts) + ")" if len(parts) > 1 else parts[0]
 
 
 def _matches_sql(column: str, field: str) -> str:
-    found = f"regexp_extract_all({column}, {_sql_string(field_regex(field))}, 0)"
+    found = f"regexp_extract_all({column}, {sql_string(field_regex(field))}, 0)"
     return f"array_distinct(filter(transform({found}, m -> trim(m)), m -> m <> ''))"
 
 
@@ -129,7 +129,7 @@ def _word_sql(word: str, subject: str) -> str:
         regex = f"{term_regex(near[1])}.{{0,{near[2]}}}{term_regex(near[3])}"
     else:
         regex = term_regex(word)
-    return f"{subject} RLIKE {_sql_string('(?d)' + regex)}"
+    return f"{subject} RLIKE {sql_string('(?d)' + regex)}"
 
 
 def _condition_sql(expression: str, subject: str) -> str:
@@ -144,7 +144,7 @@ def _condition_sql(expression: str, subject: str) -> str:
         if paren or word in _JOINERS:
             out.append(paren or word)
         elif quoted:
-            out.append(f"{subject} RLIKE {_sql_string(term_regex(quoted))}")
+            out.append(f"{subject} RLIKE {sql_string(term_regex(quoted))}")
         elif low:
             out.append(f"{subject} RLIKE '[{low}-{high}]'")
         elif field and field[1] in FIELDS:

@@ -99,7 +99,7 @@ def scan(
 ) -> DataFrame:
     """All files below a folder: (path, relative, modificationTime, length,
     content).  Hidden files and folders are skipped; Spark also skips names that
-    begin with an underscore.  Columns that are not used are not read; a content
+    begin with an underscore, and empty files (see ``empty_files``).  Columns that are not used are not read; a content
     is one value in one task, so ``max_bytes`` leaves out giants.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
@@ -114,6 +114,23 @@ def scan(
     return files.filter(gitignore_filter(F.col("relative"), gitignore))
 
 
+def empty_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path) of files without content, which a scan leaves out: the files of the
+    listing that Spark holds anyway, minus those with a row.  Only names travel;
+    an empty folder has no file and cannot be seen."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    listed = spark.createDataFrame([(name,) for name in files.inputFiles()], "path string").select(
+        F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))).alias("path")
+    )
+
+    def comparable(column: str) -> Column:
+        return F.regexp_replace(column, "^file:/+", "file:/")
+
+    return listed.select(comparable("path").alias("path")).join(
+        files.select(comparable("path").alias("path")), "path", "left_anti"
+    )
+
+
 # --- Content ------------------------------------------------------------------------
 
 
