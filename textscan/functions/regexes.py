@@ -41,6 +41,7 @@ START_MARK, END_MARK, MARK_STAND_IN = "\u0001", "\u0002", "\u0003"
 
 
 def _boundary(before: str, after: str) -> str:
+    after = re.sub(r"^(?:\(\?=[^()]*\))+", "", after)  # look-aheads take nothing
     if _WORD_FOLLOWS.match(after) and not _MAY_BE_EMPTY.match(after):
         return _STARTS
     if _WORD_BEFORE.search(before) and not _SYMBOL_ENDING.search(before):

@@ -71,14 +71,14 @@ def top_ngrams(df: DataFrame, text: str, n: int, k: int) -> DataFrame:
 
 
 def sequence_ngrams(
-    df: DataFrame, group: str, order: str, text: str, n: int = 2, chunk: int = 1000
+    df: DataFrame, group: str, order: str, text: str, n: int = 2, chunk: int = 100
 ) -> DataFrame:
     """n-grams that run on from one text of a group to the next, as
     (group, ngram, count).
 
     A group may hold a large share of all rows, so it is never gathered whole:
     rows are cut into chunks of ``chunk`` values of the (non-negative integer)
-    order column, and each chunk is told the next n-1 words by a window that
+    order column, which must not repeat within a group, and each chunk is told the next n-1 words by a window that
     carries only the first n-1 words of every chunk.
     """
     tokens = df.select(

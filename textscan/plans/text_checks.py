@@ -338,6 +338,33 @@ def checks() -> dict:
         """SELECT event_id, json_extract_string(props, '$.k') AS csv, '{"event_id":' || event_id || ',"event_type":"' || event_type || '"}' AS json FROM events""",
     )
 
+    named = "'page' || cast(page_id as string) || CASE page_id % 6 WHEN 0 THEN '.html' WHEN 1 THEN '.TXT' WHEN 2 THEN '.json' WHEN 3 THEN '' WHEN 4 THEN '.png' ELSE '.zip' END"
+    mime = "CASE page_id % 6 WHEN 0 THEN 'text/html' WHEN 1 THEN 'text/plain' WHEN 2 THEN 'application/json' WHEN 3 THEN 'text/plain' WHEN 4 THEN 'image/png' ELSE 'application/zip' END"
+
+    def typed_pages(spark, d):
+        pages = table(spark, d, "pages").selectExpr("page_id", f"{named} AS path", "cast(html as binary) AS content")
+        return pages.select(
+            "page_id", "path", S.mime_type(F.col("path"), F.col("content")).alias("mime"),
+            S.magic_type(F.col("content")).alias("magic"),
+        )
+
+    add(
+        "F8_F9_file_types",
+        lambda spark, d: typed_pages(spark, d).select(
+            "page_id", "mime", *[f.alias(n) for n, f in S.file_flags(F.col("mime")).items() if n in ("is_text", "is_image", "is_archive")]
+        ),
+        f"""SELECT page_id, mime, starts_with(mime, 'text/') AS is_text, mime = 'image/png' AS is_image, mime = 'application/zip' AS is_archive
+            FROM (SELECT page_id, {mime} AS mime FROM pages)""",
+    )
+    add(
+        "F11_validate_file",
+        lambda spark, d: typed_pages(spark, d).select(
+            "page_id", F.inline(S.mismatches(F.col("path"), F.col("mime"), F.col("magic")))
+        ),
+        f"""SELECT page_id, 'MIME vs Content' AS type, mime AS expected, 'text/plain' AS actual
+            FROM (SELECT page_id, {mime} AS mime FROM pages) WHERE mime <> 'text/plain'""",
+    )
+
     # --- model -----------------------------------------------------------------------
     counts = M.character_counts(F.col("text"))
     add(
@@ -359,4 +386,14 @@ def checks() -> dict:
             SELECT label, round(CASE WHEN pr > 0 THEN h / pr ELSE 0 END, 6) AS precision, round(CASE WHEN su > 0 THEN h / su ELSE 0 END, 6) AS recall,
             round(2 * h / (su + pr), 6) AS f1, su AS support FROM s""",
     )
+    add(
+        "M2_M5_classifier",
+        # which column a value comes from, told by its characters
+        lambda spark, d: M.classification_report(
+            M.train_and_predict(
+                table(spark, d, "part").selectExpr("stack(3, p_name, 'name', p_brand, 'brand', p_type, 'type') AS (text, label)"),
+                trees=20, hashed=512,
+            )
+        ),
+    )
     return out
