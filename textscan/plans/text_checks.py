@@ -16,7 +16,7 @@ from textscan.sources import sinks
 W = r"[\p{L}\p{N}_]"
 STOPS = ["the", "of", "and", "to", "in", "de", "la", "le", "et", "und", "der", "is", "that", "que", "en"]
 CORRECTIONS = {"the": "teh", "and": "adn", "la": "al", "Le": "El"}
-PROMPT = "Perform diagnostics and intelligent analysis."
+PROMPT = "Which parts of this text need attention?"
 
 # text with contractions, from the conversations
 SPOKEN = "'I''m ' || role || ': ' || text || ' You can''t, won''t. It''s'"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ipaddress
+
 from pyspark.sql import functions as F
 
 from textscan.functions import checksums as C
@@ -88,6 +90,57 @@ PRIVATE = ["0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0
            "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "240.0.0.0/4"]
 PRIVATE_SQL = f"({in_blocks_sql('value', *PRIVATE)} AND value NOT IN ('192.0.0.9', '192.0.0.10'))"
 
+# IPv6 in SQL: a dotted tail becomes two groups, then groups are counted
+_TAIL = r"(^|:)(" + IPV4_SQL[1:-1] + r")$"
+_V6_BODY = (
+    f"(CASE WHEN {match('value', _TAIL)} THEN regexp_replace(value, {q(IPV4_SQL[1:])}, '') || "
+    "printf('%02x%02x:%02x%02x', " + ", ".join(
+        f"CAST(split_part(regexp_extract(value, {q(IPV4_SQL[1:])}), '.', {i}) AS INTEGER)" for i in range(1, 5)
+    ) + ") ELSE value END)"
+)
+
+
+def _groups_sql(text: str) -> str:
+    return f"list_filter(string_split({text}, ':'), lambda g: g <> '')"
+
+
+IPV6_ROWS = f"""(SELECT id, value, b, {_groups_sql('b')} AS g, {_groups_sql("split_part(b, '::', 1)")} AS l, {_groups_sql("split_part(b, '::', 2)")} AS r
+    FROM (SELECT id, value, {_V6_BODY} AS b FROM {order_values_sql('ipv6')}))"""
+IPV6_SQL = """(len(list_filter(g, lambda x: NOT regexp_matches(x, '^[0-9a-fA-F]{1,4}$'))) = 0 AND NOT contains(b, ':::')
+    AND CASE WHEN contains(b, '::') THEN len(string_split(b, '::')) = 2 AND len(g) <= 7 AND NOT regexp_matches(b, '^:[^:]|[^:]:$')
+        ELSE len(g) = 8 AND NOT regexp_matches(b, '^:|:$') END)"""
+IPV6_HEX = """array_to_string(list_transform(list_concat(l, list_transform(range(0, 8 - len(l) - len(r)), lambda z: '0'), r), lambda x: lpad(lower(x), 4, '0')), '')"""
+
+
+def in_v6_sql(blocks) -> str:
+    ranges = [(f"{int(n[0]):032x}", f"{int(n[-1]):032x}") for n in map(ipaddress.ip_network, blocks)]
+    return "(" + " OR ".join(f"h BETWEEN '{low}' AND '{high}'" for low, high in ranges) + ")"
+
+
+def mapped_sql(blocks) -> str:
+    """Whether ::ffff:a.b.c.d lies in IPv4 blocks, by the same hex digits."""
+    return in_v6_sql([f"::ffff:{b.split('/')[0]}/{96 + int(b.split('/')[1])}" for b in blocks])
+
+
+MAPPED = in_v6_sql(["::ffff:0:0/96"])
+V6_PRIVATE = (
+    f"CASE WHEN {MAPPED} THEN {mapped_sql(PRIVATE)} AND NOT {mapped_sql(['192.0.0.9/32', '192.0.0.10/32'])} "
+    f"ELSE {in_v6_sql(N._PRIVATE_V6)} AND NOT {in_v6_sql(N._NOT_PRIVATE_V6)} END"
+)
+V6_PROPERTIES = {
+    "private": V6_PRIVATE,
+    "public": f"NOT ({V6_PRIVATE})",
+    "loopback": f"{in_v6_sql(['::1/128'])} OR {mapped_sql(['127.0.0.0/8'])}",
+    "multicast": in_v6_sql(["ff00::/8"]),
+    "reserved": in_v6_sql(N._RESERVED_V6),
+}
+
+
+def ipv6_property_sql(family: str) -> str:
+    return f"""SELECT id, CASE WHEN ok THEN {V6_PROPERTIES[family]} ELSE false END AS result
+        FROM (SELECT id, {IPV6_SQL} AS ok, CASE WHEN {IPV6_SQL} THEN {IPV6_HEX} END AS h FROM {IPV6_ROWS})"""
+
+
 ENTROPY = (
     "(CASE WHEN length({v}) = 0 THEN 0.0 ELSE list_sum(list_transform(list_distinct(string_split({v}, '')), "
     "lambda c: -(len(list_filter(string_split({v}, ''), lambda x: x = c)) / length({v})) * "
@@ -272,7 +325,11 @@ def checks() -> dict:
         f"(length({digits}) BETWEEN 13 AND 19 AND {luhn_sql(digits)})",
     )
     on_orders("V10_is_ipv4", "ip", N.is_ipv4, match("value", IPV4_SQL))
-    on_orders("V11_is_ipv6", "ipv6", N.is_ipv6, None)
+    add(
+        "V11_is_ipv6",
+        lambda spark, d: order_values(spark, d, "ipv6").select("id", N.is_ipv6(F.col("value")).alias("result")),
+        f"SELECT id, {IPV6_SQL} AS result FROM {IPV6_ROWS}",
+    )
     on_orders("V12_is_mac_address", "mac", N.is_mac_address, match("value", "^([0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}$"))
     on_orders(
         "V13_is_hostname", "domain", N.is_hostname,
@@ -295,7 +352,13 @@ def checks() -> dict:
         f"coalesce({ip_number_sql('value')} = {ip_number_sql('value')} - {ip_number_sql('value')} % 4096 + 4095, false)",
     )
     for family in ("private", "loopback", "multicast", "public", "reserved"):
-        on_orders(f"V15_V19_ipv6_{family}", "ipv6", getattr(N, f"is_{family}_ip"), None)
+        add(
+            f"V15_V19_ipv6_{family}",
+            lambda spark, d, check=getattr(N, f"is_{family}_ip"): order_values(spark, d, "ipv6").select(
+                "id", check(F.col("value")).alias("result")
+            ),
+            ipv6_property_sql(family),
+        )
     bare = "replace(regexp_replace(replace(replace(value, 'urn:', ''), 'uuid:', ''), '^[{}]+|[{}]+$', '', 'g'), '-', '')"
     on_orders("V21_is_uuid", "uuid", V.is_uuid, match(bare, "(?i)^[0-9a-f]{32}$"))
     add(
