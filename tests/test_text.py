@@ -31,6 +31,11 @@ def test_simple_normalisers(evaluate):
     assert evaluate(lambda v: X.replace(v, r"\d+", "#"), ["n 1 and 2."]) == ["n # and #."]
     assert evaluate(lambda v: X.replace(v, r"(\w+)@(\w+)", r"\2$\1"), ["me@you"]) == ["you$me"]
     assert evaluate(lambda v: X.replace(v, "a(", "b"), ["xa(y"]) == ["xby"]
+    for regex, template in (
+        (r"(?P<a>\w)(?P<b>\w)", r"\g<b>\1"), (r"(?P<q>['\"]).*?(?P=q)", r"<\g<0>>"), (r"(?i)É", "-"), (r"a{,2}b", "*"), (r"x*", "-"),
+    ):
+        texts = ["ab cd", "'it' \"a'b\"", "éÉ", "aaab b", ""]
+        assert evaluate(lambda v: X.replace(v, regex, template), texts) == [re.sub(regex, template, t) for t in texts], regex
     assert evaluate(X.remove_stopwords, ["This is a simple test with some stopwords."]) == ["simple test stopwords."]
     assert evaluate(X.clean_text, [" Hi!!  there "]) == ["Hi there"]
     assert evaluate(X.expand_contractions, ["I'm going to the park. He can't join you at the park.", "Can’t, won't!", "rock 'n roll"]) == [

@@ -35,6 +35,7 @@ _MAY_BE_EMPTY = re.compile(rf"(?:{_GROUP})+[^()]*(?:\|\)|\)[?*])")
 _WORD_BEFORE = re.compile(rf"(?:{_ATOM}(?:\+{{1,2}}|\{{[1-9]\d*(?:,\d*)?\}})?|(?<![\\+#|])[A-Za-z0-9])\)*$")
 _SYMBOL_ENDING = re.compile(r"[+#]\||\|\)|[+#]\)$")
 
+_GLOBAL_FLAGS = re.compile(r"\(\?([imsx]+)\)")
 _WORD_LIST = re.compile(r"\(\?i:((?:[A-Za-z][^()|\[\]]*\|)+[A-Za-z][^()|\[\]]*)\)")
 
 START_MARK, END_MARK, MARK_STAND_IN = "\u0001", "\u0002", "\u0003"
@@ -93,7 +94,20 @@ def to_jvm(regex: str, known: bool = False) -> str:
             in_class = True
         elif regex.startswith("(?P<", i):
             i = regex.index(">", i) + 1
-            out.append("(?:")
+            out.append("(")  # group numbers stay as they are
+            continue
+        elif regex.startswith("(?P=", i):
+            end = regex.index(")", i)
+            out.append(f"\\{_group_numbers(regex)[regex[i + 4:end]]}")
+            i = end + 1
+            continue
+        elif flags := _GLOBAL_FLAGS.match(regex, i):
+            out.append(f"(?{flags.group(1).replace('i', 'iu')})")
+            i = flags.end()
+            continue
+        elif regex.startswith("{,", i):
+            out.append("{0,")
+            i += 2
             continue
         elif regex.startswith("(?i:", i):
             words = _WORD_LIST.match(regex, i)
@@ -114,10 +128,19 @@ def jvm_regex(pattern: Pattern) -> str:
     return to_jvm(pattern.jvm or pattern.regex, known=pattern.group != "custom")
 
 
-def jvm_replacement(replacement: str) -> str:
-    r"""A Python replacement template (``\1``, ``\g<1>``) in Java's ``$1`` form."""
-    escaped = replacement.replace("$", r"\$")
-    return re.sub(r"\\g<(\d+)>|\\(\d+)", lambda m: "$" + (m.group(1) or m.group(2)), escaped)
+def _group_numbers(regex: str) -> dict[str, int]:
+    return dict(re.compile(regex).groupindex)
+
+
+def jvm_replacement(replacement: str, regex: str = "") -> str:
+    r"""A Python replacement template (``\1``, ``\g<1>``, ``\g<name>``) in Java's
+    ``$1`` form."""
+
+    def group(m: re.Match) -> str:
+        name = m.group(1) or m.group(2)
+        return "$" + (name if name.isdigit() else str(_group_numbers(regex)[name]))
+
+    return re.sub(r"\\g<(\w+)>|\\(\d+)", group, replacement.replace("$", r"\$"))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -189,7 +189,7 @@ def remove(value: Column, pattern: str) -> Column:
 def replace(value: Column, pattern: str, replacement: str) -> Column:
     r"""Replace a regular expression (``\1`` names a group), or a literal."""
     if is_regex(pattern):
-        return F.regexp_replace(value, F.lit(to_jvm(pattern)), F.lit(jvm_replacement(replacement)))
+        return F.regexp_replace(value, F.lit(to_jvm(pattern)), F.lit(jvm_replacement(replacement, pattern)))
     return F.replace(value, F.lit(pattern), F.lit(replacement))
 
 
