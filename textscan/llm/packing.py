@@ -15,6 +15,7 @@ the fullest sequence that still has room.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,17 +27,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textscan.llm.batches import small_batches, written
-from textscan.llm.token_count import encode
+from textscan.llm.token_count import encode, tokenizer
 
 WINDOW = 2048
 END = 1
 UNIT = 8
 GROUP = 8192
-#: Distinct words whose ids a worker keeps, some 150 MB.
-CACHE = 700_000
+#: Distinct words whose ids a worker keeps, some 250 MB.
+CACHE = 1_200_000
+#: Stems that go to the library in one text.
+JOINED = 1000
 
-#: Blanks that part words for this kind of tokenizer, whatever Unicode version it knows.
-_BLANKS = str.maketrans("\t\n\r", "   ")
+#: Letters that every Unicode version lowers alike and composes to themselves.
+_LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
 class WordIds:
@@ -46,33 +49,43 @@ class WordIds:
     def __init__(self, path: str):
         self.path = path
         self.known: dict[str, bytes] = {}
+        vocabulary = tokenizer(path).get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[n for s, n in vocabulary.items() if s.endswith("</w>")]] = True
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.known) > CACHE:
             self.known = {}
         known = self.known
-        words = [(t or "").translate(_BLANKS).split(" ") for t in texts]
-        new = set().union(*words).difference(known)
-        simple = {w: self._parts(w) for w in new}
-        stems = list({s for s, _ in simple.values()}.difference(known))
-        for s, ids in zip(stems, encode(self.path, stems), strict=True):
-            known[s] = np.array(ids, "<u4").tobytes()
-        for w, (stem, tail) in simple.items():
-            known[w] = known[stem] + b"".join(self._mark(c) for c in tail)
+        words = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        new = {w: self._parts(w) for w in set().union(*words).difference(known)}
+        stems = list({p[0] for p in new.values() if p}.difference(known))
+        for at in range(0, len(stems), JOINED):
+            self._learn(stems[at : at + JOINED])
+        rest = [w for w, p in new.items() if not p] + [m for m in (",", ".") if m not in known]
+        known.update(zip(rest, (np.array(x, "<u4").tobytes() for x in encode(self.path, rest)), strict=True))
+        for w, p in new.items():
+            if p:
+                known[w] = known[p[0]] + (known[p[1]] if p[1] else b"")
         return [b"".join(map(known.__getitem__, x)) for x in words]
 
-    def _parts(self, word: str) -> tuple[str, str]:
-        """A word of plain letters as its lower-case letters and the mark behind them; else whole."""
-        letters, tail = (word[:-1], word[-1]) if word[-1:] in (",", ".") else (word, "")
-        if letters.isascii() and letters.isalpha():
-            return letters.lower(), tail
-        return word, ""
-
-    def _mark(self, char: str) -> bytes:
-        if char not in self.known:
-            self.known[char] = np.array(encode(self.path, [char])[0], "<u4").tobytes()
-        return self.known[char]
+    def _learn(self, stems: list[str]) -> None:
+        """Stems of letters, in one text: each is one pre-token, whose last id alone ends a word."""
+        ids = np.array(encode(self.path, [" ".join(stems)])[0], "<u4")
+        ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+        if len(ends) != len(stems):  # a tokenizer without word ends
+            parts = [np.array(x, "<u4").tobytes() for x in encode(self.path, stems)]
+        else:
+            raw = ids.tobytes()
+            parts = [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        self.known.update(zip(stems, parts, strict=True))
+
+    @staticmethod
+    def _parts(word: str) -> tuple[str, str] | None:
+        """A word of plain letters as its lower-case letters and the mark behind them, if any."""
+        letters, mark = (word[:-1], word[-1]) if word[-1:] in (",", ".") else (word, "")
+        return (letters.lower(), mark) if _LATIN.fullmatch(letters) else None
 
 
 @lru_cache(maxsize=2)
