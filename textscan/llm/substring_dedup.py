@@ -97,14 +97,14 @@ def repeated_runs(found: DataFrame) -> DataFrame:
     return later.groupBy("doc_id").agg(F.collect_set(F.struct("place", "size")).alias("covered"))
 
 
-def _keep(text: str | None, covered: list[dict] | None) -> tuple[str | None, int, int, str]:
-    """(kept text, sentences, removed sentences, removed stretches as start:end)."""
-    units = sentences(text)
+def _keep(text: str | None, covered: list[dict] | None) -> tuple[str | None, int, str]:
+    """(kept text, removed sentences, removed stretches as start:end)."""
     gone: set[int] = set()
     for c in covered or ():
         gone.update(range(c["place"], c["place"] + c["size"]))
     if not gone:
-        return text, len(units), 0, ""
+        return text, 0, ""
+    units = sentences(text)
     stretches: list[list[int]] = []
     for i in sorted(gone):
         if stretches and stretches[-1][1] == units[i][0]:
@@ -115,24 +115,24 @@ def _keep(text: str | None, covered: list[dict] | None) -> tuple[str | None, int
     for a, b in stretches:
         parts.append(text[at:a])
         at = b
-    return "".join([*parts, text[at:]]), len(units), len(gone), ",".join(f"{a}:{b}" for a, b in stretches)
+    return "".join([*parts, text[at:]]), len(gone), ",".join(f"{a}:{b}" for a, b in stretches)
 
 
 def remove_repeats(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, text, n_sentences, n_removed, removed), one row per row of ``df``: the text without sentences
+    """(doc_id, text, n_removed, removed), one row per row of ``df``: the text without sentences
     that a non-first repeated run covers, and the removed stretches (code points, end exclusive).
 
-    Null texts stay null and have no sentences.  Texts of fewer than ``RUN`` sentences or ``LEAST_WORDS``
+    Null texts stay null.  Texts of fewer than ``RUN`` sentences or ``LEAST_WORDS``
     words have no runs and stay.  Rows that share a doc_id count as one document, so what only they repeat
     stays in all of them; a null id is an id like any other and is the first.
     """
     base = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     covered = repeated_runs(run_table(base, "doc_id", "text")).withColumnRenamed("doc_id", "covered_id")
     joined = base.join(covered, base["doc_id"].eqNullSafe(F.col("covered_id")), "left").select("doc_id", "text", "covered")
-    fields = [("kept", T.StringType()), ("n_sentences", T.LongType()), ("n_removed", T.LongType()), ("removed", T.StringType())]
+    fields = [("kept", T.StringType()), ("n_removed", T.LongType()), ("removed", T.StringType())]
 
     def run(texts: list, covered: list) -> list[tuple]:
-        return list(zip(*map(_keep, texts, covered), strict=True)) or [()] * 4
+        return list(zip(*map(_keep, texts, covered), strict=True)) or [()] * 3
 
     out = append_columns(joined, ["text", "covered"], fields, run)
-    return out.select("doc_id", F.col("kept").alias("text"), "n_sentences", "n_removed", "removed")
+    return out.select("doc_id", F.col("kept").alias("text"), "n_removed", "removed")
