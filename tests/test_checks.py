@@ -9,7 +9,7 @@ DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 NAMES = [
     "X04_datetime", "X07_ipv6", "X12_email", "X33_analyze", "X35_reporting_statement", "X41_proper_noun", "EX05_stitch_span",
-    "EX11_entity_profile", "LQ05_left_to_right", "LQ08_field_term", "LQ12_grouping", "C2_verhoeff", "V05_is_email",
+    "EX11_entity_profile", "EX13_redact", "X39_action_context", "T14_prepare_text", "LQ05_left_to_right", "LQ08_field_term", "LQ12_grouping", "C2_verhoeff", "V05_is_email",
     "V18_is_public_ip", "V15_V19_ipv6_private", "V30_is_valid_iban", "V34_validate_passport", "VJ2_validity_report",
     "T05_lemmatize_words", "T09_remove_duplicates", "A04_top_words_by_language", "A06_corpus_statistics_cube",
     "A07_conversation_ngrams", "F15_normalize_path", "SNK4_table_to_markdown", "M6_classification_report",

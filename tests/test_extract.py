@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -185,3 +186,20 @@ def test_translation_of_boundaries(spark):
         rows = df.select("i", F.regexp_extract_all("t", F.lit(to_jvm(regex)), F.lit(0)).alias("m")).collect()
         for r in rows:
             assert r["m"] == [m.group() for m in re.finditer(regex, texts[r["i"]])], (regex, texts[r["i"]])
+
+
+def test_redaction_never_matches_a_tag(spark):
+    df = spark.createDataFrame([("mail a@b.co now [x] 10.0.0.1/8 http://10.0.0.1/a",), (None,), ("",)], "text string")
+    labels = ["email", "ini", "ipv4", "url"]
+    assert [r[0] for r in df.select(E.redact(F.col("text"), labels)).collect()] == ["mail [EMAIL] now [INI] [IPV4] [URL]", None, ""]
+    assert df.select(E.redact(F.col("text"), ["email", "ini"])).first()[0].startswith("mail [EMAIL] now [INI]")
+
+
+@pytest.mark.parametrize("label, verb", [("action_context", "completed"), ("reporting_statement", "said")])
+def test_a_verb_without_a_full_stop_is_not_quadratic(spark, label, verb):
+    words = ["word"] * 20_000
+    words[10_000] = verb
+    df = spark.createDataFrame([(1, " ".join(words))], "id int, text string")
+    start = time.monotonic()
+    assert E.extract(df, "text", "id", label).count() == 0
+    assert time.monotonic() - start < 20

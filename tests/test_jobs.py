@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from textscan.operators import lookup, model
+from textscan.operators import model
 from textscan.operators import validation as J
 from textscan.plans import actions
 
@@ -25,9 +25,7 @@ def test_annotation_report_and_split(people):
     assert sorted(r["id"] for r in good.collect()) == [1, 4] and sorted(r["id"] for r in bad.collect()) == [2, 3]
 
 
-@pytest.mark.parametrize("bound", [200_000, 0])
-def test_lookups_with_and_without_broadcast(spark, monkeypatch, bound):
-    monkeypatch.setattr(lookup, "BROADCAST_ROWS", bound)
+def test_lookups(spark):
     emails = spark.createDataFrame([(1, "a@b.com"), (2, "a@b.zz"), (3, "bad"), (4, "a@c.COM")], "id int, email string")
     tlds = spark.createDataFrame([("com",), ("COM",), ("org",)], "tld string")
     assert sorted(r["id"] for r in J.emails_with_known_tld(emails, "email", tlds).collect()) == [1, 4]

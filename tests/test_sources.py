@@ -46,7 +46,8 @@ def test_scan_skips_hidden_and_ignored(spark, folder):
     kept = {r["relative"] for r in S.scan(spark, str(root), GITIGNORE).select("relative").collect()}
     assert names - kept == {"build/out.txt", "drop.log"}
     assert S.scan(spark, str(root), glob="*.png").count() == 2
-    assert S.scan(spark, str(root), max_bytes=10).filter("relative = 'sub/image.png'").count() == 0
+    giant = S.scan(spark, str(root), max_bytes=10).filter("relative = 'sub/image.png'").first()
+    assert giant["content"] is None and giant["skipped"] == "larger than 10 bytes" and giant["length"] > 10
 
 
 def test_gitignore_rules(spark):

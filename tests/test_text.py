@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from textscan.functions import nested as NE
 from textscan.functions import text as X
-from textscan.operators import corpus, lookup
+from textscan.operators import corpus
 
 RANDOM_PIECES = ["Word", "word,", "word.", "(Word)", "two", "Two!", " ", "\n", "\t", "  ", "é", "don't", "3.5", "-", "—", "ß"]
 
@@ -143,14 +143,12 @@ def test_sequence_ngrams_cross_chunks(spark):
             assert got == expected
 
 
-def test_lemmatize_with_and_without_broadcast(spark, monkeypatch):
-    df = spark.createDataFrame([(1, "The leaves are falling off the trees."), (2, "")], "id int, text string")
-    lemmas = spark.createDataFrame([("leaves", "leaf"), ("are", "be"), ("falling", "fall"), ("trees", "tree")], "token string, lemma string")
-    for bound in (200_000, 0):
-        monkeypatch.setattr(lookup, "BROADCAST_ROWS", bound)
-        got = {r["id"]: r["text"] for r in corpus.lemmatize(df, "text", "id", lemmas).collect()}
-        assert got[1] == "The leaf be fall off the tree ."
-        assert got[2] in ("", None)
+def test_lemmatize(spark):
+    df = spark.createDataFrame([(1, "The leaves are falling off the trees."), (2, ""), (3, "I saw Saw SAW"), (4, None)], "id int, text string")
+    rows = [("leaves", "leaf"), ("are", "be"), ("falling", "fall"), ("trees", "tree"), ("Saw", "Saw"), ("saw", "see"), ("saw", "seen")]
+    lemmas = spark.createDataFrame(rows, "token string, lemma string")
+    got = {r["id"]: r["text"] for r in corpus.lemmatize(df, "text", "id", lemmas).collect()}
+    assert got == {1: "The leaf be fall off the tree .", 2: "", 3: "I see Saw see", 4: ""}
 
 
 def test_corrections(evaluate):

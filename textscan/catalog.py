@@ -111,11 +111,11 @@ _STACK_SAFE = {
 # runs on rows that pass it.
 _GATES = {
     "interrogative_context": r"\s(?:how|why|what|when|where|who)\s",
-    "reporting_statement": r"\s(?:said|stated|reported|mentioned|claimed|explained|noted|suggested)\s",
+    "reporting_statement": r"\s(?:said|stated|reported|mentioned|claimed|explained|noted|suggested)\b(?:\s+\".*?\"|\s+\b.*?\b[.!?])",
     "entity_name": r"\s(?:by|from|to|with|about|for)\s+[A-Z][a-z]",
     "all_caps_phrase": r"\s[A-Z]{2}",
     "quoted_text": r"\"",
-    "action_context": r"\s(?:completed|developed|initiated|threatened|investigated)\s",
+    "action_context": r"\s(?:completed|developed|initiated|threatened|investigated)\s+\b.*?[.!?](?:\s+\b\w+\b){2}",
     "possessive_context": r"['’]s\s|(?:owned|reported|handled) by\s",
     "adjective_context": r"critical|urgent|significant|dangerous|illegal|fraudulent",
     "question_context": r"\?",
@@ -129,6 +129,10 @@ _GATES = {
     "hex_number": r"0x",
     "env_var": r"[$%]",
     "ipv6": r"[:!]",
+    "ipv4": r"\d\.\d",
+    "datetime": r"\d[-/:]\d",
+    "phone_number": r"\d{4}",
+    "uuid": r"[0-9a-fA-F]{8}-",
 }
 
 

@@ -10,7 +10,6 @@ from pyspark.sql import types as T
 
 from textscan.functions import text as X
 from textscan.functions.regexes import to_jvm
-from textscan.operators.lookup import lookup_join
 
 
 def _columns(keep: str | Sequence[str]) -> list[str]:
@@ -125,28 +124,24 @@ def corpus_statistics(df: DataFrame, text: str, by: Sequence[str], grouping: str
 
 def lemmatize(df: DataFrame, text: str, key: str, lemmas: DataFrame) -> DataFrame:
     """(key, text) with every token replaced by its lemma in a (token, lemma)
-    table, tokens joined by blanks.  Look-up is by exact form, then lower case.
+    table, tokens joined by blanks.  Look-up is by exact form, then lower case; of
+    several rows for one the form written alike counts, then the first in order.
 
-    ``key`` must identify the row.  Only tokens travel in the join; they are put
-    together again per row.
+    ``key`` must identify the row.  The texts stay where they are: only the
+    distinct tokens of a text meet the table, and only those that have a lemma go
+    back to their text.
     """
-    exploded = df.select(
-        key,
-        F.posexplode_outer(
-            F.regexp_extract_all(F.col(text), F.lit(to_jvm(r"\w+|[^\w\s]")), F.lit(0))
-        ).alias("pos", "form"),
-    ).withColumn("token", F.lower("form"))
-    table = lemmas.select(F.lower("token").alias("token"), "lemma").dropDuplicates(["token"])
-    joined = lookup_join(exploded, table, "token", "left", F.struct(key, "pos"))
-    return joined.groupBy(key).agg(
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("pos", F.coalesce("lemma", "form").alias("word")))),
-                lambda t: t["word"],
-            ),
-            " ",
-        ).alias(text)
-    )
+    tokens = F.regexp_extract_all(F.col(text), F.lit(to_jvm(r"\w+|[^\w\s]")), F.lit(0))
+    base = df.select(key, tokens.alias("tokens"))
+    exact = lemmas.groupBy(F.col("token").alias("form")).agg(F.min("lemma").alias("exact"))
+    rank = F.struct((F.col("token") != F.lower("token")).alias("other"), "token", "lemma")
+    lower = lemmas.groupBy(F.lower("token").alias("lower")).agg(F.min(rank)["lemma"].alias("any_case"))
+    forms = base.select(key, F.explode(F.array_distinct("tokens")).alias("form")).withColumn("lower", F.lower("form"))
+    found = forms.join(exact, "form", "left").join(lower, "lower", "left")
+    found = found.select(key, "form", F.coalesce("exact", "any_case").alias("lemma")).filter("lemma is not null")
+    table = found.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("form", "lemma"))).alias("found"))
+    words = F.transform("tokens", lambda t: F.coalesce(F.try_element_at(F.col("found"), t), t))
+    return base.join(table, key, "left").select(key, F.coalesce(F.array_join(words, " "), F.array_join("tokens", " "), F.lit("")).alias(text))
 
 
 def prepare(df: DataFrame, text: str, key: str, lemmas: DataFrame, stopwords: Sequence[str] | None = None) -> DataFrame:

@@ -182,11 +182,46 @@ def has_entity(text: Column, labels: str | Sequence[str], patterns: Iterable[Pat
 
 
 def redact(text: Column, labels: str | Sequence[str], patterns: Iterable[Pattern] = PATTERNS) -> Column:
-    """Replace every match by its label in capitals and brackets, pattern by
-    pattern in catalog order."""
-    for p in select_patterns(labels, patterns):
-        text = F.regexp_replace(text, F.lit(jvm_regex(p)), F.lit(f"[{p.label.upper()}]"))
-    return text
+    """Replace what the labels match by the label in capitals and brackets.
+
+    All matches are found in the original text, so a tag is never matched again.
+    Overlapping matches are replaced as one, under the label of the first (of
+    those with the same start, the first in the catalog)."""
+    chosen, _ = split_valid(select_patterns(labels, patterns))
+    if not chosen:
+        return text
+    tags = F.array(*[F.lit(f"[{p.label.upper()}]") for p in chosen])
+    ordinals = F.array(*[F.lit(p.ordinal) for p in chosen])
+
+    def stretches(m: Column, before: Column) -> Column:
+        """array<struct<start, end, tag>> of matches that don't overlap."""
+        ends = F.transform(m, lambda x: x["end"])
+        firsts = F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda i: (i == 0) | (before[i] <= m[i]["start"]))
+        return let(
+            firsts,
+            lambda b: F.transform(
+                b,
+                lambda i, k: F.struct(
+                    m[i]["start"].alias("start"),
+                    F.coalesce(F.get(before, F.get(b, k + 1)), F.array_max(ends)).alias("end"),
+                    F.element_at(tags, F.array_position(ordinals, m[i]["ordinal"]).cast("int")).alias("tag"),
+                ),
+            ),
+        )
+
+    def replaced(s: Column) -> Column:
+        def piece(x: Column, k: Column) -> Column:
+            at = F.coalesce(F.get(s, k - 1)["end"], F.lit(0))
+            return F.concat(text.substr(at + 1, x["start"] - at), x["tag"])
+
+        rest = F.element_at(s, -1)["end"]
+        return F.concat(F.array_join(F.transform(s, piece), ""), text.substr(rest + 1, F.length(text)))
+
+    def of_matches(m: Column) -> Column:
+        before = running(F.transform(m, lambda x: x["end"]), lambda a, b: F.greatest(a, b), F.lit(-1))
+        return F.when(F.size(m) > 0, let(let(before, lambda b: stretches(m, b)), replaced)).otherwise(text)
+
+    return let(all_matches(_marked_array(text, chosen, sanitized=False)), of_matches)
 
 
 # --- DataFrame level --------------------------------------------------------

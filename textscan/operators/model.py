@@ -8,7 +8,6 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import (
     IDF,
-    CountVectorizer,
     HashingTF,
     NGram,
     Normalizer,
@@ -75,38 +74,34 @@ def with_character_features(df: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def pipeline(trees: int = 100, seed: int = 42, hashed: int | None = None) -> Pipeline:
+def pipeline(trees: int = 100, seed: int = 42, hashed: int = 1 << 18, depth: int = 30) -> Pipeline:
     """Character n-grams (1–5) weighted by TF-IDF, position features and counts
-    into a random forest.  ``hashed`` fixes the number of n-gram features, which
-    needs no vocabulary on the driver: use it on large data."""
+    into a random forest.  N-grams and positions are hashed to ``hashed``
+    features each, so nothing is cut and no vocabulary goes through the driver;
+    ``depth`` is the most that Spark's trees can have."""
     stages = [NGram(n=n, inputCol="chars", outputCol=f"grams_{n}") for n in range(1, 6)]
-    stages.append(
+    stages += [
         SQLTransformer(
             statement="SELECT *, concat(grams_1, grams_2, grams_3, grams_4, grams_5) AS grams FROM __THIS__"
-        )
-    )
-    if hashed:
-        stages.append(HashingTF(inputCol="grams", outputCol="tf", numFeatures=hashed))
-    else:
-        stages.append(CountVectorizer(inputCol="grams", outputCol="tf"))
-    stages += [
+        ),
+        HashingTF(inputCol="grams", outputCol="tf", numFeatures=hashed),
         IDF(inputCol="tf", outputCol="idf"),
         Normalizer(inputCol="idf", outputCol="tfidf"),
-        CountVectorizer(inputCol="positions", outputCol="position_counts"),
+        HashingTF(inputCol="positions", outputCol="position_counts", numFeatures=hashed),
         VectorAssembler(inputCols=["tfidf", "position_counts", "counts"], outputCol="features"),
         StringIndexer(inputCol="label", outputCol="label_index", stringOrderType="alphabetAsc", handleInvalid="keep"),
         RandomForestClassifier(
-            labelCol="label_index", featuresCol="features", numTrees=trees, seed=seed, maxDepth=10,
+            labelCol="label_index", featuresCol="features", numTrees=trees, seed=seed, maxDepth=depth,
             subsamplingRate=1.0, predictionCol="predicted_index",
         ),
     ]
     return Pipeline(stages=stages)
 
 
-def train_and_predict(df: DataFrame, trees: int = 100, seed: int = 42, hashed: int | None = None) -> DataFrame:
+def train_and_predict(df: DataFrame, trees: int = 100, seed: int = 42, hashed: int = 1 << 18, depth: int = 30) -> DataFrame:
     """(label, prediction) of the held-out fifth of (text, label) rows."""
     train, test = with_character_features(df).randomSplit([0.8, 0.2], seed)
-    model = pipeline(trees, seed, hashed).fit(train)
+    model = pipeline(trees, seed, hashed, depth).fit(train)
     labels = next(s.labels for s in model.stages if hasattr(s, "labels"))
     names = F.array(*map(F.lit, labels))
     return model.transform(test).select(

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from textscan.functions import validators as V
 from textscan.functions.regexes import to_jvm
-from textscan.operators.lookup import lookup_join
 
 
 def annotate(df: DataFrame, types: Mapping[str, str], suffix: str = "_check") -> DataFrame:
@@ -69,7 +68,7 @@ def emails_with_known_tld(df: DataFrame, email: str, tlds: DataFrame) -> DataFra
     """Rows whose e-mail is valid and ends in a top-level domain of ``tlds(tld)``."""
     keyed = df.withColumn("__tld", V.email_tld(F.col(email))).filter(V.is_email(F.col(email)))
     table = tlds.select(F.lower("tld").alias("__tld")).distinct()
-    return lookup_join(keyed, table, "__tld", "left_semi", F.col(email)).drop("__tld")
+    return keyed.join(table, "__tld", "left_semi").drop("__tld")
 
 
 def validate_phone_country(df: DataFrame, phone: str, codes: DataFrame) -> DataFrame:
@@ -77,7 +76,7 @@ def validate_phone_country(df: DataFrame, phone: str, codes: DataFrame) -> DataF
     kept = F.regexp_replace(V.ascii_digits(F.col(phone)), r"[^0-9+]", "")
     keyed = df.withColumn("__code", F.regexp_extract(kept, r"\A\+([0-9]{1,3})", 1))
     table = codes.select(F.col("code").alias("__code"), F.lit(True).alias("__known")).distinct()
-    joined = lookup_join(keyed, table, "__code", "left", F.col(phone))
+    joined = keyed.join(table, "__code", "left")
     valid = V.is_phone_number(F.col(phone)) & F.coalesce("__known", F.lit(False))
     return joined.withColumn("valid", valid).drop("__code", "__known")
 
@@ -86,9 +85,10 @@ def validate_by_rules(
     df: DataFrame, value: str, country: str, rules: DataFrame, unsupported: str = "Country not supported"
 ) -> DataFrame:
     """Numbers checked by a rules table (country, format, details), such as
-    passport or tax numbers: adds valid, error and details."""
-    table = rules.select(F.col("country").alias(country), "format", "details").dropDuplicates([country])
-    joined = lookup_join(df, table, country, "left", F.col(value))
+    passport or tax numbers: adds valid, error and details.  Of several rules for a
+    country the first counts, by format and details."""
+    table = rules.groupBy(F.col("country").alias(country)).agg(F.min(F.struct("format", "details")).alias("rule")).select(country, "rule.*")
+    joined = df.join(table, country, "left")
     ok = F.regexp_like(F.col(value), F.concat(F.lit(r"(?d)\A(?:"), F.col("format"), F.lit(")")))
     error = F.when(F.col("format").isNull(), F.lit(unsupported)).when(~ok, F.lit("Invalid format"))
     return joined.withColumns(

@@ -87,7 +87,13 @@ def register_functions(spark: SparkSession) -> list[str]:
             f"RETURN regexp_extract_all(t, {regex}, 0)"
         )
         names += [f"has_{p.label}", f"find_{p.label}"]
-    for name, function in (("is_date", V._parses_as_date), ("byte_entropy", files._byte_entropy), ("strip_accents", X._strip_accents)):
+    spark.sql(
+        """CREATE OR REPLACE TEMPORARY FUNCTION byte_entropy(c BINARY) RETURNS DOUBLE RETURN CASE WHEN octet_length(c) = 0 THEN 0D
+        ELSE aggregate(transform(sequence(0, 255), b -> octet_length(c) - length(replace(decode(c, 'ISO-8859-1'), char(b), ''))), 0D,
+          (a, n) -> a - if(n > 0, n / octet_length(c) * log2(n / octet_length(c)), 0D)) END"""
+    )
+    names.append("byte_entropy")
+    for name, function in (("is_date", V._parses_as_date), ("strip_accents", X._strip_accents)):
         spark.udf.register(name, function)
         names.append(name)
     return names

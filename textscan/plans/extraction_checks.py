@@ -234,8 +234,8 @@ def checks() -> dict:
     ipv4 = r"(^|[^\p{L}\p{N}_])(?:(\d{1,3}\.){3}\d{1,3}(\/\d{1,2}\b|\/|))"
     add(
         "EX13_redact",
-        lambda spark, d: docs(spark, d).select("doc_id", E.redact(F.col("text"), ["email", "ipv4", "url"]).alias("text")),
-        f"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, {quoted(ipv4)}, '\\1[IPV4]', 'g'),
+        lambda spark, d: docs(spark, d).select("doc_id", E.redact(F.col("text"), ["email", "ini", "ipv4", "url"]).alias("text")),
+        f"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\[[\\p{{L}}\\p{{N}}_]+\\]', '[INI]', 'g'), {quoted(ipv4)}, '\\1[IPV4]', 'g'),
             {quoted(email)}, '[EMAIL]', 'g'), {quoted(_patterns('url')[0].regex)}, '[URL]', 'g') AS text FROM {SEARCHED_SQL}""",
     )
 

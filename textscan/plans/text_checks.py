@@ -392,7 +392,7 @@ def checks() -> dict:
         lambda spark, d: M.classification_report(
             M.train_and_predict(
                 table(spark, d, "part").selectExpr("stack(3, p_name, 'name', p_brand, 'brand', p_type, 'type') AS (text, label)"),
-                trees=20, hashed=512,
+                hashed=1 << 12,
             )
         ),
     )

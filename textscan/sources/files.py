@@ -6,11 +6,8 @@ import mimetypes
 import re
 from collections.abc import Iterable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from textscan.functions.regexes import let
 
@@ -98,9 +95,10 @@ def scan(
     max_bytes: int | None = None,
 ) -> DataFrame:
     """All files below a folder: (path, relative, modificationTime, length,
-    content).  Hidden files and folders are skipped; Spark also skips names that
+    content, skipped).  Hidden files and folders are skipped; Spark also skips names that
     begin with an underscore, and empty files (see ``empty_files``).  Columns that are not used are not read; a content
-    is one value in one task, so ``max_bytes`` leaves out giants.
+    is one value in one task, so files of more than ``max_bytes`` have a row
+    without content that says so in ``skipped``.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
@@ -109,8 +107,15 @@ def scan(
     files = reader.load(path)
     relative = F.regexp_replace("path", "^.*?" + re.escape(root.removeprefix("file:")) + "/", "")
     files = files.withColumn("relative", relative).filter(~F.col("relative").rlike(r"(^|/)\."))
-    if max_bytes is not None:
-        files = files.filter(F.col("length") <= max_bytes)
+    if max_bytes is None:
+        files = files.withColumn("skipped", F.lit(None).cast("string"))
+    else:  # two scans: the content of a file is read only where its column is used
+        giants = files.filter(F.col("length") > max_bytes).withColumn("content", F.lit(None).cast("binary"))
+        files = (
+            files.filter(F.col("length") <= max_bytes)
+            .withColumn("skipped", F.lit(None).cast("string"))
+            .unionByName(giants.withColumn("skipped", F.lit(f"larger than {max_bytes} bytes")))
+        )
     return files.filter(gitignore_filter(F.col("relative"), gitignore))
 
 
@@ -144,9 +149,9 @@ def latin1(content: Column) -> Column:
     return F.decode(content, "ISO-8859-1")
 
 
-def readable_strings(content: Column, limit: int | None = 100) -> Column:
-    """Runs of four or more printable ASCII bytes, then the same in UTF-16LE; the
-    first 100, as in the report this feeds (None keeps all)."""
+def readable_strings(content: Column, limit: int | None = None) -> Column:
+    """Runs of four or more printable ASCII bytes, then the same in UTF-16LE;
+    ``limit`` keeps the first of them."""
 
     def runs(text: Column) -> Column:
         ascii_runs = F.regexp_extract_all(text, F.lit("[ -~]{4,}"), F.lit(0))
@@ -161,23 +166,18 @@ def embedded_urls(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"https?://[^ \t\n\r\f\x0b]+"), F.lit(0))
 
 
-@F.pandas_udf(T.DoubleType())
-def _byte_entropy(contents: pd.Series) -> pd.Series:
-    def entropy(data) -> float | None:
-        if data is None:
-            return None
-        if not data:
-            return 0.0
-        counts = np.bincount(np.frombuffer(data, dtype=np.uint8), minlength=256)
-        shares = counts[counts > 0] / len(data)
-        return float(-(shares * np.log2(shares)).sum()) + 0.0
-
-    return contents.map(entropy)
+def byte_entropy(content: Column) -> Column:
+    """Shannon entropy in bits per byte; each of the 256 values is counted by
+    itself, so that no array grows with the file."""
+    size = F.octet_length(content)
 
+    def total(text: Column) -> Column:
+        counts = F.transform(
+            F.sequence(F.lit(0), F.lit(255)), lambda b: size - F.length(F.replace(text, F.char(b), F.lit("")))
+        )
+        return F.aggregate(counts, F.lit(0.0), lambda a, n: a - F.when(n > 0, n / size * F.log2(n / size)).otherwise(0.0))
 
-def byte_entropy(content: Column) -> Column:
-    """Shannon entropy in bits per byte: one pass over the bytes, by Arrow batch."""
-    return _byte_entropy(content)
+    return F.when(size == 0, F.lit(0.0)).otherwise(let(latin1(content), total))
 
 
 def magic_number(content: Column) -> Column:
