@@ -6,14 +6,16 @@ shortest run of at least ``RUN`` sentences and ``LEAST_WORDS`` words is hashed (
 aside).  Runs are joined globally: the first occurrence is the one with the least (document, place), and
 sentences that any other occurrence covers are removed.
 
-The first occurrences come from a minimum that is combined before the shuffle, and the join has one row per
-run on that side, so a passage that stands in very many documents is split by Spark's skew handling.
+The runs are written once and read by what follows.  The first occurrences come from a minimum that is combined
+before the shuffle.  Runs with more than 1 / ``MOST_HOT`` of all occurrences are fewer than ``MOST_HOT``, so they
+are broadcast and their occurrences stay where they are; only the others are joined by their hash.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -22,44 +24,68 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textscan.llm.batches import append_columns, small_batches
+from textscan.llm.batches import append_columns, small_batches, written
 
 RUN = 3
 LEAST_WORDS = 20
 LONG = 16
+#: A run with more than one in so many of all occurrences is hot; there are fewer hot runs than this.
+MOST_HOT = 10_000
 
-_END = re.compile(r"[.!?]+\s+|\n\s*")
-_WORD = re.compile(r"\S+\s*")
+_LINE = re.compile("\n")
+_SPACE = np.array([chr(c).isspace() for c in range(0x3002)])
+
+
+def _word_bounds(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points (blanks as zero), starts and ends of the words."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    blank = _SPACE[np.minimum(points, len(_SPACE) - 1)]
+    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    if not blank[0]:
+        edge = np.concatenate(([0], edge))
+    if not blank[-1]:
+        edge = np.append(edge, len(points))
+    return np.where(blank, np.uint32(0), points), edge[::2], edge[1::2]
 
 
 def sentences(text: str | None) -> list[tuple[int, int, bytes, int]]:
-    """(start, end, hash, words) of the sentences; they cover the text but for blanks in front."""
-    text = text or ""
-    out = []
-    start = 0
-    for end in [*(m.end() for m in _END.finditer(text)), len(text)]:
-        words = text[start:end].split()
-        if len(words) > LONG:
-            a = start
-            held: list[str] = []
-            for m in _WORD.finditer(text, start, end):
-                held.append(m.group().strip().lower())
-                if xxhash.xxh32_intdigest(held[-1].encode("utf-8", "surrogatepass")) % 8 == 0 or m.end() == end:
-                    out.append((a, m.end(), _hash(held), len(held)))
-                    a, held = m.end(), []
-        elif words:
-            out.append((start, end, _hash([w.lower() for w in words]), len(words)))
-        start = end
-    return out
-
-
-def _hash(words: list[str]) -> bytes:
-    return xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
+    """(start, end, hash, words) of the sentences; they cover the text but for blanks in front.
+
+    A sentence goes on to the next word's start behind ``.``, ``!``, ``?`` or a line end.
+    """
+    lower = (text or "").lower()
+    words = lower.split()
+    if not words:
+        return []
+    low_points, starts, ends = _word_bounds(lower)
+    chosen = (np.add.reduceat(low_points, starts, dtype=np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(29) == 0
+    points = low_points
+    if not lower.isascii():  # lower case may have another length
+        points, starts, ends = _word_bounds(text)
+    last = points[ends - 1]
+    closes = (last == ord(".")) | (last == ord("!")) | (last == ord("?"))
+    lines = np.array([m.start() for m in _LINE.finditer(text)], np.int64)
+    behind = np.searchsorted(starts, lines)
+    closes[behind[behind > 0] - 1] = True
+    closes[-1] = True
+    bounds = np.concatenate(([0], np.flatnonzero(closes) + 1))
+    long = np.repeat(np.diff(bounds) > LONG, np.diff(bounds))
+    cuts = [0, *(np.flatnonzero(closes | (chosen & long)) + 1).tolist()]
+    place = starts[cuts[:-1]].tolist()
+    if not len(lines) or lines[0] > place[0]:
+        place[0] = 0
+    place.append(len(text))
+    digest = xxhash.xxh3_128_digest
+    return [
+        (p, q, digest(" ".join(words[a:b]).encode("utf-8", "surrogatepass")), b - a)
+        for (p, q), (a, b) in zip(pairwise(place), pairwise(cuts), strict=True)
+    ]
 
 
 def runs(units: list[tuple[int, int, bytes, int]]) -> Iterator[tuple[int, int, bytes]]:
     """(first sentence, number of sentences, hash)."""
-    upto = np.concatenate(([0], np.cumsum([u[3] for u in units], dtype=np.int64))).tolist()
+    upto = [0, *accumulate(u[3] for u in units)]
+    hashes = b"".join([u[2] for u in units])
     end = 0
     for i in range(len(units)):
         end = max(end, i + RUN)
@@ -67,7 +93,7 @@ def runs(units: list[tuple[int, int, bytes, int]]) -> Iterator[tuple[int, int, b
             end += 1
         if end > len(units):
             return
-        yield i, end - i, xxhash.xxh3_128_digest(b"".join(u[2] for u in units[i:end]))
+        yield i, end - i, xxhash.xxh3_128_digest(hashes[16 * i : 16 * end])
 
 
 def run_table(df: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -90,10 +116,17 @@ def run_table(df: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def repeated_runs(found: DataFrame) -> DataFrame:
-    """(doc_id, covered): the places (first sentence, number of sentences) of non-first occurrences."""
+    """(doc_id, covered): the places (first sentence, number of sentences) of non-first occurrences.
+
+    ``found`` is read more than once, so it should be a written table.
+    """
     at = F.struct("doc_id", "place")
-    first = found.groupBy("high", "low").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    later = found.join(first, ["high", "low"]).filter(~at.eqNullSafe(F.col("first")))
+    first = found.groupBy("high", "low").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    first = written(first)
+    hot = F.col("n") > max(1, found.count() // MOST_HOT)
+    met = found.join(F.broadcast(first.filter(hot).drop("n")), ["high", "low"], "left")
+    rest = met.filter("first is null").drop("first").join(first.filter(~hot).drop("n"), ["high", "low"])
+    later = met.filter("first is not null").unionByName(rest).filter(~at.eqNullSafe(F.col("first")))
     return later.groupBy("doc_id").agg(F.collect_set(F.struct("place", "size")).alias("covered"))
 
 
@@ -127,7 +160,7 @@ def remove_repeats(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     stays in all of them; a null id is an id like any other and is the first.
     """
     base = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    covered = repeated_runs(run_table(base, "doc_id", "text")).withColumnRenamed("doc_id", "covered_id")
+    covered = repeated_runs(written(run_table(base, "doc_id", "text"))).withColumnRenamed("doc_id", "covered_id")
     joined = base.join(covered, base["doc_id"].eqNullSafe(F.col("covered_id")), "left").select("doc_id", "text", "covered")
     fields = [("kept", T.StringType()), ("n_removed", T.LongType()), ("removed", T.StringType())]
 
