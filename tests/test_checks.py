@@ -10,7 +10,8 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 NAMES = [
     "X04_datetime", "X07_ipv6", "X12_email", "X33_analyze", "X35_reporting_statement", "X41_proper_noun", "EX05_stitch_span",
     "EX11_entity_profile", "EX13_redact", "X39_action_context", "T14_prepare_text", "LQ05_left_to_right", "LQ08_field_term", "LQ12_grouping", "C2_verhoeff", "V05_is_email",
-    "V18_is_public_ip", "V15_V19_ipv6_private", "V30_is_valid_iban", "V34_validate_passport", "VJ2_validity_report",
+    "V18_is_public_ip", "V15_V19_ipv6_private", "V30_is_valid_iban", "V34_validate_passport", "VJ2_validity_report", "V01_is_date",
+    "V44_validate_as_type", "V26_validate_asn", "N1_nested_normalisation", "N2_nested_values", "LQ02_and", "LQ04_not", "M2_gram_weights", "M3_position_counts",
     "T05_lemmatize_words", "T09_remove_duplicates", "A04_top_words_by_language", "A06_corpus_statistics_cube",
     "A07_conversation_ngrams", "F15_normalize_path", "SNK4_table_to_markdown", "M6_classification_report",
 ]
@@ -35,6 +36,20 @@ def duck():
     return connection
 
 
+#: Checks whose result must be true on some rows and false on others.
+TWO_SIDED = (
+    "V01_is_date", "V04_is_phone_number", "V04_phone_with_country_codes", "V05_is_email", "V08_is_social_security", "V09_is_credit_card",
+    "V15_V19_ipv6_loopback", "V16_is_loopback_ip", "V25_validate_vin", "V26_validate_asn", "V30_is_valid_iban", "V31_routing_number",
+)
+
+
+@pytest.mark.parametrize("name", TWO_SIDED)
+def test_checks_have_both_outcomes(entry, spark, name):
+    counts = {r["result"]: r["count"] for r in entry.queries()[name](spark, DATA).groupBy("result").count().collect()}
+    total = sum(counts.values())
+    assert min(counts.get(True, 0), counts.get(False, 0)) >= total / 100, counts
+
+
 def test_entry_points(entry, spark):
     queries, oracles = entry.queries(), entry.oracle_sql()
     assert set(oracles) <= set(queries) and len(oracles) > 180

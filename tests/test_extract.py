@@ -132,6 +132,8 @@ def test_invalid_and_custom_patterns(spark):
     assert [p.label for p in valid] == ["order", "order"] and rejected[0][0].label == "bad"
     df = spark.createDataFrame([(1, "ORD-12 and PO7, éPO8")], "id int, text string")
     assert sorted(r["value"] for r in E.extract(df, "text", "id", patterns=own).collect()) == ["ORD-12", "PO7"]
+    refused = catalog.split_valid(catalog.from_regexes([r"(?P<x>a)(?(1)b|c)", r"(?P<y>ab)"]))
+    assert [p.label for p in refused[0]] == ["y"] and refused[1][0][0].label == "x" and refused[1][0][1]
     assert catalog.is_regex(r"\d+") and not catalog.is_regex("(")
     with pytest.raises(ValueError, match="Invalid regex pattern"):
         catalog.validate_regex("(")

@@ -74,3 +74,13 @@ def test_row_conditions(df):
     assert ids(df, "ipv4:(10.0.1 OR 8.8)") == [1, 3]
     assert ids(df, "ipv4:10.0.* AND NOT ipv4:10.0.0.*") == [3]
     assert ids(df, "(bob OR nothing) AND NOT (gmail OR comcast)") == [2]
+
+
+def test_column_names_and_phrases_of_a_field(df):
+    odd = df.withColumnRenamed("text", "my `text`")
+    assert [r["id"] for r in odd.filter(Q.text_filter("my `text`", "gmail")).collect()] == [1]
+    assert [r["id"] for r in odd.select("id", Q.matching_values("my `text`", "ipv4:8").alias("v")).filter("size(v) > 0").collect()] == [1]
+    nested = df.selectExpr("id", "struct(text) AS s")
+    assert [r["id"] for r in nested.filter(Q.text_filter("s.text", "gmail")).collect()] == [1]
+    assert ids(df, 'unix_path:("home/user" OR "a b")') == [1]
+    assert ids(df, 'unix_path:("a b")') == []

@@ -284,3 +284,15 @@ def test_dispatch(evaluate):
     assert [tuple(r) for r in evaluate(lambda v: V.checked(v, "ssn"), ["123-45-6789", "000-12-3456", None])] == [
         (True, None), (False, "Invalid area number"), (False, "Missing value"),
     ]
+    odd = ["a b@example.com", "user@example.com", "12 3456789", "123-45-6789", "#x", "DEUTDEFF", None]
+    for name in V.EXPLAINED:
+        said = evaluate(lambda v, name=name: V.checked(v, name)["valid"], odd)
+        assert said == [bool(x) for x in evaluate(V.VALIDATORS[name], odd)], name
+
+
+def test_dates(evaluate):
+    texts = {
+        "2024-02-29": True, "2023-02-29": False, "x 2024-1-2T10": True, "31/12/2023": True, "13/13/2023": False, "3.4.2023": True, "Mar 31st, 2024": True,
+        "31 june 2024": False, "at 23:59.": True, "at 24:10": False, "1-URGENT": False, "Monday": False, "2024": False,
+    }
+    assert evaluate(V.is_date, list(texts)) == list(texts.values())

@@ -10,6 +10,7 @@ import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -189,6 +190,20 @@ def compile_error(regex: str) -> str | None:
     return None
 
 
+def jvm_compile_error(regex: str) -> str | None:
+    """Why the JVM refuses the translated ``regex``, or None; also None without a session to ask."""
+    from textscan.functions.regexes import to_jvm
+
+    session = SparkSession.getActiveSession()
+    if session is None:
+        return None
+    try:
+        session.sparkContext._jvm.java.util.regex.Pattern.compile(to_jvm(regex, known=False))
+    except IllegalArgumentException as error:  # the JVM's syntax error, as PySpark gives it
+        return str(error)
+    return None
+
+
 def is_regex(pattern: str) -> bool:
     return compile_error(pattern) is None
 
@@ -202,10 +217,12 @@ def validate_regex(pattern: str) -> str:
 
 
 def split_valid(patterns: Iterable[Pattern]) -> tuple[tuple[Pattern, ...], tuple[tuple[Pattern, str], ...]]:
-    """Split patterns into those that compile and (pattern, reason) for the rest."""
+    """Split patterns into those that compile, in Python and on the JVM, and (pattern, reason) for the rest."""
     valid, rejected = [], []
     for p in patterns:
         error = compile_error(p.regex)
+        if error is None and p.group == "custom":
+            error = jvm_compile_error(p.regex)
         if error is None:
             valid.append(p)
         else:

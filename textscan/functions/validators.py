@@ -2,7 +2,7 @@
 
 Boolean validators give true or false and null for null input.  Validators with
 details give a struct of fixed shape, with nulls for the fields that do not
-apply.  Only ``is_date`` and the doubtful rows of ``is_json`` use Python workers.
+apply.  Only the doubtful rows of ``is_json`` use Python workers.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from textscan.functions.checksums import (
     digits_only,
     iban_mod97,
     luhn,
+    nuban,
 )
 from textscan.functions.regexes import let, to_jvm
 
@@ -121,25 +122,42 @@ def entropy(text: Column) -> Column:
 # --- Dates, JSON, identifiers ---------------------------------------------------
 
 
-@F.pandas_udf(T.BooleanType())
-def _parses_as_date(values: pd.Series) -> pd.Series:
-    from dateutil.parser import parse
+#: Shapes of dates (RE2 and Java read them alike) and the formats that a match must have.
+DATE_SHAPES = (
+    (r"\b([0-9]{4}-[0-9]{1,2}-[0-9]{1,2})(?:\b|T)", ("yyyy-M-d",)),
+    (r"\b([0-9]{4}/[0-9]{1,2}/[0-9]{1,2})\b", ("yyyy/M/d",)),
+    (r"\b([0-9]{1,2}/[0-9]{1,2}/[0-9]{4})\b", ("M/d/yyyy", "d/M/yyyy")),
+    (r"\b([0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})\b", ("M.d.yyyy", "d.M.yyyy")),
+)
+_MONTH = "(?i:(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*)"
+_DAY = "([0-9]{1,2})(?:st|nd|rd|th)?"
+#: Dates with the month's name, and their parts as day, month, year.
+NAMED_DATES = (
+    (rf"\b{_MONTH}\.? +{_DAY},? +([0-9]{{4}})\b", (2, 1, 3)),
+    (rf"\b{_DAY} +{_MONTH}\.?,? +([0-9]{{4}})\b", (1, 2, 3)),
+)
+TIME_SHAPE = r"\b(?:[01]?[0-9]|2[0-3]):[0-5][0-9]\b"
 
-    def parses(text) -> bool | None:
-        if text is None:
-            return None
-        try:
-            parse(text, fuzzy=True)
-        except (ValueError, OverflowError, TypeError):
-            return False
-        return True
 
-    return values.map(parses)
+def is_date(value: Column) -> Column:
+    """Whether the text holds a written-out date that exists, or a time of day.
 
+    Bare numbers, years, names of months and of weekdays are no dates.
+    """
 
-def is_date(value: Column) -> Column:
-    """Whether a date or time can be read out of the text (fuzzy parse)."""
-    return _parses_as_date(value)
+    def any_reads(shape: str, group: int, plain, forms: tuple[str, ...]) -> Column:
+        found = F.regexp_extract_all(value, F.lit(shape), F.lit(group))
+        return F.exists(found, lambda m: F.coalesce(*[F.try_to_timestamp(plain(m), F.lit(f)) for f in forms]).isNotNull())
+
+    def in_order(shape: str, parts: tuple[int, ...]):
+        return lambda m: F.initcap(F.regexp_replace(m, shape, " ".join(f"${i}" for i in parts)))
+
+    result = value.rlike(TIME_SHAPE)
+    for shape, forms in DATE_SHAPES:
+        result |= any_reads(shape, 1, lambda m: m, forms)
+    for shape, parts in NAMED_DATES:
+        result |= any_reads(shape, 0, in_order(shape, parts), ("d MMM yyyy",))
+    return result
 
 
 @F.pandas_udf(T.BooleanType())
@@ -489,8 +507,8 @@ def is_html(text: Column) -> Column:
 
 # --- By type name -------------------------------------------------------------------
 
-#: Boolean validators by type name, in the order used to classify a value.
-VALIDATORS = {
+#: Boolean validators of the types that :func:`identify` looks for, in its order.
+IDENTIFYING = {
     "email": is_email,
     "url": is_url,
     "ipv4": network.is_ipv4,
@@ -511,7 +529,25 @@ VALIDATORS = {
     "json": lambda v: is_json(v, exact=False),
 }
 
-#: Validators that say why a value fails.
+#: All boolean validators of one value by type name.
+VALIDATORS = {
+    **IDENTIFYING,
+    "date": is_date,
+    "hostname": network.is_hostname,
+    "private_ip": network.is_private_ip,
+    "loopback_ip": network.is_loopback_ip,
+    "multicast_ip": network.is_multicast_ip,
+    "public_ip": network.is_public_ip,
+    "reserved_ip": network.is_reserved_ip,
+    "bank_account": is_bank_account,
+    "asn": validate_asn_format,
+    "nuban": nuban,
+    "card_type": lambda v: known(v, detect_card_type(v).isNotNull()),
+    "micr": lambda v: parse_micr_line(v)["valid"],
+    "html": is_html,
+}
+
+#: Validators that say why a value fails; whether it does is for ``VALIDATORS``.
 EXPLAINED = {
     "ssn": validate_ssn,
     "swift": validate_swift,
@@ -523,7 +559,7 @@ EXPLAINED = {
 
 def identify(value: Column, types: list[str] | None = None) -> Column:
     """The types a value passes for, in catalog order."""
-    names = types or list(VALIDATORS)
+    names = types or list(IDENTIFYING)
     return F.filter(
         F.array(*[F.when(VALIDATORS[n](value), F.lit(n)) for n in names]), lambda x: x.isNotNull()
     )
@@ -542,17 +578,11 @@ def validate_as(value: Column, type_name: Column | str) -> Column:
 def checked(value: Column, type_name: str) -> Column:
     """struct<valid, error> of a value as the named type."""
     missing = F.when(value.isNull(), "Missing value")
-    if type_name in EXPLAINED:
-        return let(
-            EXPLAINED[type_name](value),
-            lambda d: F.struct(
-                F.coalesce(d["valid"], F.lit(False)).alias("valid"), F.coalesce(missing, d["error"]).alias("error")
-            ),
-        )
+    reason = EXPLAINED[type_name](value)["error"] if type_name in EXPLAINED else F.lit(None).cast("string")
     return let(
-        VALIDATORS[type_name](value),
-        lambda ok: F.struct(
-            F.coalesce(ok, F.lit(False)).alias("valid"),
-            F.coalesce(missing, F.when(~ok, F.lit("Invalid format"))).alias("error"),
+        F.struct(VALIDATORS[type_name](value).alias("ok"), reason.alias("reason")),
+        lambda d: F.struct(
+            F.coalesce(d["ok"], F.lit(False)).alias("valid"),
+            F.coalesce(missing, F.when(~F.coalesce(d["ok"], F.lit(False)), F.coalesce(d["reason"], F.lit("Invalid format")))).alias("error"),
         ),
     )

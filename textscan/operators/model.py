@@ -74,6 +74,30 @@ def with_character_features(df: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def gram_table(df: DataFrame, text: str = "text", longest: int = 5) -> DataFrame:
+    """(gram, occurrences, documents, idf) of all character n-grams of lower-case texts; idf is
+    ln((1 + rows) / (1 + documents)) + 1, so that a gram of every row keeps weight 1."""
+    low, n = F.lower(F.col(text)), F.length(text)
+    grams = F.concat(
+        *[F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: low.substr(i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+          for k in range(1, longest + 1)]
+    )
+
+    def counted(values: Column, occurrences: int, documents: int) -> Column:
+        return F.transform(values, lambda g: F.struct(g.alias("gram"), F.lit(occurrences).alias("o"), F.lit(documents).alias("d")))
+
+    each = df.select(grams.alias("grams")).select(F.inline(F.concat(counted(F.col("grams"), 1, 0), counted(F.array_distinct("grams"), 0, 1))))
+    sums = each.groupBy("gram").agg(F.sum("o").alias("occurrences"), F.sum("d").alias("documents"))
+    rows = df.select(F.count(F.lit(1))).scalar()
+    return sums.withColumn("idf", F.log((rows + 1) / (F.col("documents") + 1)) + 1)
+
+
+def position_table(df: DataFrame, text: str = "text") -> DataFrame:
+    """(feature, occurrences) of the characters marked by position."""
+    positions = with_character_features(df.select(F.col(text).alias("text"))).select(F.explode("positions").alias("feature"))
+    return positions.groupBy("feature").agg(F.count(F.lit(1)).alias("occurrences"))
+
+
 def pipeline(trees: int = 100, seed: int = 42, hashed: int = 1 << 18, depth: int = 30) -> Pipeline:
     """Character n-grams (1–5) weighted by TF-IDF, position features and counts
     into a random forest.  N-grams and positions are hashed to ``hashed``

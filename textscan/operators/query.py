@@ -108,7 +108,7 @@ def field_values(text: Column, query: str) -> Column:
     return _trimmed(F.regexp_extract_all(text, F.lit(ahead), F.lit(0)))
 
 
-_TOKEN = re.compile(r'"([^"]*)"|\[(\w+)\sTO\s(\w+)\]|([()])|([^\s()]+)')
+_TOKEN = re.compile(r'(?:(\w+):)?"([^"]*)"|\[(\w+)\sTO\s(\w+)\]|([()])|([^\s()]+)')
 _JOINERS = ("AND", "OR", "NOT", "(")
 
 
@@ -118,6 +118,12 @@ def sql_string(value: str) -> str:
     return "concat(" + ", \"'\", ".join(parts) + ")" if len(parts) > 1 else parts[0]
 
 
+def name_sql(column: str) -> str:
+    """A column name for SQL text: a path of plain names (``a.b``) by its parts, any other as one name."""
+    parts = column.split(".") if re.fullmatch(r"\w+(\.\w+)*", column) else [column]
+    return ".".join("`" + part.replace("`", "``") + "`" for part in parts)
+
+
 def _matches_sql(column: str, field: str) -> str:
     found = f"regexp_extract_all({column}, {sql_string(field_regex(field))}, 0)"
     return f"array_distinct(filter(transform({found}, m -> trim(m)), m -> m <> ''))"
@@ -136,7 +142,7 @@ def _condition_sql(expression: str, subject: str) -> str:
     """The expression as SQL text, every term as a test of ``subject`` (a column
     or a lambda variable); two terms side by side must both hold."""
     out: list[str] = []
-    for quoted, low, high, paren, word in _TOKEN.findall(expression):
+    for of_field, quoted, low, high, paren, word in _TOKEN.findall(expression):
         starts_operand = word not in _JOINERS[:2] and paren != ")"
         if starts_operand and out and out[-1] not in _JOINERS:
             out.append("AND")
@@ -144,7 +150,11 @@ def _condition_sql(expression: str, subject: str) -> str:
         if paren or word in _JOINERS:
             out.append(paren or word)
         elif quoted:
-            out.append(f"{subject} RLIKE {sql_string(term_regex(quoted))}")
+            phrase = sql_string(term_regex(quoted))
+            if of_field in FIELDS:
+                out.append(f"exists({_matches_sql(subject, of_field)}, v -> v RLIKE {phrase})")
+            else:
+                out.append(f"{subject} RLIKE {phrase}")
         elif low:
             out.append(f"{subject} RLIKE '[{low}-{high}]'")
         elif field and field[1] in FIELDS:
@@ -159,7 +169,7 @@ def matching_values(column: str, query: str) -> Column:
     ``field:a``, ``field:(a AND b NOT c)`` or ``field:a AND NOT field:b``."""
     field = query.split(":", 1)[0]
     condition = _condition_sql(re.sub(rf"\b{field}:", "", query), "v")
-    return F.expr(f"array_sort(filter({_matches_sql(column, field)}, v -> {condition}))")
+    return F.expr(f"array_sort(filter({_matches_sql(name_sql(column), field)}, v -> {condition}))")
 
 
 def text_filter(column: str, query: str) -> Column:
@@ -169,7 +179,7 @@ def text_filter(column: str, query: str) -> Column:
     AND, OR, NOT and parentheses.  ``field:(a OR b)`` repeats the field."""
 
     def repeat_field(m: re.Match) -> str:
-        words = [w if w in _JOINERS else f"{m[1]}:{w}" for w in m[2].split()]
+        words = [w if w in _JOINERS else f"{m[1]}:{w}" for w in re.findall(r'"[^"]*"|\S+', m[2])]
         return "(" + " ".join(words) + ")"
 
-    return F.expr(_condition_sql(re.sub(r"(\w+):\(([^()]*)\)", repeat_field, query), column))
+    return F.expr(_condition_sql(re.sub(r"(\w+):\(([^()]*)\)", repeat_field, query), name_sql(column)))

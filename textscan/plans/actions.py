@@ -71,6 +71,18 @@ def run(df: DataFrame, action: str, *args, **options):
     return ACTIONS[action](df, *args, **options)
 
 
+def _is_date_sql() -> str:
+    """``V.is_date`` of ``t`` as SQL."""
+    tests = [f"t RLIKE {Q.sql_string(V.TIME_SHAPE)}"]
+    for shape, forms in V.DATE_SHAPES:
+        reads = " OR ".join(f"try_to_timestamp(m, '{f}') IS NOT NULL" for f in forms)
+        tests.append(f"exists(regexp_extract_all(t, {Q.sql_string(shape)}, 1), m -> {reads})")
+    for shape, parts in V.NAMED_DATES:
+        plain = f"initcap(regexp_replace(m, {Q.sql_string(shape)}, '{' '.join(f'${i}' for i in parts)}'))"
+        tests.append(f"exists(regexp_extract_all(t, {Q.sql_string(shape)}, 0), m -> try_to_timestamp({plain}, 'd MMM yyyy') IS NOT NULL)")
+    return " OR ".join(tests)
+
+
 def register_functions(spark: SparkSession) -> list[str]:
     """Make functions available to SQL: ``has_<label>(text)`` and
     ``find_<label>(text)`` as native SQL functions for labels of one pattern, and
@@ -93,7 +105,6 @@ def register_functions(spark: SparkSession) -> list[str]:
           (a, n) -> a - if(n > 0, n / octet_length(c) * log2(n / octet_length(c)), 0D)) END"""
     )
     names.append("byte_entropy")
-    for name, function in (("is_date", V._parses_as_date), ("strip_accents", X._strip_accents)):
-        spark.udf.register(name, function)
-        names.append(name)
-    return names
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION is_date(t STRING) RETURNS BOOLEAN RETURN {_is_date_sql()}")
+    spark.udf.register("strip_accents", X._strip_accents)
+    return [*names, "is_date", "strip_accents"]

@@ -240,8 +240,7 @@ def checks() -> dict:
     )
 
     # --- entity queries -------------------------------------------------------
-    t = F.col("text")
-    unix, url, ipv4_set = (_field_sql("text", f) for f in ("unix_path", "url", "ipv4"))
+    unix, url, ipv4_set, misc = (_field_sql("text", f) for f in ("unix_path", "url", "ipv4", "misc"))
 
     def ip_only(values):
         return f"list_filter({values}, lambda v: regexp_matches(v, {quoted(_IP_OK)}))"
@@ -252,20 +251,20 @@ def checks() -> dict:
     def lq(name, column, expression):
         add(
             name,
-            lambda spark, d: docs(spark, d).select("doc_id", _joined(column).alias("matches")),
+            lambda spark, d: docs(spark, d).select("doc_id", _joined(column()).alias("matches")),
             f"SELECT doc_id, {_strings(f'list_sort({expression})')} AS matches FROM {SEARCHED_SQL}",
         )
 
-    lq("LQ01_match_set", F.array_sort(Q.match_set(t, "unix_path")), unix)
-    lq("LQ02_and", Q.combine(t, "url:x AND unix_path:x"), f"list_intersect({url}, {unix})")
-    lq("LQ03_or", Q.combine(t, "url:x OR unix_path:x"), both(url, unix))
-    lq("LQ04_not", Q.combine(t, "url:x NOT unix_path:x"), f"list_filter({url}, lambda v: NOT list_contains({unix}, v))")
+    lq("LQ01_match_set", lambda: F.array_sort(Q.match_set(F.col("text"), "unix_path")), unix)
+    lq("LQ02_and", lambda: Q.combine(F.col("text"), "misc:x AND unix_path:x"), f"list_intersect({misc}, {unix})")
+    lq("LQ03_or", lambda: Q.combine(F.col("text"), "url:x OR unix_path:x"), both(url, unix))
+    lq("LQ04_not", lambda: Q.combine(F.col("text"), "misc:x NOT unix_path:x"), f"list_filter({misc}, lambda v: NOT list_contains({unix}, v))")
     lq(
         "LQ05_left_to_right",
-        Q.combine(t, "unix_path:x OR url:x NOT url:x OR url:y"),
+        lambda: Q.combine(F.col("text"), "unix_path:x OR url:x NOT url:x OR url:y"),
         both(f"list_filter({both(unix, url)}, lambda v: NOT list_contains({url}, v))", url),
     )
-    lq("LQ06_ipv4_filter", Q.combine(t, "ipv4:x OR url:x"), ip_only(both(ipv4_set, url)))
+    lq("LQ06_ipv4_filter", lambda: Q.combine(F.col("text"), "ipv4:x OR url:x"), ip_only(both(ipv4_set, url)))
     batch = ["url:x OR unix_path:x", "url:x", "nope:x", "plain"]
     errors = {"nope:x": "Unknown field: nope", "plain": "Invalid term format: plain"}
     add(
@@ -291,7 +290,7 @@ def checks() -> dict:
     add(
         "LQ08_field_term",
         lambda spark, d: docs(spark, d).select(
-            "doc_id", _joined(F.array_sort(Q.field_values(t, "unix_path:conf*ini"))).alias("matches")
+            "doc_id", _joined(F.array_sort(Q.field_values(F.col("text"), "unix_path:conf*ini"))).alias("matches")
         ),
         f"""WITH e AS (SELECT doc_id, {pieces} AS ps FROM {SEARCHED_SQL}),
             f AS (SELECT doc_id, unnest(ps) AS piece, generate_subscripts(ps, 1) AS i,
@@ -302,7 +301,7 @@ def checks() -> dict:
     )
     lq(
         "LQ09_value_condition",
-        Q.matching_values("text", "url:(example AND 1 NOT 2)"),
+        lambda: Q.matching_values("text", "url:(example AND 1 NOT 2)"),
         f"list_filter({url}, lambda v: v LIKE '%example%' AND v LIKE '%1%' AND NOT v LIKE '%2%')",
     )
 

@@ -52,6 +52,8 @@ ORDER_VALUES = {
         f"'gb' || {_pad(f'{K} * 7 % 100', 2)} || ' NWBK ' || {_pad(f'{K} * 31', 14)}",
         f"'FR' || {_pad(f'{K} * 3 % 100', 2)} || upper(substr({_HASH}, 1, 23))",
         f"'X' || {_s(K)}",
+        # right check digits: 98 less the account, "DE" and "00" as a number, by 97
+        f"'DE' || {_pad(f'98 - (({K} * 104729 % 97) * {10**6 % 97} + 131400) % 97', 2)} || {_pad(f'{K} * 104729', 18)}",
     ),
     "account": _case(
         K,
@@ -124,7 +126,7 @@ ORDER_VALUES = {
         "'1:2:3:4:5:6:7:' || " + _case(K, "'8'", "'8:9'", "':'"),
         f"substr({_HASH}, 1, 5) || '::'",
         f"':' || substr({_HASH}, 1, 4)",
-        "'ff02::1'",
+        _case(f"cast(floor({K} / 32) as bigint)", "'ff02::1'", "'::1'", "'0:0::0:1'"),
     ),
     "mac": _case(
         K,
@@ -149,6 +151,7 @@ ORDER_VALUES = {
         f"' ' || substr({_TEN}, 4, 7) || ' '",
         f"'+91-' || substr({_TEN}, 8, 3) || ' ' || substr({_TEN}, 6, 3) || '.' || substr({_TEN}, 7, 4)",
         f"'x' || {_s(K)}",
+        f"'+4' || {_s(f'cast(floor({K} / 8) as bigint) % 10')} || ' (235) 467-' || {_pad(f'{K} * 7919 % 10000', 4)}",
     ),
     "email": _case(
         K,
@@ -182,6 +185,18 @@ ORDER_VALUES = {
         f"'x' || {_s(K)}",
     ),
     "asn": _case(K, _s(K), _s(f"{K} * 31 % 70000"), _pad(f"{K} % 100", 3), _s(f"4294960000 + {K}"), f"' ' || {_s(K)} || ' '"),
+    "asn_number": _s(_case(K, K, f"{K} * 31 % 70000", f"4294960000 + {K}", f"0 - {K}", f"{K} * 7919")),
+    "date": _case(
+        f"cast(floor({K} / 8) as bigint)",
+        "substr(cast(o_orderdate as string), 1, 10)",
+        f"'due ' || {_s(f'{K} % 40')} || '/' || {_s(f'{K} * 7 % 40')} || '/2023 at last'",
+        "o_orderpriority",
+        f"'at ' || {_s(f'{K} % 30')} || ':' || {_pad(f'{K} * 3 % 80', 2)} || ' sharp'",
+        f"'On JULY ' || {_s(f'{K} % 36')} || 'th, 2023'",
+        f"{_s(f'{K} % 36')} || ' feb. 2023, or so'",
+        f"{_s(f'{K} % 36')} || '.' || {_s(f'{K} * 5 % 20')} || '.2024'",
+        f"'2024/2/' || {_s(f'{K} % 34')} || ' 1/2/33'",
+    ),
     "tin": _case(
         K,
         f"{_pad(f'{K} % 1000', 3)} || '-' || {_pad(f'{K} % 100', 2)} || '-' || {_pad(f'{K} % 10000', 4)}",

@@ -147,21 +147,22 @@ def checks() -> dict:
         "N1_nested_normalisation",
         lambda spark, d: NE.normalize_columns(
             table(spark, d, "conversations").selectExpr(
-                "conv_id", "turn", "map(upper(role), array(text, concat(' ', role)), role, array('  x')) AS m"
+                "conv_id", "turn", "map(upper(role), array(text), role, array(concat('  X ', turn, '  ')), 'The TEXT', array(text, role)) AS m"
             ),
             lambda c: X.normalize_whitespace(F.lower(c)), ["m"],
         ).select("conv_id", "turn", F.array_join(F.map_keys("m"), ",").alias("keys"),
                  F.array_join(F.flatten(F.map_values("m")), "|").alias("values")),
-        'SELECT conv_id, turn, role AS keys, \'x\' AS "values" FROM conversations',
+        f"""SELECT conv_id, turn, role || ',the text' AS keys,
+            'x ' || turn || '|' || {spaces_sql('lower(text)')} || '|' || role AS "values" FROM conversations""",
     )
     add(
         "N2_nested_values",
         lambda spark, d: NE.normalize_columns(
-            table(spark, d, "conversations").selectExpr("conv_id", "turn", "map(upper(role), struct(text, array(role) AS a)) AS m"),
+            table(spark, d, "conversations").selectExpr("conv_id", "turn", "role", "map(upper(role), struct(text, array(role) AS a)) AS m"),
             X.normalize_whitespace, ["m"], keys=False,
-        ).select("conv_id", "turn", F.element_at("m", F.upper(F.lit("user"))).alias("s"), F.map_keys("m")[0].alias("key"))
+        ).select("conv_id", "turn", F.element_at("m", F.upper("role")).alias("s"), F.map_keys("m")[0].alias("key"))
         .select("conv_id", "turn", "key", F.col("s.text").alias("text")),
-        f"SELECT conv_id, turn, upper(role) AS key, CASE WHEN role = 'user' THEN {spaces_sql('text')} END AS text FROM conversations",
+        f"SELECT conv_id, turn, upper(role) AS key, {spaces_sql('text')} AS text FROM conversations",
     )
     add(
         "N3_flatten",
@@ -366,15 +367,28 @@ def checks() -> dict:
     )
 
     # --- model -----------------------------------------------------------------------
-    counts = M.character_counts(F.col("text"))
     add(
         "M4_character_counts",
-        lambda spark, d: table(spark, d, "documents").select(
-            "doc_id", *[counts[i].alias(n) for i, n in enumerate(("digits", "letters", "spaces", "others"))]
+        lambda spark, d: table(spark, d, "documents").withColumn("counts", M.character_counts(F.col("text"))).select(
+            "doc_id", *[F.col("counts")[i].alias(n) for i, n in enumerate(("digits", "letters", "spaces", "others"))]
         ),
         """SELECT doc_id, CAST(len(regexp_extract_all(text, '\\d')) AS INTEGER) AS digits, CAST(len(regexp_extract_all(text, '\\p{L}')) AS INTEGER) AS letters,
            CAST(len(regexp_extract_all(text, '\\s')) AS INTEGER) AS spaces, CAST(length(text) - len(regexp_extract_all(text, '[\\p{L}\\p{N}\\s]')) AS INTEGER) AS others FROM documents""",
     )
+    add(
+        "M2_gram_weights",
+        lambda spark, d: M.gram_table(table(spark, d, "part"), "p_name").withColumn("idf", F.round("idf", 6)),
+        """WITH g AS (SELECT p_partkey, unnest(list_transform(range(1, length(p_name) - k + 2), lambda i: substr(lower(p_name), i, k))) AS gram
+             FROM part, range(1, 6) AS s(k) WHERE length(p_name) >= k)
+           SELECT gram, count(*) AS occurrences, count(DISTINCT p_partkey) AS documents,
+             round(ln((1 + (SELECT count(*) FROM part)) / (1 + count(DISTINCT p_partkey))) + 1, 6) AS idf FROM g GROUP BY gram""",
+    )
+    add(
+        "M3_position_counts",
+        lambda spark, d: M.position_table(table(spark, d, "part"), "p_name"),
+        """SELECT c || '_pos_' || i AS feature, count(*) AS occurrences FROM (
+             SELECT unnest(string_split(p_name, '')) AS c, generate_subscripts(string_split(p_name, ''), 1) - 1 AS i FROM part) GROUP BY 1""",
+    )
     predicted = "CASE WHEN quality + toxic > 0 THEN 1 ELSE 0 END"
     add(
         "M6_classification_report",

@@ -17,6 +17,19 @@ from textscan.plans.inputs import order_values, order_values_sql, searched_docum
 DIGITS = "regexp_replace({v}, '[^0-9]', '', 'g')"
 
 
+def date_sql(v: str) -> str:
+    """The dates of ``V.is_date``: matches that DuckDB reads in one of the formats."""
+    forms = {"yyyy-M-d": "%Y-%m-%d", "yyyy/M/d": "%Y/%m/%d", "M/d/yyyy": "%m/%d/%Y", "d/M/yyyy": "%d/%m/%Y", "M.d.yyyy": "%m.%d.%Y", "d.M.yyyy": "%d.%m.%Y"}
+    tests = [match(v, V.TIME_SHAPE)]
+    for shape, names in V.DATE_SHAPES:
+        reads = " OR ".join(f"try_strptime(m, '{forms[n]}') IS NOT NULL" for n in names)
+        tests.append(f"len(list_filter(regexp_extract_all({v}, {q(shape)}, 1), lambda m: {reads})) > 0")
+    for shape, parts in V.NAMED_DATES:
+        plain = f"regexp_replace(m, {q(shape)}, '" + " ".join(f"\\{i}" for i in parts) + "')"
+        tests.append(f"len(list_filter(regexp_extract_all({v}, {q(shape)}, 0), lambda m: try_strptime({plain}, '%d %b %Y') IS NOT NULL)) > 0")
+    return "(" + " OR ".join(tests) + ")"
+
+
 def q(regex: str) -> str:
     return quoted(regex)
 
@@ -260,13 +273,7 @@ def checks() -> dict:
     )
 
     # --- validators --------------------------------------------------------------
-    add(
-        "V01_is_date",
-        lambda spark, d: table(spark, d, "orders").selectExpr(
-            "o_orderkey AS id",
-            "CASE WHEN o_orderkey % 2 = 0 THEN cast(o_orderdate as string) ELSE o_orderpriority END AS value",
-        ).select("id", V.is_date(F.col("value")).alias("result")),
-    )
+    on_orders("V01_is_date", "date", V.is_date, date_sql("value"))
     add(
         "V02_entropy",
         lambda spark, d: table(spark, d, "documents").select("doc_id", F.round(V.entropy(F.col("text")), 6).alias("entropy")),
@@ -376,7 +383,7 @@ def checks() -> dict:
     )
     on_orders("V25_validate_vin", "vin", V.validate_vin, VIN_SQL)
     on_orders(
-        "V26_validate_asn", "number", lambda v: V.validate_asn(v.cast("long"), 16),
+        "V26_validate_asn", "asn_number", lambda v: V.validate_asn(v.cast("long"), 16),
         "(CAST(value AS BIGINT) BETWEEN 0 AND 65535)",
     )
     on_orders("V27_validate_asn_format", "asn", V.validate_asn_format, match("trim(value)", V.ASN_FORMATS[32]))
@@ -501,10 +508,29 @@ def checks() -> dict:
         ),
         f"SELECT id, array_to_string({types_sql}, ',') AS types FROM {mixed_sql}",
     )
+    #: type -> (its own check, the column of values)
+    checked_types = {
+        "email": ("V05_is_email", "email"), "domain": ("V07_is_domain", "domain"), "ssn": ("V08_is_social_security", "ssn"),
+        "credit_card": ("V09_is_credit_card", "card"), "ipv4": ("V10_is_ipv4", "ip"), "mac": ("V12_is_mac_address", "mac"),
+        "hostname": ("V13_is_hostname", "domain"), "cidr": ("V14_is_cidr", "cidr"), "private_ip": ("V15_is_private_ip", "ip"),
+        "loopback_ip": ("V16_is_loopback_ip", "ip"), "multicast_ip": ("V17_is_multicast_ip", "ip"), "public_ip": ("V18_is_public_ip", "ip"),
+        "reserved_ip": ("V19_is_reserved_ip", "ip"), "uuid": ("V21_is_uuid", "uuid"), "geo_coordinate": ("V23_is_geo_coordinate", "geo"),
+        "bank_account": ("V24_is_bank_account", "account"), "vin": ("V25_validate_vin", "vin"), "asn": ("V27_validate_asn_format", "asn"),
+        "iban": ("V30_is_valid_iban", "iban"), "routing_number": ("V31_routing_number", "routing"), "swift": ("V35_validate_swift", "swift"),
+        "phone_number": ("V38_validate_phone_number", "phone"), "hashtag": ("V41_validate_hashtag", "hashtag"), "date": ("V01_is_date", "date"),
+        "nuban": ("C6_nuban", "nuban"), "micr": ("V32_parse_micr_line", "micr"),
+    }
+
+    def values_by_type(spark, d):
+        columns = list(dict.fromkeys(column for _, column in checked_types.values()))
+        each = F.array(*[F.struct(F.lit(t).alias("type"), F.col(column).alias("value")) for t, (_, column) in checked_types.items()])
+        return order_values(spark, d, "email", *columns).select("id", F.inline(each))
+
+    plain = lambda sql: "valid" if " AS valid" in sql else "result"
     add(
         "V44_validate_as_type",
-        lambda spark, d: mixed_values(spark, d).select("id", "type", V.validate_as(F.col("value"), F.col("type")).alias("valid")),
-        f"SELECT id, type, CASE type " + " ".join(f"WHEN '{t}' THEN {passes[t]}" for t in mixed) + f" END AS valid FROM {mixed_sql}",
+        lambda spark, d: values_by_type(spark, d).select("id", "type", V.validate_as(F.col("value"), F.col("type")).alias("valid")),
+        " UNION ALL ".join(f"SELECT id, '{t}' AS type, {plain(out[check][1])} AS valid FROM ({out[check][1]})" for t, (check, _) in checked_types.items()),
     )
 
     # --- jobs -----------------------------------------------------------------------
@@ -515,7 +541,7 @@ def checks() -> dict:
 
     records_sql = f"(SELECT id, ssn, ip, swift FROM {order_values_sql('ssn', 'ssn', 'ip', 'swift')})"
     errors = {
-        "ssn": ssn_error_sql("ssn"), "swift": swift_error_sql("swift"),
+        "ssn": f"coalesce({ssn_error_sql('ssn')}, CASE WHEN NOT {match('ssn', V.SSN_FORMAT)} THEN 'Invalid format' END)", "swift": swift_error_sql("swift"),
         "ip": f"CASE WHEN NOT {match('ip', IPV4_SQL)} THEN 'Invalid format' END",
     }
     add(
