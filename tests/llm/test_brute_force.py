@@ -270,13 +270,31 @@ def test_repeats_are_removed_once(spark):
     assert out[1]["text"].split() == (own[1] + " " + own[2]).split() and out[3]["text"] == ""
     assert len(out[5]["text"].split()) < len(texts[5].split()) - 60
     assert all(out[i]["text"] == texts[i] for i in (0, 2, 4, 6, 7, 8))
-    # against a plain search for the same runs
+    assert _removed_by_plain_search(texts) == {i: r["n_removed"] for i, r in out.items()}
+
+
+def _removed_by_plain_search(texts):
+    """Row -> number of sentences that a later occurrence of any run covers."""
     first, gone = {}, defaultdict(set)
     for i, t in enumerate(texts):
         for at, n, h in substring_dedup.runs(substring_dedup.sentences(t)):
             if first.setdefault(h, (i, at)) != (i, at):
                 gone[i].update(range(at, at + n))
-    assert {i: len(gone[i]) for i in out} == {i: r["n_removed"] for i, r in out.items()}
+    return {i: len(gone[i]) for i in range(len(texts))}
+
+
+@pytest.mark.parametrize("most_hot", [10_000, 40, 1])
+def test_hot_and_other_runs_give_the_same(spark, monkeypatch, most_hot):
+    """All repeated runs broadcast, only the passage that half of the texts share, none."""
+    rng = random.Random(3)
+    sentence = lambda: (words(rng.randrange(6, 12), 5000, rng) + ".").capitalize()
+    passage = lambda n: " ".join(sentence() for _ in range(n))
+    common, rare = passage(5), [passage(4) for _ in range(10)]
+    texts = [" ".join([passage(3), *([common] if i % 2 else []), *([rare[i // 4]] if i % 4 < 2 else []), passage(2)]) for i in range(40)]
+    monkeypatch.setattr(substring_dedup, "MOST_HOT", most_hot)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r["n_removed"] for r in substring_dedup.remove_repeats(df, "doc_id", "text").collect()}
+    assert out == _removed_by_plain_search(texts) and sum(out.values()) > 100
 
 
 @settings(max_examples=200, deadline=None)
