@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -14,6 +15,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 #: Rows of text per Arrow batch, so that a worker holds a bounded number of texts at a time.
 TEXT_ROWS = 512
+#: The folder that holds the package.
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -33,7 +36,12 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def small_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
-    """Lower the session's rows per Arrow batch where they are more than ``rows``."""
+    """Lower the session's rows per Arrow batch where they are more than ``rows``, and let the Python workers
+    of a local session import this package wherever it was started (a cluster gets it with the job)."""
+    context = spark.sparkContext
+    known = context.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if context.master.startswith("local") and ROOT not in known:
+        context.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [*known, ROOT]))
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
