@@ -87,7 +87,7 @@ def find(text: str | None) -> list[Span]:
     text = text or ""
     spans: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     # where the next match of a kind may start; digit runs are looked at from their first digit
-    done = dict.fromkeys(("email", "ip", "card", "phone"), 0)
+    done = dict.fromkeys(("email", "ip", "card", "phone", "secret"), 0)
     seen_ip = -2
 
     def add(kind: str, start: int, end: int) -> None:
@@ -125,7 +125,9 @@ def find(text: str | None) -> list[Span]:
             if m := _LOGIN.match(text, end + 1):
                 add("login", m.start(), m.end())
         elif kind in ("secret", "bearer"):
-            if m := (_SECRET if kind == "secret" else _BEARER).match(text, end + 1):
+            # cues inside a secret are part of it
+            if end >= done["secret"] and (m := (_SECRET if kind == "secret" else _BEARER).match(text, end + 1)):
+                done["secret"] = m.end(1)
                 add("secret", *m.span(1))
         elif kind == "ssn":
             if m := _SSN.match(text, end + 1):
