@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textscan.llm.batches import append_columns, cut, fresh, written
+from textscan.llm.batches import append_columns, fresh, written
 
 LEAST_WORDS = 10
 MOST_REPEATED = 20  # percent of the words
@@ -105,15 +105,19 @@ def fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def thresholds(sketch: DataFrame, lang: str, source: str) -> DataFrame:
-    """(lang, source, fences) with the fences of the group, its language or the whole table."""
-    sketch = cut(sketch)
+    """(lang, source, fences) with the fences of the group, its language or the whole table.
+
+    Sketches and fences are written: Spark then knows their sizes, and joins few groups without moving the
+    texts; many are joined by hash."""
+    sketch = written(sketch)
     names = [f"{k}_{e}" for k in SPREAD for e in ("low", "high")]
     own = fences(sketch, [lang, source])
     by_lang = fences(sketch, [lang]).select(F.col(lang).alias("l_lang"), F.col("docs").alias("l_docs"), *[F.col(n).alias(f"l_{n}") for n in names])
-    overall = fences(sketch.withColumn("all", F.lit(1)), ["all"]).select(*[F.col(n).alias(f"a_{n}") for n in names], F.col("all").alias("a_all"))
-    joined = own.join(by_lang, F.col(lang).eqNullSafe(F.col("l_lang")), "left").join(overall, F.lit(1) == F.col("a_all"), "left")
-    pick = lambda n: F.when(F.col("docs") >= LEAST_DOCS, F.col(n)).when(F.col("l_docs") >= LEAST_DOCS, F.col(f"l_{n}")).otherwise(F.col(f"a_{n}"))
-    return joined.select(F.col(lang).alias("t_lang"), F.col(source).alias("t_source"), *[pick(n).alias(f"t_{n}") for n in names])
+    overall = fences(sketch.withColumn("all", F.lit(1)), ["all"]).first()  # one row, or none of an empty sketch
+    every = overall.asDict() if overall else dict.fromkeys(names)
+    joined = own.join(by_lang, F.col(lang).eqNullSafe(F.col("l_lang")), "left")
+    pick = lambda n: F.when(F.col("docs") >= LEAST_DOCS, F.col(n)).when(F.col("l_docs") >= LEAST_DOCS, F.col(f"l_{n}")).otherwise(F.lit(every[n]))
+    return written(joined.select(F.col(lang).alias("t_lang"), F.col(source).alias("t_source"), *[pick(n).cast("long").alias(f"t_{n}") for n in names]))
 
 
 def judged(df: DataFrame, text: str, lang: str, source: str, prefix: str = "", carry_text: bool = True) -> tuple[DataFrame, list[str]]:
