@@ -74,6 +74,12 @@ def test_further_kinds_and_redaction():
 # --- tokens
 
 
+def test_cues_inside_a_secret_are_part_of_it():
+    text = "token=" * 60_000 + "end"
+    assert [k for k, *_ in pii.find(text)] == ["secret"] and pii.redact(text) == "token=[SECRET]"
+    assert [s for s in pii.find("secret: " + "a" * 16 + " token=" + "b" * 16) if s[0] == "secret"] == [("secret", 8, 24), ("secret", 31, 47)]
+
+
 def test_token_counts_equal_library():
     path = tokenizer_path("byte_bpe_50k.json")
     texts = [None, "", " ", "\n\n  a", "Hello  world\r\n\tx", "it's we'll 'sx", "<|endoftext|> b<|endoftext|>", "日本語 text", "a b", "éx y", "\x1c\x1d a", "🙂🙂 ok", "x" * 5000, " " * 3000]
@@ -233,6 +239,20 @@ def test_measures(text):
     assert quality_rules.measure(text) == slow_measure(text)
 
 
+def test_many_groups_are_joined_by_hash(spark):
+    plain = "It was there and of the other one so that nobody minded it at all"
+    rows = [(i, plain + (" $$$$" * 9 if i % 20 == 0 else ""), "en" if i % 2 else None, f"s{i % 4}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    few = sorted(r["doc_id"] for r in quality_rules.quality_filter(df, "text", "lang", "source").collect())
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        many = sorted(r["doc_id"] for r in quality_rules.quality_filter(df, "text", "lang", "source").collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert few == many == [i for i in range(400) if i % 20]
+
+
 def test_gam_learns_an_interaction():
     rng = np.random.default_rng(0)
     x = np.zeros((4000, len(quality_gam.FEATURES)))
