@@ -12,7 +12,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from textscan.llm import chat, decontamination, packing, pii, quality_gam, quality_rules, simhash, substring_dedup, token_count
+from textscan.llm import chat, decontamination, near_duplicates, packing, pii, quality_gam, quality_rules, simhash, substring_dedup, token_count
 from textscan.llm.queries import QUERIES, tokenizer_path
 
 DATA = "/root/testdata/sf0.001"
@@ -178,6 +178,51 @@ def test_simhash_query(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(roots.values()))
 
 
+# --- near-duplicates of the pipeline
+
+
+def slow_shingles(text):
+    w = text.lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def slow_similar(a, b):
+    return a == b or 10 * len(a & b) >= 8 * len(a | b)
+
+
+@pytest.mark.parametrize("chunk", [256, 3])
+def test_near_duplicates_of_the_pipeline(spark, monkeypatch, chunk):
+    monkeypatch.setattr(near_duplicates, "CHUNK", chunk)
+    rng = random.Random(12)
+    texts = ["", " \n", "one two", "One  two", words(5000, 9000, rng)]
+    for _ in range(25):
+        base = words(rng.choice([6, 30, 120, 400]), 5000, rng).split()
+        for _ in range(rng.choice([1, 2, 12])):
+            texts.append(" ".join(base))
+            for at in rng.sample(range(len(base)), rng.choice([0, 1, len(base) // 60, len(base) // 40, len(base) // 25])):
+                base[at] = f"new{rng.random()}"
+    rng.shuffle(texts)
+    sets = [slow_shingles(t) for t in texts]
+    roots = roots_of(range(len(texts)), lambda i, j: slow_similar(sets[i], sets[j]))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    kept = sorted(r["doc_id"] for r in near_duplicates.drop_near_duplicates(df, "doc_id", "text").collect())
+    assert kept == sorted(set(roots.values())) and len(texts) - len(kept) > 40
+
+
+def test_stage_keeps_no_similar_pair(spark):
+    """Two words of 60 are replaced: similar by five words, but beyond three bits."""
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    rows = []
+    for i in range(20):
+        base = words(60, 5000, rng).split()
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(["first", *base[1:-1], "last"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = dict(corpus_pipeline.STAGES)["simhash"](spark, df, DATA).collect()
+    assert sorted(r["doc_id"] for r in kept) == list(range(0, 40, 2))
+
+
 # --- decontamination
 
 
