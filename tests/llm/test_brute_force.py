@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -386,6 +386,14 @@ def test_packing_query(spark):
     assert sum(used.values()) / (2048 * len(used)) > 0.97
 
 
+def test_repeated_rows_are_packed_in_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 50)
+    df = spark.createDataFrame([(7, "the same text")] * 400 + [(None, None)] * 400, "doc_id long, text string")
+    rows = packing.pack(df, "doc_id", "text", tokenizer_path("word_bpe_49k.json")).collect()
+    sizes = Counter(r["sequence_id"] >> 32 for r in rows)
+    assert len(rows) == 800 and len(sizes) == 16 and max(sizes.values()) < 100
+
+
 def check_packing(rows, ids, window):
     covered, sequences = defaultdict(list), defaultdict(list)
     for r in rows:

@@ -8,7 +8,7 @@ The plan: lengths are rounded up to ``UNIT`` tokens, and all combinations of up
 window are enumerated.  Non-negative least squares finds how often each combination should be used so that
 the histogram comes out; at most as many combinations as there are lengths get a part.
 
-The pieces are dealt by hash into groups of about ``GROUP`` pieces.  Each group uses every combination its
+The pieces are numbered and dealt by a hash of the number into groups of about ``GROUP`` pieces.  Each group uses every combination its
 share of times, rounded and as far as its pieces reach, and packs the rest greedily, longest first, each into
 the fullest sequence that still has room.
 """
@@ -238,19 +238,19 @@ def pack(df: DataFrame, doc_id: str, text: str, path: str, window: int = WINDOW,
     """
     if window % UNIT:
         raise ValueError(f"the window must be a multiple of {UNIT}")
-    cut = written(pieces(df, doc_id, text, path, window, end, with_ids))
+    cut = written(pieces(df, doc_id, text, path, window, end, with_ids).withColumn("piece", F.monotonically_increasing_id()))
     histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
     total = sum(histogram.values())
     shares = plan({k: n for k, n in histogram.items() if k < window}, window)
     groups = max(1, -(-total // GROUP))
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by([(c, "ascending") for c in ("spread", "doc_id", "start", "ids_crc32")])
+        table = table.sort_by([(c, "ascending") for c in ("spread", "piece")])
         sequence, offset = pack_group(table["length"].to_numpy(), shares, window)
-        table = table.drop_columns(["pack_group", "spread"])
+        table = table.drop_columns(["pack_group", "spread", "piece"])
         return table.append_column("sequence_id", pa.array(sequence + (key[0].as_py() << 32))).append_column("offset", pa.array(offset))
 
-    spread = F.xxhash64("doc_id", "start", "ids_crc32")
+    spread = F.xxhash64("piece")  # its number, so that repeated rows are spread like any others
     dealt = cut.withColumn("spread", spread).withColumn("pack_group", F.pmod(spread, F.lit(groups)))
-    schema = T.StructType(cut.schema.fields).add("sequence_id", "long").add("offset", "long")
+    schema = T.StructType(cut.drop("piece").schema.fields).add("sequence_id", "long").add("offset", "long")
     return dealt.groupBy("pack_group").applyInArrow(run, schema)
