@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from textscan.llm import url_filter
-from textscan.llm.queries import ORACLES, QUERIES
+from textscan.llm import token_count, url_filter
+from textscan.llm.queries import ORACLES, QUERIES, tokenizer_path
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -105,6 +105,13 @@ def test_stages_keep_the_columns(spark, odd):
     assert {str(r["doc_id"]) for r in pieces.collect()} == set(seen["pii"])
 
 
+def test_the_packed_corpus_is_in_the_result(spark, odd):
+    docs = spark.createDataFrame([(1, PROSE), (2, None)], "doc_id long, text string")
+    want = token_count.tokenizer(tokenizer_path("word_bpe_49k.json")).encode_batch([PROSE, ""], add_special_tokens=False)
+    rows = corpus_pipeline.STAGES[-1][1](spark, docs, odd).collect()
+    assert {r["doc_id"]: r["ids"] for r in rows} == {1: [*want[0].ids, 1], 2: [1]}
+
+
 def test_stages_with_clashing_columns(spark, tmp_path):
     path = folder(spark, tmp_path, odd_documents(), extra=True)
     docs = spark.read.parquet(f"{path}/documents.parquet")
