@@ -362,6 +362,18 @@ def test_hot_and_other_runs_give_the_same(spark, monkeypatch, most_hot):
     assert out == _removed_by_plain_search(texts) and sum(out.values()) > 100
 
 
+@pytest.mark.parametrize("key", [7, None])
+def test_rows_of_one_id_are_judged_on_their_own(spark, key):
+    rng = random.Random(14)
+    sentence = lambda: (words(9, 5000, rng) + ".").capitalize()
+    passage = lambda n: " ".join(sentence() for _ in range(n))
+    shared, head, own = passage(4), passage(5), passage(12)
+    texts = [shared, head + " " + shared, own, "Short. One.", None, head]
+    df = spark.createDataFrame([(key, t) for t in texts], "doc_id long, text string").coalesce(1)
+    got = [(r["text"], r["n_removed"]) for r in substring_dedup.remove_repeats(df, "doc_id", "text").collect()]
+    assert Counter(got) == Counter([(shared, 0), (head + " ", 4), (own, 0), ("Short. One.", 0), (None, 0), ("", 5)])
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="ab .!?\n\té", max_size=200))
 def test_sentences_cover_the_text(text):

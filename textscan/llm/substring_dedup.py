@@ -3,10 +3,10 @@
 A text is cut into sentences; one of more than ``LONG`` words is cut further behind words chosen by their
 hash, so that the cuts inside a repeated passage are the same wherever it stands.  From each sentence on, the
 shortest run of at least ``RUN`` sentences and ``LEAST_WORDS`` words is hashed (128 bits, case and white space
-aside).  Runs are joined globally: the first occurrence is the one with the least (document, place), and
-sentences that any other occurrence covers are removed.
+aside).  Runs are joined globally: the first occurrence is the one with the least (document, row, place), and
+sentences that any other occurrence covers are removed.  Places belong to a row, as rows may share a document.
 
-The runs are written once and read by what follows.  The first occurrences come from a minimum that is combined
+Texts with their row numbers and the runs are written once and read by what follows.  The first occurrences come from a minimum that is combined
 before the shuffle.  Runs with more than 1 / ``MOST_HOT`` of all occurrences are fewer than ``MOST_HOT``, so they
 are broadcast and their occurrences stay where they are; only the others are joined by their hash.
 """
@@ -97,37 +97,39 @@ def runs(units: list[tuple[int, int, bytes, int]]) -> Iterator[tuple[int, int, b
 
 
 def run_table(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(high, low, doc_id, place, size): every run of every text."""
+    """(high, low, doc_id, row, place, size): every run of every text; ``df`` has a long ``row``."""
     small_batches(df.sparkSession)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             row, place, size, hashes = [], [], [], []
-            for i, t in enumerate(b.column(1).to_pylist()):
+            for i, t in enumerate(b.column(2).to_pylist()):
                 for at, n, h in runs(sentences(t)):
                     row.append(i), place.append(at), size.append(n), hashes.append(h)
             halves = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
-            ids = b.column(0).take(pa.array(row, pa.int32()))
-            arrays = [pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), ids, pa.array(place, pa.int32()), pa.array(size, pa.int32())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["high", "low", "doc_id", "place", "size"])
+            ids = [b.column(k).take(pa.array(row, pa.int32())) for k in (0, 1)]
+            arrays = [pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), *ids, pa.array(place, pa.int32()), pa.array(size, pa.int32())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["high", "low", "doc_id", "row", "place", "size"])
 
     kind = df.schema[doc_id].dataType.simpleString()
-    return df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(find, f"high long, low long, doc_id {kind}, place int, size int")
+    return df.select(F.col(doc_id).alias("doc_id"), "row", F.col(text).alias("text")).mapInArrow(
+        find, f"high long, low long, doc_id {kind}, row long, place int, size int"
+    )
 
 
 def repeated_runs(found: DataFrame) -> DataFrame:
-    """(doc_id, covered): the places (first sentence, number of sentences) of non-first occurrences.
+    """(row, covered): the places (first sentence, number of sentences) of non-first occurrences.
 
     ``found`` is read more than once, so it should be a written table.
     """
-    at = F.struct("doc_id", "place")
+    at = F.struct("doc_id", "row", "place")
     first = found.groupBy("high", "low").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     first = written(first)
     hot = F.col("n") > max(1, found.count() // MOST_HOT)
     met = found.join(F.broadcast(first.filter(hot).drop("n")), ["high", "low"], "left")
     rest = met.filter("first is null").drop("first").join(first.filter(~hot).drop("n"), ["high", "low"])
     later = met.filter("first is not null").unionByName(rest).filter(~at.eqNullSafe(F.col("first")))
-    return later.groupBy("doc_id").agg(F.collect_set(F.struct("place", "size")).alias("covered"))
+    return later.groupBy("row").agg(F.collect_set(F.struct("place", "size")).alias("covered"))
 
 
 def _keep(text: str | None, covered: list[dict] | None) -> tuple[str | None, int, str]:
@@ -156,12 +158,13 @@ def remove_repeats(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     that a non-first repeated run covers, and the removed stretches (code points, end exclusive).
 
     Null texts stay null.  Texts of fewer than ``RUN`` sentences or ``LEAST_WORDS``
-    words have no runs and stay.  Rows that share a doc_id count as one document, so what only they repeat
-    stays in all of them; a null id is an id like any other and is the first.
+    words have no runs and stay.  Rows that share a doc_id are cut and judged on their own, in the order they are
+    stored in; a null id is an id like any other and is the first.
     """
-    base = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    covered = repeated_runs(written(run_table(base, "doc_id", "text"))).withColumnRenamed("doc_id", "covered_id")
-    joined = base.join(covered, base["doc_id"].eqNullSafe(F.col("covered_id")), "left").select("doc_id", "text", "covered")
+    base = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
+    base = written(base)
+    covered = repeated_runs(written(run_table(base, "doc_id", "text")))
+    joined = base.join(covered, "row", "left").select("doc_id", "text", "covered")
     fields = [("kept", T.StringType()), ("n_removed", T.LongType()), ("removed", T.StringType())]
 
     def run(texts: list, covered: list) -> list[tuple]:
