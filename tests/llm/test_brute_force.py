@@ -362,6 +362,29 @@ def test_hot_and_other_runs_give_the_same(spark, monkeypatch, most_hot):
     assert out == _removed_by_plain_search(texts) and sum(out.values()) > 100
 
 
+@pytest.mark.parametrize("size", [51, 60])
+def test_passages_of_51_words_are_found_wherever_they_stand(size):
+    """In an unpunctuated line, between other words, against a plain search for words that stand in the first text."""
+    rng = random.Random(15)
+    for offset in range(0, 120):
+        passage = words(size, 5000, rng)
+        first, second = (f"{words(n, 5000, rng)} {passage} {words(40, 5000, rng)}" for n in (30, 20 + offset))
+        seen = {h for _, _, h in substring_dedup.runs(substring_dedup.sentences(first))}
+        units = substring_dedup.sentences(second)
+        gone = {u for at, n, h in substring_dedup.runs(units) if h in seen for u in range(at, at + n)}
+        assert sum(units[u][3] for u in gone) >= size - 4 * substring_dedup.WINDOW
+        one, two = first.split(), second.split()
+        known = {tuple(one[i : i + 20]) for i in range(len(one) - 19)}
+        plain = {i + k for i in range(len(two) - 19) if tuple(two[i : i + 20]) in known for k in range(20)}
+        places = np.cumsum([0, *(u[3] for u in units)])
+        assert {w for u in gone for w in range(places[u], places[u + 1])} <= plain
+
+
+def test_pieces_of_long_sentences_are_short():
+    assert max(u[3] for u in substring_dedup.sentences(words(5000, 9, random.Random(16)))) <= substring_dedup.WINDOW
+    assert len(substring_dedup.sentences("same " * 17)) > 1
+
+
 @pytest.mark.parametrize("key", [7, None])
 def test_rows_of_one_id_are_judged_on_their_own(spark, key):
     rng = random.Random(14)

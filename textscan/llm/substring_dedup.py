@@ -1,7 +1,10 @@
 """Substring deduplication over sliding runs of sentences.
 
 A text is cut into sentences; one of more than ``LONG`` words is cut further behind words chosen by their
-hash, so that the cuts inside a repeated passage are the same wherever it stands.  From each sentence on, the
+hash, so that the cuts inside a repeated passage are the same wherever it stands: behind the word with the least
+hash of each ``WINDOW`` words in a row.  So no piece of a long sentence has more than ``WINDOW`` words, and what
+repeats 4 * ``WINDOW`` + 16 = 40 words or more of long sentences holds a whole run: the cuts agree from the
+``WINDOW``-th word on, up to as many before the end, and ``LEAST_WORDS`` words are always ``RUN`` pieces.  From each sentence on, the
 shortest run of at least ``RUN`` sentences and ``LEAST_WORDS`` words is hashed (128 bits, case and white space
 aside).  Runs are joined globally: the first occurrence is the one with the least (document, row, place), and
 sentences that any other occurrence covers are removed.  Places belong to a row, as rows may share a document.
@@ -29,6 +32,8 @@ from textscan.llm.batches import append_columns, small_batches, written
 RUN = 3
 LEAST_WORDS = 20
 LONG = 16
+#: At most (LEAST_WORDS - 1) // (RUN - 1), so that the pieces of a long sentence need no more words than LEAST_WORDS.
+WINDOW = 6
 #: A run with more than one in so many of all occurrences is hot; there are fewer hot runs than this.
 MOST_HOT = 10_000
 
@@ -48,6 +53,20 @@ def _word_bounds(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(blank, np.uint32(0), points), edge[::2], edge[1::2]
 
 
+def _least_of_windows(hashes: np.ndarray) -> np.ndarray:
+    """Whether a place has the least hash, the last of equal ones, of any ``WINDOW`` in a row around it."""
+    chosen = np.zeros(len(hashes), bool)
+    windows = len(hashes) - WINDOW + 1
+    least, at = hashes[:windows].copy(), np.arange(windows)
+    for k in range(1, WINDOW):
+        here = hashes[k : k + windows]
+        lower = here <= least
+        least[lower] = here[lower]
+        at[lower] = np.flatnonzero(lower) + k
+    chosen[at] = True
+    return chosen
+
+
 def sentences(text: str | None) -> list[tuple[int, int, bytes, int]]:
     """(start, end, hash, words) of the sentences; they cover the text but for blanks in front.
 
@@ -58,7 +77,7 @@ def sentences(text: str | None) -> list[tuple[int, int, bytes, int]]:
     if not words:
         return []
     low_points, starts, ends = _word_bounds(lower)
-    chosen = (np.add.reduceat(low_points, starts, dtype=np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(29) == 0
+    hashes = np.add.reduceat(low_points * (low_points ^ np.uint32(0x85EBCA6B)), starts, dtype=np.uint32) * np.uint32(0x9E3779B1)
     points = low_points
     if not lower.isascii():  # lower case may have another length
         points, starts, ends = _word_bounds(text)
@@ -70,7 +89,9 @@ def sentences(text: str | None) -> list[tuple[int, int, bytes, int]]:
     closes[-1] = True
     bounds = np.concatenate(([0], np.flatnonzero(closes) + 1))
     long = np.repeat(np.diff(bounds) > LONG, np.diff(bounds))
-    cuts = [0, *(np.flatnonzero(closes | (chosen & long)) + 1).tolist()]
+    if long.any():
+        closes |= _least_of_windows(hashes) & long
+    cuts = [0, *(np.flatnonzero(closes) + 1).tolist()]
     place = starts[cuts[:-1]].tolist()
     if not len(lines) or lines[0] > place[0]:
         place[0] = 0
