@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textscan.llm import chat, decontamination, packing, pii, quality_gam, quality_rules, simhash, substring_dedup, token_count, url_filter
+from textscan.llm import chat, decontamination, packing, pii, quality_gam, quality_rules, simhash, substring_dedup, suffix_dedup, token_count, url_filter
 from textscan.llm.batches import read
 from textscan.llm.url_filter import HostRule, PatternRule
 
@@ -90,6 +90,11 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_log(log.unionByName(chat.conversation_events(probe))))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.digests(suffix_dedup.without_repeats(docs, "text"), "doc_id")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -100,7 +105,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_substring_dedup, op3_quality_gam, op4_pii, op5_token_count, op6_simhash, op7_quality_rules, op8_decontamination,
-        op9_packing, op10_chat, pipeline,
+        op9_packing, op10_chat, op11_suffix_dedup, pipeline,
     )
 }
 
