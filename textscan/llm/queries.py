@@ -12,8 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textscan.llm import chat, decontamination, packing, pii, quality_gam, quality_rules, simhash, substring_dedup, suffix_dedup, token_count, url_filter
-from textscan.llm.batches import read
+from textscan.llm import chat, decontamination, packing, pii, quality_gam, quality_rules, simhash, substring_dedup, suffix_dedup, token_count, turn_repair, url_filter
+from textscan.llm.batches import read, written
 from textscan.llm.url_filter import HostRule, PatternRule
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,6 +95,12 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(suffix_dedup.without_repeats(docs, "text"), "doc_id")
 
 
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = turn_repair.damaged(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    report = written(turn_repair.reports(turns))
+    return turn_repair.digested(report, turn_repair.repaired(turns, report))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -105,7 +111,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_substring_dedup, op3_quality_gam, op4_pii, op5_token_count, op6_simhash, op7_quality_rules, op8_decontamination,
-        op9_packing, op10_chat, op11_suffix_dedup, pipeline,
+        op9_packing, op10_chat, op11_suffix_dedup, op12_turn_repair, pipeline,
     )
 }
 
