@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textscan.llm import chat, decontamination, packing, pii, quality_gam, quality_rules, simhash, substring_dedup, suffix_dedup, token_count, turn_repair, url_filter
+from textscan.llm import chat, decontamination, packing, pii, prefix_trie, quality_gam, quality_rules, simhash, substring_dedup, suffix_dedup, token_count, turn_repair, url_filter
 from textscan.llm.batches import read, written
 from textscan.llm.url_filter import HostRule, PatternRule
 
@@ -101,6 +101,11 @@ def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.digested(report, turn_repair.repaired(turns, report))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.turn_rows(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return prefix_trie.trie(*prefix_trie.rebuilt(turns))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -111,7 +116,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_substring_dedup, op3_quality_gam, op4_pii, op5_token_count, op6_simhash, op7_quality_rules, op8_decontamination,
-        op9_packing, op10_chat, op11_suffix_dedup, op12_turn_repair, pipeline,
+        op9_packing, op10_chat, op11_suffix_dedup, op12_turn_repair, op13_prefix_trie, pipeline,
     )
 }
 
