@@ -108,15 +108,52 @@ _STACK_SAFE = {
     "reporting_statement": r"\b(?=\w[\w\s]*\s(?:said|stated|reported|mentioned|claimed|explained|noted|suggested)\b)(?:\b\w+\b\s+){2,5}\b\w(?:(?!\s\s)[\w\s])*\s+(?:said|stated|reported|mentioned|claimed|explained|noted|suggested)\b(?:\s+\".*?\"|\s+\b.*?\b[.!?])",
 }
 
+# Own design: the two patterns that look for the last verb of a run of words with an end of a sentence somewhere
+# behind it.  Plain matching tries every word as a start, every verb behind it and every end behind that.  In steps, each
+# pass is linear: (1) a mark goes before the word that follows a verb, (2) another behind the last end of a sentence of
+# each line, (3) marks of verbs behind that are taken out again, so a mark says that an end follows.  A match then begins
+# with the first word of a run, where the last match ended, or, as single blanks are asked for behind five words, five words
+# before a wider gap.  The last step has the match in its second group.
+_SAID = "(?:said|stated|reported|mentioned|claimed|explained|noted|suggested)"
+_DONE = "(?:completed|developed|initiated|threatened|investigated)"
+
+
+def _last_verbs(verbs: str, end: str, start: str, body: str) -> tuple[tuple[str, str], ...]:
+    return (
+        (rf"(?<=\s){verbs}\s++(?=\w)", "$0\x04"),
+        (rf"(?m)^(?:[^\n]*{end}|)", "$0\x05"),
+        ("(?:\x05|\\G(?!\\A))([^\n\x04\x05]*+)\x04", "$1"),
+        ("\x05", ""),
+        (rf"({start})({body})", "$1\x01$2\x02"),
+        ("\x04", ""),
+    )
+
+
+_RUN_START = "(?:\\A|(?<=[^\\w\\s\x04]))\\s*+"
+_STEPS = {
+    "reporting_statement": _last_verbs(
+        _SAID,
+        r"\w[.!?]",
+        f"{_RUN_START}|(?<!\\w)(?=(?:\\w+\\s+\x04?){{4}}\\w+\\s\\s)",
+        f"(?:\\w+\\s+\x04?){{2,5}}\\w(?:(?!\\s\\s)[\\w\\s\x04])*\\s+\x04?{_SAID}(?:\\s+\".*?\"|\\s+\x04.*?(?<=\\w)[.!?])",
+    ),
+    "action_context": _last_verbs(
+        _DONE,
+        "[.!?](?=\\s++\x04?\\w++\\s++\x04?\\w)",
+        f"(?:{_RUN_START}|\\G(?!\\A)\\s*+\x04?)",
+        f"(?:\\w+\\s+\x04?){{2}}\\w[\\w\\s\x04]*\\s\x04?{_DONE}\\s+\x04.*?[.!?](?:\\s++\x04?\\w++){{2,5}}",
+    ),
+}
+
 # A cheap test that every match of the label must pass; the full pattern only
 # runs on rows that pass it.
 _GATES = {
     "interrogative_context": r"\s(?:how|why|what|when|where|who)\s",
-    "reporting_statement": r"\s(?:said|stated|reported|mentioned|claimed|explained|noted|suggested)\b(?:\s+\".*?\"|\s+\b.*?\b[.!?])",
+    "reporting_statement": rf"\s{_SAID}\s",
     "entity_name": r"\s(?:by|from|to|with|about|for)\s+[A-Z][a-z]",
     "all_caps_phrase": r"\s[A-Z]{2}",
     "quoted_text": r"\"",
-    "action_context": r"\s(?:completed|developed|initiated|threatened|investigated)\s+\b.*?[.!?](?:\s+\b\w+\b){2}",
+    "action_context": rf"\s{_DONE}\s",
     "possessive_context": r"['’]s\s|(?:owned|reported|handled) by\s",
     "adjective_context": r"critical|urgent|significant|dangerous|illegal|fraudulent",
     "question_context": r"\?",
@@ -140,7 +177,8 @@ _GATES = {
 @dataclass(frozen=True)
 class Pattern:
     """One catalog entry.  ``regex`` is in Python syntax, ``jvm`` (if given) is
-    an equal rewrite that is safe on the JVM, ``gate`` a necessary condition."""
+    an equal rewrite that is safe on the JVM, ``gate`` a necessary condition,
+    ``steps`` (if given) replacements that mark the matches in linear time."""
 
     ordinal: int
     group: str
@@ -148,10 +186,11 @@ class Pattern:
     regex: str
     jvm: str | None = None
     gate: str | None = None
+    steps: tuple[tuple[str, str], ...] = ()
 
 
 PATTERNS: tuple[Pattern, ...] = tuple(
-    Pattern(i, group, label, regex, _STACK_SAFE.get(label), _GATES.get(label))
+    Pattern(i, group, label, regex, _STACK_SAFE.get(label), _GATES.get(label), _STEPS.get(label, ()))
     for i, (group, label, regex) in enumerate(_FIXED_PATTERNS)
 )
 

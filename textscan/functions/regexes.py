@@ -39,6 +39,8 @@ _GLOBAL_FLAGS = re.compile(r"\(\?([imsx]+)\)")
 _WORD_LIST = re.compile(r"\(\?i:((?:[A-Za-z][^()|\[\]]*\|)+[A-Za-z][^()|\[\]]*)\)")
 
 START_MARK, END_MARK, MARK_STAND_IN = "\u0001", "\u0002", "\u0003"
+#: Marks of the catalog's patterns in steps.
+STEP_MARKS = "\u0004\u0005"
 
 
 def _boundary(before: str, after: str) -> str:
@@ -191,18 +193,28 @@ def running(
 
 
 def markable(text: Column, sanitized: bool) -> Column:
-    """The text to match on: free of the two marks used below, same length."""
-    return text if sanitized else F.translate(text, START_MARK + END_MARK, MARK_STAND_IN * 2)
+    """The text to match on: free of the marks used below, same length."""
+    marks = START_MARK + END_MARK + STEP_MARKS
+    return text if sanitized else F.translate(text, marks, MARK_STAND_IN * len(marks))
 
 
 def marked(text: Column, pattern: Pattern) -> Column:
     """The text with a mark before and after every match, by one regex pass; null
     if nothing matches, so that no copy of a text without a match is kept."""
-    hit = F.regexp_replace(text, F.lit(jvm_regex(pattern)), F.lit(f"{START_MARK}$0{END_MARK}"))
+    hit = text
+    for regex, replacement in pattern.steps or [(pattern.jvm or pattern.regex, f"{START_MARK}$0{END_MARK}")]:
+        hit = F.regexp_replace(hit, F.lit(to_jvm(regex, known=pattern.group != "custom")), F.lit(replacement))
     kept = let(hit, lambda m: F.when(F.contains(m, F.lit(START_MARK)), m))
     return kept if pattern.gate is None else F.when(text.rlike(to_jvm(pattern.gate)), kept)
 
 
+def matches(text: Column, pattern: Pattern) -> Column:
+    """Whether the pattern matches anywhere in the text."""
+    if pattern.steps:
+        return marked(markable(text, False), pattern).isNotNull()
+    return text.rlike(jvm_regex(pattern))
+
+
 def _pieces(marked_text: Column, read: Callable[[Column], Column], type_of_result: str) -> Column:
     """``read`` of a marked text cut at its start marks; empty without matches."""
     return F.when(marked_text.isNotNull(), let(F.split(marked_text, START_MARK), read)).otherwise(

@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from textscan.catalog import PATTERNS, Pattern, label_names, select_patterns, split_valid
 from textscan.functions.regexes import (
     joined_values,
-    jvm_regex,
     let,
     markable,
     marked,
+    matches,
     running,
     sanitize,
     spans,
@@ -174,7 +174,7 @@ def entities(
 
 def has_entity(text: Column, labels: str | Sequence[str], patterns: Iterable[Pattern] = PATTERNS) -> Column:
     """Whether the text holds at least one match of the labels."""
-    tests = [text.rlike(jvm_regex(p)) for p in select_patterns(labels, patterns)]
+    tests = [matches(text, p) for p in select_patterns(labels, patterns)]
     result = tests[0]
     for test in tests[1:]:
         result = result | test
