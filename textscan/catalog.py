@@ -145,7 +145,7 @@ _STEPS = {
     ),
 }
 
-# A cheap test that every match of the label must pass; the full pattern only
+# A cheap test that every match of the label (or of each of its patterns, in order) must pass; the full pattern only
 # runs on rows that pass it.
 _GATES = {
     "interrogative_context": r"\s(?:how|why|what|when|where|who)\s",
@@ -166,11 +166,16 @@ _GATES = {
     "ini": r"\]",
     "hex_number": r"0x",
     "env_var": r"[$%]",
-    "ipv6": r"[:!]",
+    "ipv6": (r":[0-9a-fA-F]", r"!\.\d", "::", "::", "::", r":[0-9a-fA-F]"),
     "ipv4": r"\d\.\d",
     "datetime": r"\d[-/:]\d",
     "phone_number": r"\d{4}",
     "uuid": r"[0-9a-fA-F]{8}-",
+    "analyze": (r"(?<!\w)[A-Za-z0-9]{20}", r"[A-Za-z]\d|\d[A-Za-z]", r"\d{8}", r"[A-Z]{8}", r"[A-Za-z0-9]{2}[,:|.-][A-Za-z0-9]{2}"),
+    "time": (r"\d[:.]\d", r"\d(?i:[ap]m)"),
+    "mac": (r"[0-9a-fA-F]{2}[:-][0-9a-fA-F]{2}[:-]", r"(?<!\w)[0-9a-fA-F]{12}", r"[0-9a-fA-F]{4}\.[0-9a-fA-F]{4}\."),
+    "date": (r"\d[-/]\d", r"\d[-/]\d", r"\d(?:st|nd|rd|th)\s", r"\d(?:st|nd|rd|th)\s"),
+    "week": (r"(?i:day)", None),
 }
 
 
@@ -178,7 +183,8 @@ _GATES = {
 class Pattern:
     """One catalog entry.  ``regex`` is in Python syntax, ``jvm`` (if given) is
     an equal rewrite that is safe on the JVM, ``gate`` a necessary condition,
-    ``steps`` (if given) replacements that mark the matches in linear time."""
+    ``steps`` (if given) replacements that mark the matches in linear time, ``words``
+    (if given) the lower-case words of which one must begin a match."""
 
     ordinal: int
     group: str
@@ -187,12 +193,30 @@ class Pattern:
     jvm: str | None = None
     gate: str | None = None
     steps: tuple[tuple[str, str], ...] = ()
+    words: tuple[str, ...] = ()
 
 
-PATTERNS: tuple[Pattern, ...] = tuple(
-    Pattern(i, group, label, regex, _STACK_SAFE.get(label), _GATES.get(label), _STEPS.get(label, ()))
-    for i, (group, label, regex) in enumerate(_FIXED_PATTERNS)
-)
+def first_words(regex: str) -> tuple[str, ...]:
+    """The words with which the phrases of a pattern that begins with a case-insensitive word list begin; empty for others."""
+    listed = re.match(r"\\b\(\?i:([^()]*(?:\([a-z]+\)[^()]*)*)\)\\[bs]", regex)
+    if listed is None:
+        return ()
+    plain = [re.sub(r"[()]", "", p).lower() for p in listed.group(1).split("|")]
+    spelled = [p.replace(r"\s*", gap) for p in plain for gap in ("", " ")]
+    return tuple(sorted({re.match(r"\w+", p).group() for p in spelled}))
+
+
+def _catalog() -> Iterable[Pattern]:
+    numbers: dict[str, int] = {}
+    for i, (group, label, regex) in enumerate(_FIXED_PATTERNS):
+        nth = numbers[label] = numbers.get(label, -1) + 1
+        gate = _GATES.get(label)
+        if isinstance(gate, tuple):
+            gate = gate[nth]
+        yield Pattern(i, group, label, regex, _STACK_SAFE.get(label), gate, _STEPS.get(label, ()), first_words(regex))
+
+
+PATTERNS: tuple[Pattern, ...] = tuple(_catalog())
 
 
 def from_regexes(regexes: Iterable[str], group: str = "custom") -> tuple[Pattern, ...]:

@@ -9,7 +9,7 @@ between Java versions, while Python's follow Unicode.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -198,14 +198,52 @@ def markable(text: Column, sanitized: bool) -> Column:
     return text if sanitized else F.translate(text, marks, MARK_STAND_IN * len(marks))
 
 
-def marked(text: Column, pattern: Pattern) -> Column:
+#: Letters that match "i", "s" and "k" without regard to case.
+_FOLDED = ("\u0130\u0131\u017f\u212a", "iisk")
+
+
+def with_triggers(text: Column, patterns: Sequence[Pattern], body: Callable[[Sequence[Column]], Column]) -> Column:
+    """``body`` of one boolean per pattern: whether the pattern may match the text at all.
+
+    The words of the text are cut once and looked up in one set of all words that begin a phrase; each distinct gate
+    runs once, however many patterns share it."""
+    known = sorted({w for p in patterns for w in p.words})
+    gates = sorted({p.gate for p in patterns if p.gate is not None})
+
+    def with_words(words: Column | None) -> Column:
+        tests = [text.rlike(to_jvm(g)) for g in gates]
+
+        def read(passed: Column | None) -> Column:
+            out = []
+            for p in patterns:
+                may = F.lit(True)
+                if p.words:
+                    may = F.arrays_overlap(words, F.array(*map(F.lit, p.words)))
+                if p.gate is not None:
+                    gate = F.get(passed, F.lit(gates.index(p.gate)))
+                    may = may & gate if p.words else gate
+                out.append(may)
+            return body(out)
+
+        return let(F.array(*tests), read) if gates else read(None)
+
+    if not known:
+        return with_words(None)
+    words = F.split(F.lower(F.translate(text, *_FOLDED)), f"[^{_WORD}]+")
+    return let(F.array_intersect(words, F.array(*map(F.lit, known))), with_words)
+
+
+def marked(text: Column, pattern: Pattern, trigger: Column | None = None) -> Column:
     """The text with a mark before and after every match, by one regex pass; null
-    if nothing matches, so that no copy of a text without a match is kept."""
+    if nothing matches, so that no copy of a text without a match is kept.  ``trigger``
+    tells whether the pattern may match; without it, the pattern's gate does."""
     hit = text
     for regex, replacement in pattern.steps or [(pattern.jvm or pattern.regex, f"{START_MARK}$0{END_MARK}")]:
         hit = F.regexp_replace(hit, F.lit(to_jvm(regex, known=pattern.group != "custom")), F.lit(replacement))
     kept = let(hit, lambda m: F.when(F.contains(m, F.lit(START_MARK)), m))
-    return kept if pattern.gate is None else F.when(text.rlike(to_jvm(pattern.gate)), kept)
+    if trigger is None and pattern.gate is not None:
+        trigger = text.rlike(to_jvm(pattern.gate))
+    return kept if trigger is None else F.when(trigger, kept)
 
 
 def matches(text: Column, pattern: Pattern) -> Column:

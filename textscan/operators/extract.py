@@ -23,6 +23,7 @@ from textscan.functions.regexes import (
     sanitize,
     spans,
     to_jvm,
+    with_triggers,
 )
 
 _TEXT = "__text"
@@ -46,7 +47,13 @@ def _marked_array(text: Column, patterns: Sequence[Pattern], sanitized: bool) ->
     is written once, over this array, so that the plan stays small however many
     patterns there are."""
     base = markable(text, sanitized)
-    return F.array(*[F.struct(F.lit(p.ordinal).alias("ordinal"), marked(base, p).alias("marked")) for p in patterns])
+    return with_triggers(
+        base,
+        patterns,
+        lambda may: F.array(
+            *[F.struct(F.lit(p.ordinal).alias("ordinal"), marked(base, p, t).alias("marked")) for p, t in zip(patterns, may, strict=True)]
+        ),
+    )
 
 
 def all_matches(marked_patterns: Column, original: Column | None = None) -> Column:
@@ -146,30 +153,39 @@ def entities(
     def final(values: Column, label: Column) -> Column:
         return F.struct(label.alias("label"), clean_values(values, label).alias("values"))
 
-    parts = []
-    if single:
-        base = markable(text, sanitized)
-        found = F.array(
-            *[
-                F.struct(F.lit(label).alias("label"), joined_values(marked(base, ps[0])).alias("values"))
-                for label, ps in single.items()
-            ]
-        )
-        parts.append(F.transform(found, lambda x: final(x["values"], x["label"])))
-    if several:
-        texts = F.array(
-            *[
-                F.struct(F.lit(label).alias("label"), _marked_array(text, ps, sanitized).alias("patterns"))
-                for label, ps in several.items()
-            ]
-        )
-        original = None if sanitized else text
-        parts.append(
-            F.transform(texts, lambda x: final(stitch(all_matches(x["patterns"], original), mode), x["label"]))
-        )
-    if not parts:
+    def found(may: dict[Pattern, Column]) -> Column:
+        parts = []
+        if single:
+            values = F.array(
+                *[
+                    F.struct(F.lit(label).alias("label"), joined_values(marked(base, ps[0], may[ps[0]])).alias("values"))
+                    for label, ps in single.items()
+                ]
+            )
+            parts.append(F.transform(values, lambda x: final(x["values"], x["label"])))
+        if several:
+            texts = F.array(
+                *[
+                    F.struct(
+                        F.lit(label).alias("label"),
+                        F.array(
+                            *[F.struct(F.lit(p.ordinal).alias("ordinal"), marked(base, p, may[p]).alias("marked")) for p in ps]
+                        ).alias("patterns"),
+                    )
+                    for label, ps in several.items()
+                ]
+            )
+            original = None if sanitized else text
+            parts.append(
+                F.transform(texts, lambda x: final(stitch(all_matches(x["patterns"], original), mode), x["label"]))
+            )
+        return F.array_sort(F.filter(F.concat(*parts), lambda e: F.size(e["values"]) > 0))
+
+    if not by_label:
         return F.array().cast("array<struct<label:string,values:array<string>>>")
-    return F.array_sort(F.filter(F.concat(*parts), lambda e: F.size(e["values"]) > 0))
+    base = markable(text, sanitized)
+    chosen = [p for ps in by_label.values() for p in ps]
+    return with_triggers(base, chosen, lambda may: found(dict(zip(chosen, may, strict=True))))
 
 
 def has_entity(text: Column, labels: str | Sequence[str], patterns: Iterable[Pattern] = PATTERNS) -> Column:
@@ -281,11 +297,15 @@ def find_matches(
     valid, _ = split_valid(select_patterns(labels, patterns))
     base = markable(F.col(_TEXT), sanitized)
     original = None if sanitized else F.col(_TEXT)
-    texts = F.array(
-        *[
-            F.struct(F.lit(p.label).alias("label"), F.lit(p.ordinal).alias("ordinal"), marked(base, p).alias("marked"))
-            for p in valid
-        ]
+    texts = with_triggers(
+        base,
+        valid,
+        lambda may: F.array(
+            *[
+                F.struct(F.lit(p.label).alias("label"), F.lit(p.ordinal).alias("ordinal"), marked(base, p, t).alias("marked"))
+                for p, t in zip(valid, may, strict=True)
+            ]
+        ),
     )
     rows = F.transform(
         texts,
