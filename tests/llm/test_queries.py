@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from textscan.llm import token_count, url_filter
+from textscan.llm import decontamination, packing, token_count, url_filter
 from textscan.llm.queries import ORACLES, QUERIES, tokenizer_path
 
 DATA = "/root/testdata/sf0.001"
@@ -136,3 +136,20 @@ def test_rule_regexes():
     rules = [url_filter.HostRule("block", "net", "/es/"), url_filter.HostRule("allow", "a.net", "/es/")]
     assert judge("http://b.a.NET/es/1#x", *rules)[:4] == ("b.a.net", "/es/1", "a.net/es/", "allow")
     assert judge("http://xa.net/es/1", *rules)[2] == "net/es/" and judge("http://net?/es/", *rules)[2] is None
+
+
+def test_contamination_keeps_columns(spark):
+    docs = spark.createDataFrame([(1, PROSE, "mine", 7), (2, None, None, 8)], "doc_id long, text string, n_words string, N_HIT int")
+    items = spark.createDataFrame([(1, PROSE)], "item_id long, text string")
+    out = decontamination.contamination(docs, "text", items, "item_id", "text")
+    assert out.columns == ["doc_id", "text", "n_words", "N_HIT", "_n_words", "_n_hit", "item_ids", "contaminated"]
+    assert [tuple(r)[2:] for r in out.orderBy("doc_id").collect()] == [("mine", 7, 22, 22, ["1"], True), (None, 8, 0, 0, [], False)]
+
+
+def test_packing_is_a_function_of_the_rows(spark):
+    rows = odd_documents() + [(None, None, None, None, None)] * 300 + [(i, PROSE * (i % 90), "en", "a", 1) for i in range(100, 400)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    one, other = (rows_of(packing.pack(d, "doc_id", "text", tokenizer_path("word_bpe_49k.json"))) for d in (df.coalesce(1), df.orderBy(F.rand(3)).repartition(7)))
+    assert one == other
+    held = packing.pack(df, "doc_id", "text", tokenizer_path("word_bpe_49k.json"), with_ids=True)
+    assert rows_of(held.drop("ids")) == one and held.filter(F.size("ids") != F.col("length")).count() == 0

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textscan.llm.batches import append_columns, written
+from textscan.llm.batches import append_columns, fresh, written
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -155,8 +155,11 @@ def contamination(df: DataFrame, text: str, benchmark: DataFrame, item_id: str,
     """``df`` with ``n_words``, ``n_hit``, ``item_ids`` (sorted as strings) and ``contaminated``.
 
     Null and wordless texts have no words and no hits; items that are null, wordless or without an id
-    match nothing.  Equal items are all named; rows that repeat a text are each judged.
+    match nothing.  Equal items are all named; rows that repeat a text are each judged.  Whole texts are searched, however
+    long, in stretches.  An empty table gives an empty result, and without items nothing is hit.  New columns get
+    underscores in front if ``df`` has their names already.
     """
+    added = fresh(df, "n_words", "n_hit", "item_ids", "contaminated")
     bench = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text")).filter("item is not null and text is not null")
     size = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     passes = max(1, -(-int(size) * 2 // BLOCK_BYTES))
@@ -167,7 +170,7 @@ def contamination(df: DataFrame, text: str, benchmark: DataFrame, item_id: str,
     for i in range(passes):
         block = bench.filter(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == i) if passes > 1 else bench
         matcher = Matcher([(r["item"], r["text"]) for r in block.collect()])
-        names = [f"__{n}_{i}" for n, _ in fields]
+        names = fresh(out, *[f"{n}_{i}" for n, _ in fields])
 
         def run(texts, *old, matcher=matcher):
             rows = matcher.search(texts)
@@ -180,8 +183,8 @@ def contamination(df: DataFrame, text: str, benchmark: DataFrame, item_id: str,
         if i + 1 < passes:
             out = written(out)
     n, hits, items = map(F.col, before)
-    rest = [c for c in columns if c not in ("n_words", "n_hit", "item_ids", "contaminated")]
-    return out.select(*rest, n.alias("n_words"), F.size(hits).cast("long").alias("n_hit"), items.alias("item_ids"), (F.size(hits) > 0).alias("contaminated"))
+    new = (n, F.size(hits).cast("long"), items, F.size(hits) > 0)
+    return out.select(*columns, *[c.alias(name) for c, name in zip(new, added, strict=True)])
 
 
 def drop_contaminated(df: DataFrame, text: str, benchmark: DataFrame, item_id: str, item_text: str) -> DataFrame:
