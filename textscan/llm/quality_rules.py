@@ -6,8 +6,9 @@ value (a relative error of 1/16 at most).  Sketches merge by adding counts, so t
 on how rows are dealt; those of a language and of the whole table are merged from the same counts.
 
 A fence lies three interquartile ranges outside the quartiles, as sketched; the range counts as ``SPREAD``
-at least, so that texts of one kind don't condemn small deviations.  Groups of fewer than ``LEAST_DOCS``
-documents take the fences of their language, or else of the whole table.
+at least, so that texts of one kind don't condemn small deviations.  The fences of a group are drawn towards those of
+its language, and these towards those of the whole table, as if the wider group had ``PARENT_DOCS`` documents in it:
+small groups go by the wider one, large ones by themselves, with no edge between.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from textscan.llm.batches import append_columns, fresh, written
 
 LEAST_WORDS = 10
 MOST_REPEATED = 20  # percent of the words
-LEAST_DOCS = 50
+#: Weight of the wider group, in documents.
+PARENT_DOCS = 50
 #: Least interquartile range of each rate, in its own units.
 SPREAD = {"symbol_rate": 10, "dup_line_rate": 10, "repeat_rate": 5, "word_length": 10}
 SYMBOLS = "#*$%&|<>"
@@ -105,7 +107,7 @@ def fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def thresholds(sketch: DataFrame, lang: str, source: str) -> DataFrame:
-    """(lang, source, fences) with the fences of the group, its language or the whole table.
+    """(lang, source, fences) with the fences of the group, its language and the whole table in one.
 
     Sketches and fences are written: Spark then knows their sizes, and joins few groups without moving the
     texts; many are joined by hash."""
@@ -116,7 +118,13 @@ def thresholds(sketch: DataFrame, lang: str, source: str) -> DataFrame:
     overall = fences(sketch.withColumn("all", F.lit(1)), ["all"]).first()  # one row, or none of an empty sketch
     every = overall.asDict() if overall else dict.fromkeys(names)
     joined = own.join(by_lang, F.col(lang).eqNullSafe(F.col("l_lang")), "left")
-    pick = lambda n: F.when(F.col("docs") >= LEAST_DOCS, F.col(n)).when(F.col("l_docs") >= LEAST_DOCS, F.col(f"l_{n}")).otherwise(F.lit(every[n]))
+
+    def drawn(own: Column, docs: str, wider: Column) -> Column:
+        return F.floor((F.col(docs) * own + PARENT_DOCS * wider) / (F.col(docs) + PARENT_DOCS))
+
+    def pick(n: str) -> Column:
+        return drawn(F.col(n), "docs", drawn(F.col(f"l_{n}"), "l_docs", F.lit(every[n])))
+
     return written(joined.select(F.col(lang).alias("t_lang"), F.col(source).alias("t_source"), *[pick(n).cast("long").alias(f"t_{n}") for n in names]))
 
 
@@ -186,14 +194,18 @@ fences AS (
   SELECT level, lang, source, rate, count(*) AS docs, quantile_disc(bin, 0.25) AS q1, quantile_disc(bin, 0.75) AS q3,
     3 * greatest(quantile_disc(bin, 0.75) - quantile_disc(bin, 0.25), CASE rate WHEN 'repeat_rate' THEN 5 ELSE 10 END) AS reach
   FROM grouped GROUP BY level, lang, source, rate),
+by_lang AS (
+  SELECT l.lang, rate, floor((l.docs * (l.q1 - l.reach) + 50 * (a.q1 - a.reach))::DOUBLE / (l.docs + 50)) AS low,
+    floor((l.docs * (l.q3 + l.reach) + 50 * (a.q3 + a.reach))::DOUBLE / (l.docs + 50)) AS high
+  FROM fences l JOIN fences a USING (rate) WHERE l.level = 1 AND a.level = 2),
+limits AS (
+  SELECT g.lang, g.source, g.rate, floor((g.docs * (g.q1 - g.reach) + 50 * l.low)::DOUBLE / (g.docs + 50)) AS low,
+    floor((g.docs * (g.q3 + g.reach) + 50 * l.high)::DOUBLE / (g.docs + 50)) AS high
+  FROM fences g JOIN by_lang l ON l.rate = g.rate AND l.lang IS NOT DISTINCT FROM g.lang WHERE g.level = 0),
 outside AS (
   SELECT DISTINCT b.r FROM binned b
-  JOIN fences g ON g.level = 0 AND g.rate = b.rate AND g.lang IS NOT DISTINCT FROM b.lang AND g.source IS NOT DISTINCT FROM b.source
-  JOIN fences l ON l.level = 1 AND l.rate = b.rate AND l.lang IS NOT DISTINCT FROM b.lang
-  JOIN fences a ON a.level = 2 AND a.rate = b.rate
-  WHERE NOT b.x BETWEEN
-    CASE WHEN g.docs >= 50 THEN g.q1 - g.reach WHEN l.docs >= 50 THEN l.q1 - l.reach ELSE a.q1 - a.reach END AND
-    CASE WHEN g.docs >= 50 THEN g.q3 + g.reach WHEN l.docs >= 50 THEN l.q3 + l.reach ELSE a.q3 + a.reach END)
+  JOIN limits g ON g.rate = b.rate AND g.lang IS NOT DISTINCT FROM b.lang AND g.source IS NOT DISTINCT FROM b.source
+  WHERE NOT b.x BETWEEN g.low AND g.high)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND r NOT IN (SELECT r FROM outside) AS kept
 FROM based
