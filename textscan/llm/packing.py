@@ -8,9 +8,10 @@ The plan: lengths are rounded up to ``UNIT`` tokens, and all combinations of up
 window are enumerated.  Non-negative least squares finds how often each combination should be used so that
 the histogram comes out; at most as many combinations as there are lengths get a part.
 
-The pieces are numbered and dealt by a hash of the number into groups of about ``GROUP`` pieces.  Each group uses every combination its
-share of times, rounded and as far as its pieces reach, and packs the rest greedily, longest first, each into
-the fullest sequence that still has room.
+Equal pieces are counted and numbered as copies, so the packing is a function of the rows, however they are
+stored.  Pieces are dealt by a hash of piece and copy into groups of about ``GROUP``, without their ids.  Each group uses every
+combination its share of times, rounded and as far as its pieces reach, and packs the rest greedily, longest first,
+each into the fullest sequence that still has room.  Ids, if asked for, meet their packed pieces in one shuffle.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +35,7 @@ WINDOW = 2048
 END = 1
 UNIT = 8
 GROUP = 8192
+PIECE = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "digest")
 #: Distinct words whose ids a worker keeps, some 250 MB.
 CACHE = 1_200_000
 #: Stems that go to the library in one text.
@@ -94,27 +97,29 @@ def word_ids(path: str) -> WordIds:
 
 
 def pieces(df: DataFrame, doc_id: str, text: str, path: str, window: int = WINDOW, end: int = END, with_ids: bool = False) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens[, ids]) with each text cut at multiples of the window."""
+    """(doc_id, start, length, ids_crc32, doc_tokens, digest[, ids]) with each text cut at multiples of the window;
+    ``digest`` is a 128-bit hash of the piece's ids."""
     small_batches(df.sparkSession)
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
+    names = [*PIECE] + ["ids"] * with_ids
     last = np.array([end], "<u4").tobytes()
     kind = df.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, start, size, crc, total, held = [], [], [], [], [], []
+            row, start, size, crc, total, digest, held = [], [], [], [], [], [], []
             for i, ids in enumerate(word_ids(path).ids(b.column(1).to_pylist())):
                 ids += last
                 n = len(ids) // 4
                 for s in range(0, n, window):
                     piece = ids[4 * s : 4 * (s + window)]
                     row.append(i), start.append(s), size.append(len(piece) // 4), crc.append(zlib.crc32(piece)), total.append(n)
+                    digest.append(xxhash.xxh3_128_digest(piece))
                     if with_ids:
                         held.append(np.frombuffer(piece, "<i4"))
-            arrays = [b.column(0).take(pa.array(row, pa.int32())), *(pa.array(x, pa.int64()) for x in (start, size, crc, total))]
+            arrays = [b.column(0).take(pa.array(row, pa.int32())), *(pa.array(x, pa.int64()) for x in (start, size, crc, total)), pa.array(digest, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays + [pa.array(held, pa.list_(pa.int32()))] * with_ids, names=names)
 
-    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
+    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, digest binary" + ", ids array<int>" * with_ids
     return df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
@@ -230,27 +235,44 @@ def pack_group(lengths: np.ndarray, shares: list[tuple[tuple[int, ...], float]],
     return sequence, offset
 
 
+def _numbered(pieces: DataFrame) -> DataFrame:
+    """``pieces`` with ``copy``, from 0 on among equal ones.  Equal pieces are counted before they are shuffled, and
+    dealt out in parts of ``GROUP`` when they are numbered."""
+    parts = F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / GROUP))
+    counted = pieces.groupBy(*PIECE).agg(F.count(F.lit(1)).alias("n")).select(*PIECE, "n", F.explode(parts).alias("part"))
+    low, high = F.col("part") * GROUP, F.least((F.col("part") + 1) * GROUP, F.col("n")) - 1
+    return counted.repartition("digest", "start", "part").select(*PIECE, F.explode(F.sequence(low, high)).alias("copy"))
+
+
 def pack(df: DataFrame, doc_id: str, text: str, path: str, window: int = WINDOW, end: int = END, with_ids: bool = False) -> DataFrame:
-    """The pieces with ``sequence_id`` and ``offset``.
+    """The pieces (doc_id, start, length, ids_crc32, doc_tokens) with ``sequence_id`` and ``offset``.
 
-    Null texts are empty and have the end id alone.  An id that several rows share gets their pieces side by
-    side.  An empty table gives an empty result.  ``with_ids`` carries the ids of each piece along.
+    Null texts are empty and have the end id alone.  Rows that share an id, or are equal, each have pieces of their own,
+    anywhere.  A long text is cut into whole windows and a rest.  An empty table gives an empty result.  Other columns of
+    ``df`` are left out, so their names can't clash.  ``with_ids`` adds the ids of each piece.
     """
     if window % UNIT:
         raise ValueError(f"the window must be a multiple of {UNIT}")
-    cut = written(pieces(df, doc_id, text, path, window, end, with_ids).withColumn("piece", F.monotonically_increasing_id()))
+    cut = written(pieces(df, doc_id, text, path, window, end, with_ids))
     histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
     total = sum(histogram.values())
     shares = plan({k: n for k, n in histogram.items() if k < window}, window)
     groups = max(1, -(-total // GROUP))
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by([(c, "ascending") for c in ("spread", "piece")])
+        word_ids.cache_clear()  # of no use any more in this worker
+        table = table.sort_by([(c, "ascending") for c in ("spread", "digest", "start", "copy")])
         sequence, offset = pack_group(table["length"].to_numpy(), shares, window)
-        table = table.drop_columns(["pack_group", "spread", "piece"])
+        table = table.drop_columns(["pack_group", "spread", "copy"])
         return table.append_column("sequence_id", pa.array(sequence + (key[0].as_py() << 32))).append_column("offset", pa.array(offset))
 
-    spread = F.xxhash64("piece")  # its number, so that repeated rows are spread like any others
-    dealt = cut.withColumn("spread", spread).withColumn("pack_group", F.pmod(spread, F.lit(groups)))
-    schema = T.StructType(cut.drop("piece").schema.fields).add("sequence_id", "long").add("offset", "long")
-    return dealt.groupBy("pack_group").applyInArrow(run, schema)
+    spread = F.xxhash64(*PIECE, "copy")
+    dealt = _numbered(cut.select(*PIECE)).withColumn("spread", spread).withColumn("pack_group", F.pmod(spread, F.lit(groups)))
+    schema = T.StructType(cut.select(*PIECE).schema.fields).add("sequence_id", "long").add("offset", "long")
+    packed = dealt.groupBy("pack_group").applyInArrow(run, schema)
+    if not with_ids:
+        return packed.drop("digest")
+    held = cut.groupBy(*[F.col(c).alias(f"of_{c}") for c in ("doc_id", "start", "digest")]).agg(F.first("ids").alias("ids"))
+    same = [packed[c].eqNullSafe(held[f"of_{c}"]) if c == "doc_id" else packed[c] == held[f"of_{c}"] for c in ("doc_id", "start", "digest")]
+    met = packed.join(held, same[0] & same[1] & same[2])
+    return met.select(*[c for c in packed.columns if c != "digest"], "ids")
