@@ -1,52 +1,8 @@
 """Cleans a corpus and packs it: quality rules, near-duplicates, benchmark passages, personal data, packing.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as
-the next stage's documents.
+The stages are in ``textscan.llm.stages``.
 """
 
-from __future__ import annotations
+from textscan.llm.stages import ORACLE_SQL, STAGES, run
 
-from pyspark.sql import DataFrame, SparkSession
-
-from textscan.llm import decontamination, near_duplicates, packing, pii, quality_rules
-from textscan.llm.batches import read, written
-from textscan.llm.queries import tokenizer_path
-
-
-def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_filter(docs, "text", "lang", "source")
-
-
-def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_duplicates.drop_near_duplicates(docs, "doc_id", "text")
-
-
-def uncontaminated_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontamination.drop_contaminated(docs, "text", read(spark, sf_dir, "benchmark"), "item_id", "text")
-
-
-def redacted_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.redacted(docs, "text", size="n_chars")
-
-
-def packed_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, "doc_id", "text", tokenizer_path("word_bpe_49k.json"), with_ids=True)
-
-
-STAGES = [
-    ("quality_rules", good_documents),
-    ("simhash", distinct_documents),
-    ("decontamination", uncontaminated_documents),
-    ("pii", redacted_documents),
-    ("packing", packed_pieces),
-]
-
-#: The shingle hashes and the tokenizer have no SQL; tests hold the stages against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir))
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
