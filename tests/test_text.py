@@ -1,6 +1,7 @@
 import random
 import re
 import string
+import time
 import unicodedata
 from posixpath import normpath
 
@@ -138,7 +139,7 @@ def test_sequence_ngrams_cross_chunks(spark):
             for i in range(len(tokens) - n + 1):
                 key = (g, " ".join(tokens[i:i + n]))
                 expected[key] = expected.get(key, 0) + 1
-        for chunk in (1, 3, 1000):
+        for chunk in (1, 3, 1000):  # words
             got = {(r["g"], r["ngram"]): r["count"] for r in corpus.sequence_ngrams(df, "g", "turn", "text", n, chunk).collect()}
             assert got == expected
 
@@ -151,6 +152,47 @@ def test_lemmatize(spark):
     assert got == {1: "The leaf be fall off the tree .", 2: "", 3: "I see Saw see", 4: ""}
 
 
+def test_sequence_ngrams_with_repeated_orders_and_empty_texts(spark):
+    rows = [("hot", i // 3, "" if i % 4 else f"w{i % 7} v") for i in range(4000)] + [(None, 1, "a b"), (None, None, "z"), ("x", 1, None)]
+    df = spark.createDataFrame(rows, "g string, turn int, text string").repartition(5)
+    by_order = sorted([(o, t) for g, o, t in rows if g == "hot"])
+    words = [w for _, t in by_order for w in t.split()]
+    want = {}
+    for pair in zip(words, words[1:], strict=False):
+        want[" ".join(pair)] = want.get(" ".join(pair), 0) + 1
+    got = {(r["g"], r["ngram"]): r["count"] for r in corpus.sequence_ngrams(df, "g", "turn", "text", 2, 50).collect()}
+    assert got == {**{("hot", k): v for k, v in want.items()}, (None, "z a"): 1, (None, "a b"): 1}
+
+
+def test_lemmas_of_repeated_and_null_keys_and_large_tables(spark):
+    rows = [(1, "saw Leaves"), (1, "saw it"), (None, "leaves saw"), (None, None), (2, "\x01 \x02 saw")]
+    df = spark.createDataFrame(rows, "id int, text string")
+    pairs = [("leaves", "leaf"), ("saw", "see"), (None, "x"), ("it", None), ("a", "b" * 400)]
+    lemmas = spark.createDataFrame(pairs, "token string, lemma string")
+    want = [(1, "see leaf"), (1, "see it"), (2, "\x01 \x02 see"), (None, ""), (None, "leaf see")]
+    for most in (1 << 20, 40, 5):  # the table fits, the part in use fits, neither does
+        got = [(r["id"], r["text"]) for r in corpus.lemmatize(df, "text", "id", lemmas, most).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str), most
+    plan = corpus.lemmatize(df, "text", "id", lemmas)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_lemmas_by_part_of_speech(spark):
+    lemmas = spark.createDataFrame([("saw", "v", "see"), ("saw", "n", "saw"), ("leaves", "n", "leaf"), ("leaves", "v", "leave"), ("ran", "v", "run")], "token string, pos string, lemma string")
+    tags = spark.createDataFrame([("saw", "v"), ("leaves", "a"), ("ran", "v")], "token string, pos string")
+    got = {r["token"]: r["lemma"] for r in corpus.by_part_of_speech(lemmas, tags).collect()}
+    assert got == {"saw": "see", "leaves": "leaf", "ran": "run"}
+
+
+def test_corrections_from_a_large_table_take_linear_time(spark):
+    table = {f"word{i}é": f"value {i}" for i in range(100_000)}
+    df = spark.createDataFrame([(" ".join(f"Word{i * 7}É, word{i}é" for i in range(5000)),)], "text string")
+    start = time.monotonic()
+    got = df.select(X.correct_words(F.col("text"), table)).first()[0]
+    assert got == " ".join(f"{f'value {i * 7}' if i * 7 < 100_000 else f'Word{i * 7}É'}, value {i}" for i in range(5000))
+    assert time.monotonic() - start < 20
+
+
 def test_corrections(evaluate):
     got = evaluate(lambda v: X.correct_and_analyze(v, {"imple": "simple", "a": "an"}), ["This is a imple test."])[0]
     assert got["text"] == "This is an simple test." and got["statistics"]["word_count"] == 5

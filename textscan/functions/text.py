@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textscan.catalog import is_regex
+from textscan.functions.dictionary import dictionary
 from textscan.functions.regexes import jvm_replacement, let, to_jvm
 
 # --- Fixed values: English contractions -----------------------------------------
@@ -283,12 +284,12 @@ def correct_and_analyze(value: Column, corrections: Mapping[str, str]) -> Column
 
 def correct_words(value: Column, corrections: Mapping[str, str]) -> Column:
     """Replace whole words by a table (exact case first, then lower case)."""
-    lookup = F.create_map(*[F.lit(x) for pair in corrections.items() for x in pair])
+    value_of = dictionary(corrections)
     parts = F.regexp_extract_all(value, F.lit(to_jvm(r"\w+|[^\w]+")), F.lit(0))
     return strip(
         F.array_join(
             F.transform(
-                parts, lambda p: F.coalesce(F.try_element_at(lookup, p), F.try_element_at(lookup, F.lower(p)), p)
+                parts, lambda p: F.coalesce(value_of(p), value_of(F.lower(p)), p)
             ),
             "",
         )

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textscan.functions import text as X
+from textscan.functions.dictionary import MOST_BYTES, dictionary
 from textscan.functions.regexes import to_jvm
+from textscan.operators.ordered import kept, running
 
 
 def _columns(keep: str | Sequence[str]) -> list[str]:
@@ -70,36 +72,31 @@ def top_ngrams(df: DataFrame, text: str, n: int, k: int) -> DataFrame:
 
 
 def sequence_ngrams(
-    df: DataFrame, group: str, order: str, text: str, n: int = 2, chunk: int = 100
+    df: DataFrame, group: str, order: str, text: str, n: int = 2, chunk: int = 4096
 ) -> DataFrame:
     """n-grams that run on from one text of a group to the next, as
     (group, ngram, count).
 
-    A group may hold a large share of all rows, so it is never gathered whole:
-    rows are cut into chunks of ``chunk`` values of the (non-negative integer)
-    order column, which must not repeat within a group, and each chunk is told the next n-1 words by a window that
-    carries only the first n-1 words of every chunk.
+    A group may hold a large share of all rows, so it is never gathered: every text is told how many words of its group
+    come before it, by running sums over ranges, and the stream of words is cut into chunks of ``chunk`` words.  Each
+    chunk also gets the n-1 words that follow it, from however many texts they come.  Texts with the same order value
+    follow each other in their own order; null texts have no words.
     """
-    tokens = df.select(
-        group, F.col(order), X.tokenize_words(F.col(text)).alias("tokens"), F.floor(F.col(order) / chunk).alias("chunk")
-    ).filter(F.size("tokens") > 0)
-    chunks = tokens.groupBy(group, "chunk").agg(
-        F.flatten(
-            F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.col("tokens")))), lambda r: r["tokens"])
-        ).alias("tokens")
-    )
-    if n > 1:
-        ahead = Window.partitionBy(group).orderBy("chunk").rowsBetween(1, n - 1)
-        heads = chunks.select(group, "chunk", F.slice("tokens", 1, n - 1).alias("head")).select(
-            group, "chunk", F.slice(F.flatten(F.collect_list("head").over(ahead)), 1, n - 1).alias("next")
-        )
-        chunks = chunks.join(heads, [group, "chunk"]).withColumn("tokens", F.concat("tokens", "next"))
+    tokens = df.select(F.col(group).alias("group"), F.col(order).alias("order"), F.col(text).alias("text"), X.tokenize_words(F.col(text)).alias("tokens"))
+    tokens = tokens.filter(F.size("tokens") > 0)
+    at = running(tokens, ["group"], ["order", "text"], {"start": F.size("tokens")}).select("group", "start", "tokens")
+    end = F.col("start") + F.size("tokens")
+    first = F.greatest(F.floor((F.col("start") - (n - 1)) / chunk), F.lit(0).cast("long"))
+    spread = at.withColumn("chunk", F.explode(F.sequence(first, F.floor((end - 1) / chunk))))
+    low = F.greatest(F.col("start"), F.col("chunk") * chunk)
+    high = F.least(end, (F.col("chunk") + 1) * chunk + (n - 1))
+    part = F.slice("tokens", (low - F.col("start") + 1).cast("int"), (high - low).cast("int"))
+    chunks = spread.select("group", "chunk", low.alias("low"), part.alias("words")).groupBy("group", "chunk")
+    words = chunks.agg(F.array_sort(F.collect_list(F.struct("low", "words"))).alias("parts"))
+    joined = words.select("group", F.flatten(F.transform("parts", lambda p: p["words"])).alias("tokens"))
     grams = F.transform(X.ngrams(F.col("tokens"), n), lambda g: F.array_join(g, " "))
-    return (
-        chunks.select(group, F.explode(grams).alias("ngram"))
-        .groupBy(group, "ngram")
-        .agg(F.count(F.lit(1)).alias("count"))
-    )
+    counted = joined.select("group", F.explode(grams).alias("ngram")).groupBy("group", "ngram").agg(F.count(F.lit(1)).alias("count"))
+    return counted.select(F.col("group").alias(group), "ngram", "count")
 
 
 def text_statistics(df: DataFrame, text: str, keep: str | Sequence[str]) -> DataFrame:
@@ -122,26 +119,59 @@ def corpus_statistics(df: DataFrame, text: str, by: Sequence[str], grouping: str
     )
 
 
-def lemmatize(df: DataFrame, text: str, key: str, lemmas: DataFrame) -> DataFrame:
+def by_part_of_speech(lemmas: DataFrame, tags: DataFrame, default: str = "n") -> DataFrame:
+    """(token, lemma) of a (token, pos, lemma) table, where ``tags`` (token, pos) says which part of speech a word is;
+    words without a tag, or without a lemma for theirs, count as ``default``."""
+    tagged = tags.groupBy("token").agg(F.min("pos").alias("tag"))
+    ranked = lemmas.join(tagged, "token", "left").filter((F.col("pos") == F.col("tag")) | (F.col("pos") == default))
+    best = F.min(F.struct((F.col("pos") != F.coalesce("tag", F.lit(default))).alias("other"), "lemma"))
+    return ranked.groupBy("token").agg(best["lemma"].alias("lemma"))
+
+
+def _forms(lemmas: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(form, exact) and (lower, any_case): one lemma for each form, and for each form in lower case."""
+    known = lemmas.filter("token is not null and lemma is not null")
+    exact = known.groupBy(F.col("token").alias("form")).agg(F.min("lemma").alias("exact"))
+    rank = F.struct((F.col("token") != F.lower("token")).alias("other"), "token", "lemma")
+    return exact, known.groupBy(F.lower("token").alias("lower")).agg(F.min(rank)["lemma"].alias("any_case"))
+
+
+def _bytes(df: DataFrame) -> int:
+    return df.agg(F.sum(sum(F.octet_length(c) for c in df.columns))).first()[0] or 0
+
+
+def lemmatize(df: DataFrame, text: str, key: str, lemmas: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
     """(key, text) with every token replaced by its lemma in a (token, lemma)
     table, tokens joined by blanks.  Look-up is by exact form, then lower case; of
     several rows for one the form written alike counts, then the first in order.
 
-    ``key`` must identify the row.  The texts stay where they are: only the
-    distinct tokens of a text meet the table, and only those that have a lemma go
-    back to their text.
+    Keys may repeat or be null.  A table of at most ``most_bytes`` travels with the plan, and so does the part of a
+    larger one that the texts use, if it is no larger: texts and tokens are then looked up where they are.  Only beyond
+    that are the rows numbered and written, and meet the lemmas of their words by that number.
     """
     tokens = F.regexp_extract_all(F.col(text), F.lit(to_jvm(r"\w+|[^\w\s]")), F.lit(0))
-    base = df.select(key, tokens.alias("tokens"))
-    exact = lemmas.groupBy(F.col("token").alias("form")).agg(F.min("lemma").alias("exact"))
-    rank = F.struct((F.col("token") != F.lower("token")).alias("other"), "token", "lemma")
-    lower = lemmas.groupBy(F.lower("token").alias("lower")).agg(F.min(rank)["lemma"].alias("any_case"))
-    forms = base.select(key, F.explode(F.array_distinct("tokens")).alias("form")).withColumn("lower", F.lower("form"))
+    exact, lower = _forms(lemmas)
+    if _bytes(exact) + _bytes(lower) > most_bytes:
+        words = df.select(F.explode(tokens).alias("form")).groupBy("form").agg(F.lower("form").alias("lower"))
+        exact = exact.join(words.select("form"), "form", "left_semi")
+        lower = lower.join(words.select("lower").distinct(), "lower", "left_semi")
+        if _bytes(exact) + _bytes(lower) > most_bytes:
+            return _lemmatize_by_join(df, tokens, key, text, exact, lower)
+    in_form = dictionary({r["form"]: r["exact"] for r in exact.collect()})
+    in_lower = dictionary({r["lower"]: r["any_case"] for r in lower.collect()})
+    words = F.transform(tokens, lambda t: F.coalesce(in_form(t), in_lower(F.lower(t)), t))
+    return df.select(key, F.coalesce(F.array_join(words, " "), F.lit("")).alias(text))
+
+
+def _lemmatize_by_join(df: DataFrame, tokens: Column, key: str, text: str, exact: DataFrame, lower: DataFrame) -> DataFrame:
+    base = kept(df.select(F.col(key).alias("key"), tokens.alias("tokens"), F.monotonically_increasing_id().alias("row")))
+    forms = base.select("row", F.explode(F.array_distinct("tokens")).alias("form")).withColumn("lower", F.lower("form"))
     found = forms.join(exact, "form", "left").join(lower, "lower", "left")
-    found = found.select(key, "form", F.coalesce("exact", "any_case").alias("lemma")).filter("lemma is not null")
-    table = found.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("form", "lemma"))).alias("found"))
+    found = found.select("row", "form", F.coalesce("exact", "any_case").alias("lemma")).filter("lemma is not null")
+    table = found.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("form", "lemma"))).alias("found"))
     words = F.transform("tokens", lambda t: F.coalesce(F.try_element_at(F.col("found"), t), t))
-    return base.join(table, key, "left").select(key, F.coalesce(F.array_join(words, " "), F.array_join("tokens", " "), F.lit("")).alias(text))
+    joined = base.join(table, "row", "left")
+    return joined.select(F.col("key").alias(key), F.coalesce(F.array_join(words, " "), F.array_join("tokens", " "), F.lit("")).alias(text))
 
 
 def prepare(df: DataFrame, text: str, key: str, lemmas: DataFrame, stopwords: Sequence[str] | None = None) -> DataFrame:
