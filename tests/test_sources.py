@@ -2,6 +2,7 @@ import hashlib
 import json
 import math
 import os
+import time
 from collections import Counter
 
 import pytest
@@ -101,6 +102,39 @@ def test_extracted_text_and_reports(spark, folder):
     assert whole["text"].startswith("plain text")
 
 
+def test_listing_by_tasks(spark, tmp_path):
+    for name in ("a.txt", "b/empty.csv", "b/c/d e+%.bin", "b/.hidden", ".git/x", "_tmp/y"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"" if "empty" in name else b"xyz")
+    for name in ("none", "b/none/below", "b/c/.only"):
+        (tmp_path / name).mkdir(parents=True)
+    rows = {r["relative"]: r for r in S.list_tree(spark, str(tmp_path)).collect()}
+    assert set(rows) == {"a.txt", "b", "b/empty.csv", "b/c", "b/c/d e+%.bin", "none", "b/none", "b/none/below"}
+    assert {k for k, r in rows.items() if r["empty"]} == {"b/empty.csv", "none", "b/none/below"}
+    scanned = {r["relative"]: (r["length"], int(r["modificationTime"].timestamp())) for r in S.scan(spark, str(tmp_path)).collect()}
+    assert scanned == {k: (r["length"], int(r["modificationTime"].timestamp())) for k, r in rows.items() if not r["is_folder"] and r["length"]}
+    assert [os.path.basename(r["path"]) for r in S.empty_folders(spark, f"file:{tmp_path}/").orderBy("path").collect()] == ["below", "none"]
+
+
+def test_entropy_is_one_pass(spark):
+    data = os.urandom(20_000_000) + b"\0" * 20_000_000
+    start = time.monotonic()
+    assert S._histogram(data).sum() == len(data) and time.monotonic() - start < 0.05 * 40
+    df = spark.createDataFrame([(bytes(range(256)) * 9,), (b"",), (None,), (b"aaab",)], "c binary")
+    got = [r[0] for r in df.select(S.byte_entropy("c")).collect()]
+    assert got == [8.0, 0.0, None, pytest.approx(0.811278, abs=1e-6)]
+
+
+def test_concatenation_per_directory(spark):
+    rows = [(f"d{i % 3}/e/{i:03d}" if i % 5 else f"{i:03d}", "x" * (i % 7)) for i in range(60)] + [("d0/e/000", "again")] * 2
+    df = spark.createDataFrame(rows, "path string, text string").repartition(5)
+    for size in (1, 100, 10**6):
+        parts = sinks.concatenate(df, size, per_directory=True).orderBy("directory", "part").collect()
+        for d in ("", "d0/e", "d1/e", "d2/e"):
+            expected = "".join(f"## File: {p}\n```\n{t}\n```\n\n" for p, t in sorted(rows) if t and p.rpartition("/")[0] == d)
+            assert "".join(r["content"] for r in parts if r["directory"] == d) == expected
+
+
 def test_concatenation_in_pieces(spark):
     rows = [(f"d{i % 3}/{i:03d}", "x" * (i % 7)) for i in range(60)]
     df = spark.createDataFrame(rows, "path string, text string").repartition(5)

@@ -99,11 +99,7 @@ def register_functions(spark: SparkSession) -> list[str]:
             f"RETURN regexp_extract_all(t, {regex}, 0)"
         )
         names += [f"has_{p.label}", f"find_{p.label}"]
-    spark.sql(
-        """CREATE OR REPLACE TEMPORARY FUNCTION byte_entropy(c BINARY) RETURNS DOUBLE RETURN CASE WHEN octet_length(c) = 0 THEN 0D
-        ELSE aggregate(transform(sequence(0, 255), b -> octet_length(c) - length(replace(decode(c, 'ISO-8859-1'), char(b), ''))), 0D,
-          (a, n) -> a - if(n > 0, n / octet_length(c) * log2(n / octet_length(c)), 0D)) END"""
-    )
+    spark.udf.register("byte_entropy", files.byte_entropy)
     names.append("byte_entropy")
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION is_date(t STRING) RETURNS BOOLEAN RETURN {_is_date_sql()}")
     spark.udf.register("strip_accents", X._strip_accents)

@@ -6,10 +6,14 @@ import mimetypes
 import re
 from collections.abc import Iterable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textscan.functions.regexes import let
+from textscan.sources.listing import list_tree
 
 # --- Fixed values: MIME types -----------------------------------------------------
 TEXT_TYPES = ["application/json", "application/xml", "application/x-yaml", "text/markdown"]
@@ -96,7 +100,7 @@ def scan(
 ) -> DataFrame:
     """All files below a folder: (path, relative, modificationTime, length,
     content, skipped).  Hidden files and folders are skipped; Spark also skips names that
-    begin with an underscore, and empty files (see ``empty_files``).  Columns that are not used are not read; a content
+    begin with an underscore, and empty files (see ``list_tree``).  Columns that are not used are not read; a content
     is one value in one task, so files of more than ``max_bytes`` have a row
     without content that says so in ``skipped``.
     """
@@ -120,20 +124,13 @@ def scan(
 
 
 def empty_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path) of files without content, which a scan leaves out: the files of the
-    listing that Spark holds anyway, minus those with a row.  Only names travel;
-    an empty folder has no file and cannot be seen."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    listed = spark.createDataFrame([(name,) for name in files.inputFiles()], "path string").select(
-        F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))).alias("path")
-    )
+    """(path) of files without content, which a scan leaves out, as tasks list them."""
+    return list_tree(spark, path).filter("empty and not is_folder").select("path")
 
-    def comparable(column: str) -> Column:
-        return F.regexp_replace(column, "^file:/+", "file:/")
 
-    return listed.select(comparable("path").alias("path")).join(
-        files.select(comparable("path").alias("path")), "path", "left_anti"
-    )
+def empty_folders(spark: SparkSession, path: str) -> DataFrame:
+    """(path) of folders without an entry (hidden ones aside), as tasks list them."""
+    return list_tree(spark, path).filter("empty and is_folder").select("path")
 
 
 # --- Content ------------------------------------------------------------------------
@@ -166,18 +163,28 @@ def embedded_urls(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"https?://[^ \t\n\r\f\x0b]+"), F.lit(0))
 
 
-def byte_entropy(content: Column) -> Column:
-    """Shannon entropy in bits per byte; each of the 256 values is counted by
-    itself, so that no array grows with the file."""
-    size = F.octet_length(content)
+def _histogram(data: bytes) -> np.ndarray:
+    """How often each byte value occurs; slices are counted one by one, so no wider copy of the file is made."""
+    counts = np.zeros(256, np.int64)
+    values = np.frombuffer(data, np.uint8)
+    for at in range(0, len(values), 1 << 20):
+        counts += np.bincount(values[at : at + (1 << 20)], minlength=256)
+    return counts
+
+
+def _entropies(contents: pd.Series) -> pd.Series:
+    def entropy(data: bytes | None) -> float | None:
+        if data is None:
+            return None
+        shares = _histogram(data) / max(1, len(data))
+        shares = shares[shares > 0]
+        return float(-(shares * np.log2(shares)).sum()) + 0.0
+
+    return pd.Series([entropy(c) for c in contents], dtype=object)
 
-    def total(text: Column) -> Column:
-        counts = F.transform(
-            F.sequence(F.lit(0), F.lit(255)), lambda b: size - F.length(F.replace(text, F.char(b), F.lit("")))
-        )
-        return F.aggregate(counts, F.lit(0.0), lambda a, n: a - F.when(n > 0, n / size * F.log2(n / size)).otherwise(0.0))
 
-    return F.when(size == 0, F.lit(0.0)).otherwise(let(latin1(content), total))
+#: Shannon entropy of a binary Column in bits per byte, from a histogram made in one pass.
+byte_entropy = F.pandas_udf(_entropies, T.DoubleType())
 
 
 def magic_number(content: Column) -> Column:

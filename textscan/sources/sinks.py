@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textscan.operators.ordered import running
+
 FORMATS = ("csv", "json", "parquet", "orc", "text")
 
 
@@ -22,30 +21,25 @@ def fenced_blocks(texts: DataFrame) -> DataFrame:
     return kept.select("path", fenced(F.col("path"), F.col("text")).alias("block")).orderBy("path")
 
 
-def concatenate(texts: DataFrame, part_chars: int = 16_000_000) -> DataFrame:
-    """(part, content): all files in path order as consecutive pieces of one
-    document.
+def directory(path: Column) -> Column:
+    """The folder of a path; empty without one."""
+    return F.regexp_extract(path, "^(.*)/[^/]*$", 1)
 
-    The document itself may be of any size, so it is never one value: a range
-    sort gives every task a stretch of paths, and each task closes a piece once
-    it holds ``part_chars``.  The pieces in order of ``part`` are the document.
-    """
 
-    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number, held, size = 0, [], 0
-        task = -1
-        for batch in batches:
-            for task, block in zip(batch["task"], batch["block"]):
-                held.append(block)
-                size += len(block)
-                if size >= part_chars:
-                    yield pd.DataFrame({"part": [(task << 33) + number], "content": ["".join(held)]})
-                    number, held, size = number + 1, [], 0
-        if held:
-            yield pd.DataFrame({"part": [(task << 33) + number], "content": ["".join(held)]})
-
-    ordered = fenced_blocks(texts).select(F.spark_partition_id().cast("long").alias("task"), "block")
-    return ordered.mapInPandas(gather, "part long, content string")
+def concatenate(texts: DataFrame, part_chars: int = 16_000_000, per_directory: bool = False) -> DataFrame:
+    """(part, offset, content): all files in path order as consecutive pieces of one document, or (directory, part,
+    offset, content): one document per directory, of the files that lie in it.
+
+    A document may be of any size, so neither it nor a directory is ever gathered: running sums of the sizes over
+    ranges of paths give each file its offset, and the files that begin in the same ``part_chars`` characters are a piece.  The
+    pieces in order of ``part`` are the document; a part that lies inside one long file has no piece.
+    """
+    blocks = texts.filter(F.length("text") > 0).select(directory(F.col("path")).alias("directory"), "path", fenced(F.col("path"), F.col("text")).alias("block"))
+    by = ["directory"] if per_directory else []
+    placed = running(blocks, by, ["path", "block"], {"offset": F.length("block")})
+    pieces = placed.groupBy(*by, F.floor(F.col("offset") / part_chars).alias("part")).agg(F.array_sort(F.collect_list(F.struct("offset", "block"))).alias("blocks"))
+    content = F.array_join(F.transform("blocks", lambda b: b["block"]), "")
+    return pieces.select(*by, "part", F.col("blocks")[0]["offset"].alias("offset"), content.alias("content"))
 
 
 def table_to_markdown(rows: Column, gfm: bool = False) -> Column:
