@@ -293,25 +293,68 @@ def test_repeats_are_removed_once(spark):
     assert _removed_by_plain_search(texts) == {i: r["n_removed"] for i, r in out.items()}
 
 
+def plain_units(text):
+    """The words of each sentence, those of long sentences cut behind the least word of each six, word by word."""
+    parts = (text or "").split()
+    low = (text or "").lower().split()
+    lines = re.split("\n", text or "")
+    ends, at = set(), 0
+    for line in lines:
+        at += len(line.split())
+        ends.add(at - 1)
+    ends |= {i for i, w in enumerate(parts) if w[-1] in ".!?"}
+    ends.add(len(low) - 1)
+
+    def rank(word):
+        return sum(ord(c) * (ord(c) ^ 0x85EBCA6B) for c in word) % 2**32 * 0x9E3779B1 % 2**32
+
+    ranks = [rank(w) for w in low]
+    least = set()
+    for i in range(len(low) - 5):
+        least.add(max(range(i, i + 6), key=lambda k: (-ranks[k], k)))
+    units, begin = [], 0
+    for end in sorted(e for e in ends if 0 <= e < len(low)):
+        inner = [k for k in range(begin, end) if k in least] if end + 1 - begin > 16 else []
+        for a, b in zip([begin - 1, *inner], [*inner, end], strict=True):
+            units.append(tuple(low[a + 1 : b + 1]))
+        begin = end + 1
+    return units
+
+
+def plain_runs(units):
+    """(first unit, units) from each unit on: three or more with twenty words or more."""
+    for i in range(len(units)):
+        for n in range(3, len(units) - i + 1):
+            if sum(map(len, units[i : i + n])) >= 20:
+                yield i, tuple(units[i : i + n])
+                break
+
+
 def _removed_by_plain_search(texts):
     """Row -> number of sentences that a later occurrence of any run covers."""
     first, gone = {}, defaultdict(set)
     for i, t in enumerate(texts):
-        for at, n, h in substring_dedup.runs(substring_dedup.sentences(t)):
-            if first.setdefault(h, (i, at)) != (i, at):
-                gone[i].update(range(at, at + n))
+        for at, run in plain_runs(plain_units(t)):
+            if first.setdefault(run, (i, at)) != (i, at):
+                gone[i].update(range(at, at + len(run)))
     return {i: len(gone[i]) for i in range(len(texts))}
 
 
-@pytest.mark.parametrize("most_hot", [10_000, 40, 1])
-def test_hot_and_other_runs_give_the_same(spark, monkeypatch, most_hot):
-    """All repeated runs broadcast, only the passage that half of the texts share, none."""
+def test_plain_units_are_the_sentences():
+    texts = [t for t in open(__file__).read().split("def ")] + ["Ünï SS ẞtraße. İstanbul! a\nb " * 9, "", " \n ", "x " * 300]
+    for t in texts:
+        assert [len(u) for u in plain_units(t)] == [u[3] for u in substring_dedup.sentences(t)]
+
+
+@pytest.mark.parametrize("together", [1 << 14, 3, 1])
+def test_hot_and_other_runs_give_the_same(spark, monkeypatch, together):
+    """Repeats told among all texts of a task, among some, only in the shuffle."""
     rng = random.Random(3)
     sentence = lambda: (words(rng.randrange(6, 12), 5000, rng) + ".").capitalize()
     passage = lambda n: " ".join(sentence() for _ in range(n))
     common, rare = passage(5), [passage(4) for _ in range(10)]
     texts = [" ".join([passage(3), *([common] if i % 2 else []), *([rare[i // 4]] if i % 4 < 2 else []), passage(2)]) for i in range(40)]
-    monkeypatch.setattr(substring_dedup, "MOST_HOT", most_hot)
+    monkeypatch.setattr(substring_dedup, "TOGETHER", together)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     out = {r["doc_id"]: r["n_removed"] for r in substring_dedup.remove_repeats(df, "doc_id", "text").collect()}
     assert out == _removed_by_plain_search(texts) and sum(out.values()) > 100

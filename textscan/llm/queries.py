@@ -44,7 +44,9 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.remove_repeats(read(spark, sf_dir, "documents"), "doc_id", "text")
+    docs = read(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", "text", F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+    return substring_dedup.remove_repeats(rows, "doc_id", "text", ("file", "place"))
 
 
 def op3_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,19 +9,20 @@ shortest run of at least ``RUN`` sentences and ``LEAST_WORDS`` words is hashed (
 aside).  Runs are joined globally: the first occurrence is the one with the least (document, row, place), and
 sentences that any other occurrence covers are removed.  Places belong to a row, as rows may share a document.
 
-Texts with their row numbers and the runs are written once and read by what follows.  The first occurrences come from a minimum that is combined
-before the shuffle.  Runs with more than 1 / ``MOST_HOT`` of all occurrences are fewer than ``MOST_HOT``, so they
-are broadcast and their occurrences stay where they are; only the others are joined by their hash.
+Runs meet in one shuffle, sorted by hash and occurrence: the first of a group is kept, and all others are repeats,
+told apart as they stream by.  Of a run that occurs often in a batch of texts only the first goes there as such; the
+others are repeats already, and are dealt out evenly.  Texts are read twice and move once, at the end.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +35,8 @@ LEAST_WORDS = 20
 LONG = 16
 #: At most (LEAST_WORDS - 1) // (RUN - 1), so that the pieces of a long sentence need no more words than LEAST_WORDS.
 WINDOW = 6
-#: A run with more than one in so many of all occurrences is hot; there are fewer hot runs than this.
-MOST_HOT = 10_000
+#: Texts among which a run is first looked for.
+TOGETHER = 1 << 14
 
 _LINE = re.compile("\n")
 _SPACE = np.array([chr(c).isspace() for c in range(0x3002)])
@@ -117,47 +118,83 @@ def runs(units: list[tuple[int, int, bytes, int]]) -> Iterator[tuple[int, int, b
         yield i, end - i, xxhash.xxh3_128_digest(hashes[16 * i : 16 * end])
 
 
-def run_table(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(high, low, doc_id, row, place, size): every run of every text; ``df`` has a long ``row``."""
+_RUN = "high long, low long, doc_id {}, row1 long, row2 long, at long"
+
+
+def _run_rows(b: pa.RecordBatch) -> pa.Table:
+    """The runs of a batch (doc_id, row1, row2, text); ``at`` is 32 times the place plus the number of sentences."""
+    row, at, hashes = [], [], []
+    for i, t in enumerate(b.column(3).to_pylist()):
+        for place, n, h in runs(sentences(t)):
+            row.append(i), at.append(32 * place + n), hashes.append(h)
+    halves = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
+    of = pa.array(row, pa.int32())
+    ids = [b.column(k).take(of) for k in range(3)]
+    return pa.table([pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), *ids, pa.array(at, pa.int64())], names=["high", "low", "doc_id", "row1", "row2", "at"])
+
+
+def run_table(df: DataFrame) -> DataFrame:
+    """(high, low, doc_id, row1, row2, at): every run of every text of ``df`` (doc_id, row1, row2, text).
+
+    Of equal runs among ``TOGETHER`` texts, only the first has its hash; the others, repeats for certain, have no ``low`` and
+    any number as ``high``."""
     small_batches(df.sparkSession)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            row, place, size, hashes = [], [], [], []
-            for i, t in enumerate(b.column(2).to_pylist()):
-                for at, n, h in runs(sentences(t)):
-                    row.append(i), place.append(at), size.append(n), hashes.append(h)
-            halves = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
-            ids = [b.column(k).take(pa.array(row, pa.int32())) for k in (0, 1)]
-            arrays = [pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), *ids, pa.array(place, pa.int32()), pa.array(size, pa.int32())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["high", "low", "doc_id", "row", "place", "size"])
+        held: list[pa.Table] = []
+        texts = 0
+
+        def told() -> Iterator[pa.RecordBatch]:
+            table = pa.concat_tables(held)
+            held.clear()
+            if table.num_rows:
+                order = [(c, "ascending") for c in ("high", "low", "doc_id", "row1", "row2", "at")]
+                table = table.take(pc.sort_indices(table, sort_keys=order, null_placement="at_start"))
+                high, low = table["high"].to_numpy(), table["low"].to_numpy()
+                again = np.concatenate(([False], (high[1:] == high[:-1]) & (low[1:] == low[:-1])))
+                spread = np.where(again, np.arange(len(high)) * np.int64(0x9E3779B97F4A7C1) + table["row2"].to_numpy(), high)
+                table = table.set_column(0, "high", pa.array(spread)).set_column(1, "low", pa.array(low, mask=again))
+            yield from table.combine_chunks().to_batches(max_chunksize=65536)
 
-    kind = df.schema[doc_id].dataType.simpleString()
-    return df.select(F.col(doc_id).alias("doc_id"), "row", F.col(text).alias("text")).mapInArrow(
-        find, f"high long, low long, doc_id {kind}, row long, place int, size int"
-    )
+        for b in batches:
+            held.append(_run_rows(b))
+            texts += b.num_rows
+            if texts >= TOGETHER or sum(t.num_rows for t in held) > 64 * TOGETHER:
+                yield from told()
+                texts = 0
+        if held:
+            yield from told()
+
+    return df.select("doc_id", "row1", "row2", "text").mapInArrow(find, _RUN.format(df.schema["doc_id"].dataType.simpleString()))
+
+
+def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs sorted by hash and occurrence -> (row1, row2, at) of all that are not the first of their hash."""
+    last: tuple | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        high, low = b.column(0).to_numpy(), b.column(1).fill_null(0).to_numpy()
+        told = b.column(1).is_valid().to_numpy(zero_copy_only=False)
+        again = np.concatenate(([last == (high[0], low[0])], (high[1:] == high[:-1]) & (low[1:] == low[:-1]) & told[:-1]))
+        last = (high[-1], low[-1]) if told[-1] else None
+        gone = pa.array(again | ~told)
+        yield pa.RecordBatch.from_arrays([b.column(i).filter(gone) for i in (2, 3, 4)], names=["row1", "row2", "at"])
 
 
 def repeated_runs(found: DataFrame) -> DataFrame:
-    """(row, covered): the places (first sentence, number of sentences) of non-first occurrences.
+    """(row1, row2, covered): the places (32 times the first sentence plus the number of sentences) of non-first
+    occurrences."""
+    dealt = found.repartition("high").sortWithinPartitions("high", "low", "doc_id", "row1", "row2", "at")
+    later = dealt.select("high", "low", "row1", "row2", "at").mapInArrow(_later, "row1 long, row2 long, at long")
+    return later.groupBy("row1", "row2").agg(F.collect_set("at").alias("covered"))
 
-    ``found`` is read more than once, so it should be a written table.
-    """
-    at = F.struct("doc_id", "row", "place")
-    first = found.groupBy("high", "low").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    first = written(first)
-    hot = F.col("n") > max(1, found.count() // MOST_HOT)
-    met = found.join(F.broadcast(first.filter(hot).drop("n")), ["high", "low"], "left")
-    rest = met.filter("first is null").drop("first").join(first.filter(~hot).drop("n"), ["high", "low"])
-    later = met.filter("first is not null").unionByName(rest).filter(~at.eqNullSafe(F.col("first")))
-    return later.groupBy("row").agg(F.collect_set(F.struct("place", "size")).alias("covered"))
 
-
-def _keep(text: str | None, covered: list[dict] | None) -> tuple[str | None, int, str]:
+def _keep(text: str | None, covered: list[int] | None) -> tuple[str | None, int, str]:
     """(kept text, removed sentences, removed stretches as start:end)."""
     gone: set[int] = set()
     for c in covered or ():
-        gone.update(range(c["place"], c["place"] + c["size"]))
+        gone.update(range(c // 32, c // 32 + c % 32))
     if not gone:
         return text, 0, ""
     units = sentences(text)
@@ -174,18 +211,24 @@ def _keep(text: str | None, covered: list[dict] | None) -> tuple[str | None, int
     return "".join([*parts, text[at:]]), len(gone), ",".join(f"{a}:{b}" for a, b in stretches)
 
 
-def remove_repeats(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+def remove_repeats(df: DataFrame, doc_id: str, text: str, row: Sequence[str] = ()) -> DataFrame:
     """(doc_id, text, n_removed, removed), one row per row of ``df``: the text without sentences
     that a non-first repeated run covers, and the removed stretches (code points, end exclusive).
 
+    ``row`` names two columns of longs that tell rows apart and are the same whenever ``df`` is computed, such as a file and a
+    place in it; without them, a copy with numbers is written.
+
     Null texts stay null.  Texts of fewer than ``RUN`` sentences or ``LEAST_WORDS``
-    words have no runs and stay.  Rows that share a doc_id are cut and judged on their own, in the order they are
-    stored in; a null id is an id like any other and is the first.
+    words have no runs and stay.  Rows that share a doc_id are cut and judged on their own, in the order of ``row``;
+    a null id is an id like any other and is the first.  A long text is cut by one task as a whole.  An empty table gives an
+    empty result.  Other columns are left out, so their names can't clash.
     """
-    base = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
-    base = written(base)
-    covered = repeated_runs(written(run_table(base, "doc_id", "text")))
-    joined = base.join(covered, "row", "left").select("doc_id", "text", "covered")
+    ids = [F.col(c).alias(f"row{k}") for k, c in enumerate(row, 1)] or [F.lit(0).cast("long").alias("row1"), F.monotonically_increasing_id().alias("row2")]
+    base = df.select(F.col(doc_id).alias("doc_id"), *ids, F.col(text).alias("text"))
+    if not row:
+        base = written(base)
+    covered = repeated_runs(run_table(base))
+    joined = base.join(covered, ["row1", "row2"], "left").select("doc_id", "text", "covered")
     fields = [("kept", T.StringType()), ("n_removed", T.LongType()), ("removed", T.StringType())]
 
     def run(texts: list, covered: list) -> list[tuple]:
