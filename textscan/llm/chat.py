@@ -9,8 +9,10 @@ about, and ``event`` is one of
 * ``regenerate``: the text so far is dropped, deltas that follow write it anew
 * ``retract``: the message goes
 
-Events are partitioned by conversation and message, sorted by sequence, and folded into final messages: a
-long conversation is dealt out over many tasks.  The template then marks the turns:
+A ``key``, where there is one, orders and tells apart messages that share a place.
+
+Events are partitioned by conversation, sorted by message and sequence, and folded into final messages as they stream
+by, so a task holds one message at a time.  The template then marks the turns:
 
     <s>[INST] user [/INST]assistant</s><<SYS>>system<</SYS>>[ROLE "tool"] text [/ROLE]
 
@@ -26,7 +28,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textscan.llm.batches import small_batches
@@ -93,10 +95,12 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
     copy = 0
     for b in batches:
-        for conv, message, event, role, text in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-            if (conv, message) != before:
+        for conv, message, key, event, role, text in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+            if (conv, message, key) != before:
                 close()
-                before, copy = (conv, message), 0
+                if before is None or before[:2] != (conv, message):
+                    copy = 0
+                before = (conv, message, key)
             if event == "message" or (open_message is None and event in ("delta", "edit")):
                 close()
                 open_message = [(conv, message, role), [text or ""], copy]
@@ -117,17 +121,21 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def format_log(events: DataFrame) -> DataFrame:
-    """(conv, message, copy, turn, loss_start, loss_end): the formatted turns of an event log.
+    """(conv, message, copy, turn, loss_start, loss_end): the formatted turns of an event log (conv, message, seq, event, role,
+    text, and key if messages share places).  A conversation's turns lie together and in order in one partition.
 
     Null ids are an id of their own, null texts are empty, unknown events and events about a message that
     isn't open are left out.  Events with the same sequence number are folded in the order of event, role and
-    text; whole messages that share their place all stay, numbered by ``copy``.  An empty log gives no rows.
+    text; messages that share their place all stay, numbered by ``copy``: those of different keys, and whole messages of
+    one key.  Equal rows are different events.  A text of any length is one value.  An empty log gives no rows; other columns are left out,
+    so their names can't clash.
     """
     small_batches(events.sparkSession)
-    place = ["conv", "message"]
+    key = F.col("key") if "key" in events.columns else F.lit("")
     rank = F.when(F.col("event") == "message", 0).when(F.col("event") == "regenerate", 1).when(F.col("event") == "delta", 2).otherwise(3)
-    dealt = events.withColumn("event_rank", rank).repartition(*place).sortWithinPartitions(*place, "seq", "event_rank", "role", "text")
-    return dealt.select("conv", "message", "event", "role", "text").mapInArrow(_fold, "conv long, message long, copy long, turn string, loss_start long, loss_end long")
+    rows = events.select("conv", "message", key.alias("key"), "event", "role", "text", "seq", rank.alias("event_rank"))
+    dealt = rows.repartition("conv").sortWithinPartitions("conv", "message", "key", "seq", "event_rank", "role", "text")
+    return dealt.drop("seq", "event_rank").mapInArrow(_fold, "conv long, message long, copy long, turn string, loss_start long, loss_end long")
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,24 +174,39 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def digests(turns: DataFrame) -> DataFrame:
-    """Per conversation: its turns, their digest, the text under the loss mask, and the formatted length,
+    """Per conversation of ``format_log``: its turns, their digest, the text under the loss mask, and the formatted length,
     with ``BEGIN`` once in front.
 
     A digest of a whole conversation needs its turns in order, so one task reads them; it streams."""
     columns = ["conv", "turn", "loss_start", "loss_end"]
-    dealt = turns.repartition("conv").sortWithinPartitions("conv", "message", "copy").select(*columns)
-    return dealt.mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return turns.select(*columns).mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def conversation_events(conversations: DataFrame) -> DataFrame:
-    """Rows (conv_id, turn, role, text) as an event log of whole messages."""
-    return conversations.select(
-        F.col("conv_id").alias("conv"),
-        F.col("turn").alias("message"),
-        F.col("turn").alias("seq"),
-        F.lit("message").alias("event"),
-        "role",
-        F.coalesce("text", F.lit("")).alias("text"),
+    """Rows (conv_id, turn, role, text) as the log of a chat in which they came about, each in one of four ways: as a
+    whole, in three deltas, by an edit of a draft, or in deltas after another start was dropped.  What folding
+    the log must give is the rows."""
+    text = F.coalesce("text", F.lit(""))
+    third = F.ceil(F.length(text) / 3).cast("int")
+    parts = [F.substring(text, 1, third), F.substring(text, third + 1, third), F.substring(text, 2 * third + 1, F.length(text))]
+
+    def event(kind: str, value: Column) -> Column:
+        return F.struct(F.lit(kind).alias("event"), value.alias("text"))
+
+    deltas = [event("delta", p) for p in parts]
+    ways = [
+        [event("message", text)],
+        deltas,
+        [event("message", parts[2]), event("edit", text)],
+        [event("delta", F.reverse(parts[0])), event("regenerate", F.lit("")), *deltas],
+    ]
+    way = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(len(ways)))
+    happened = F.when(way == 0, F.array(*ways[0])).when(way == 1, F.array(*ways[1])).when(way == 2, F.array(*ways[2])).otherwise(F.array(*ways[3]))
+    key = F.concat(F.coalesce("role", F.lit("")), F.lit("\0"), F.md5(text.cast("binary")), F.lit("\0"), F.monotonically_increasing_id().cast("string"))
+    rows = conversations.select("conv_id", "turn", "role", key.alias("key"), happened.alias("happened"))
+    rows = rows.select("conv_id", "turn", "role", "key", F.posexplode("happened").alias("seq", "e"))
+    return rows.select(
+        F.col("conv_id").alias("conv"), F.col("turn").alias("message"), "key", F.col("seq").cast("long").alias("seq"), "e.event", "role", "e.text"
     )
 
 
@@ -198,9 +221,9 @@ WITH rows AS (
 escaped AS (
   SELECT *, length(text) + len(regexp_extract_all(text, '[<\[]\\*(/?s>|</?SYS>>|/?INST\]|/?ROLE\b)')) AS size FROM rows)
 SELECT conv_id, count(*) AS n_turns,
-  sha256(string_agg(coalesce(role, '') || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text)) AS turns_sha256,
+  sha256(string_agg(coalesce(role, '') || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, md5(text))) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, md5(text)) FILTER (role = 'assistant'), '')) AS loss_sha256,
   (3 + sum(size + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 4 WHEN 'system' THEN 15 ELSE coalesce(length(to_json(role)), 4) + 16 END))::BIGINT AS formatted_chars
 FROM escaped GROUP BY conv_id
 """
