@@ -272,7 +272,5 @@ def pack(df: DataFrame, doc_id: str, text: str, path: str, window: int = WINDOW,
     packed = dealt.groupBy("pack_group").applyInArrow(run, schema)
     if not with_ids:
         return packed.drop("digest")
-    held = cut.groupBy(*[F.col(c).alias(f"of_{c}") for c in ("doc_id", "start", "digest")]).agg(F.first("ids").alias("ids"))
-    same = [packed[c].eqNullSafe(held[f"of_{c}"]) if c == "doc_id" else packed[c] == held[f"of_{c}"] for c in ("doc_id", "start", "digest")]
-    met = packed.join(held, same[0] & same[1] & same[2])
-    return met.select(*[c for c in packed.columns if c != "digest"], "ids")
+    held = cut.groupBy("digest").agg(F.first("ids").alias("ids"))  # equal pieces have equal ids, which move once
+    return packed.join(held, "digest").select(*[c for c in packed.columns if c != "digest"], "ids")
