@@ -65,7 +65,7 @@ def test_sql_functions(spark):
 def test_classifier(spark):
     samples = model.character_samples(spark, per_class=60)
     assert samples.count() == 540 and samples.filter(F.length("text") != 15).count() == 0
-    predicted = model.train_and_predict(samples, trees=20, hashed=256).cache()
+    predicted = model.train_and_predict(samples, trees=20).cache()
     accuracy = predicted.agg(F.avg((F.col("label") == F.col("prediction")).cast("int"))).first()[0]
     assert accuracy > 0.6
     report = model.classification_report(predicted).collect()

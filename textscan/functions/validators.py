@@ -578,11 +578,11 @@ def validate_as(value: Column, type_name: Column | str) -> Column:
 def checked(value: Column, type_name: str) -> Column:
     """struct<valid, error> of a value as the named type."""
     missing = F.when(value.isNull(), "Missing value")
+    # the reason is looked for in failing values only
     reason = EXPLAINED[type_name](value)["error"] if type_name in EXPLAINED else F.lit(None).cast("string")
     return let(
-        F.struct(VALIDATORS[type_name](value).alias("ok"), reason.alias("reason")),
-        lambda d: F.struct(
-            F.coalesce(d["ok"], F.lit(False)).alias("valid"),
-            F.coalesce(missing, F.when(~F.coalesce(d["ok"], F.lit(False)), F.coalesce(d["reason"], F.lit("Invalid format")))).alias("error"),
+        F.coalesce(VALIDATORS[type_name](value), F.lit(False)),
+        lambda ok: F.struct(
+            ok.alias("valid"), F.when(~ok, F.coalesce(missing, reason, F.lit("Invalid format"))).alias("error")
         ),
     )

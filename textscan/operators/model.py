@@ -6,19 +6,14 @@ import string
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import (
-    IDF,
-    HashingTF,
-    NGram,
-    Normalizer,
-    SQLTransformer,
-    StringIndexer,
-    VectorAssembler,
-)
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import StringIndexer
+from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textscan.operators.joins import spread_join
+from textscan.operators.ordered import kept, running
+
 _LETTERS = string.ascii_lowercase + string.ascii_uppercase
 # --- Fixed values: the characters of each class -----------------------------------
 _PUNCTUATION = "!@#$%^&*()_+=-{}[]|;:'\\\",.<>?/`~"
@@ -62,26 +57,25 @@ def character_counts(text: Column) -> Column:
     return F.array(*[F.regexp_count(text, F.lit(r)) for r in (digits, letters, spaces, other)])
 
 
-def with_character_features(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds lower-case characters, characters marked by position, and counts."""
-    chars = F.split(F.col(text), "")
-    return df.withColumns(
-        {
-            "chars": F.split(F.lower(F.col(text)), ""),
-            "positions": F.transform(chars, lambda c, i: F.concat(c, F.lit("_pos_"), i.cast("string"))),
-            "counts": array_to_vector(F.transform(character_counts(F.col(text)), lambda x: x.cast("double"))),
-        }
-    )
+def _positions(text: Column) -> Column:
+    return F.transform(F.split(text, ""), lambda c, i: F.concat(c, F.lit("_pos_"), i.cast("string")))
+
+
+def _grams(text: Column, longest: int) -> Column:
+    """All character n-grams of the lower-case text, repeated as they occur."""
+    low, n = F.lower(text), F.length(text)
+    nothing = F.array().cast("array<string>")
+
+    def of(k: int) -> Column:
+        return F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: low.substr(i, F.lit(k)))).otherwise(nothing)
+
+    return F.concat(*[of(k) for k in range(1, longest + 1)])
 
 
 def gram_table(df: DataFrame, text: str = "text", longest: int = 5) -> DataFrame:
     """(gram, occurrences, documents, idf) of all character n-grams of lower-case texts; idf is
     ln((1 + rows) / (1 + documents)) + 1, so that a gram of every row keeps weight 1."""
-    low, n = F.lower(F.col(text)), F.length(text)
-    grams = F.concat(
-        *[F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: low.substr(i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-          for k in range(1, longest + 1)]
-    )
+    grams = _grams(F.col(text), longest)
 
     def counted(values: Column, occurrences: int, documents: int) -> Column:
         return F.transform(values, lambda g: F.struct(g.alias("gram"), F.lit(occurrences).alias("o"), F.lit(documents).alias("d")))
@@ -94,41 +88,75 @@ def gram_table(df: DataFrame, text: str = "text", longest: int = 5) -> DataFrame
 
 def position_table(df: DataFrame, text: str = "text") -> DataFrame:
     """(feature, occurrences) of the characters marked by position."""
-    positions = with_character_features(df.select(F.col(text).alias("text"))).select(F.explode("positions").alias("feature"))
+    positions = df.select(F.explode(_positions(F.col(text))).alias("feature"))
     return positions.groupBy("feature").agg(F.count(F.lit(1)).alias("occurrences"))
 
 
-def pipeline(trees: int = 100, seed: int = 42, hashed: int = 1 << 18, depth: int = 30) -> Pipeline:
-    """Character n-grams (1–5) weighted by TF-IDF, position features and counts
-    into a random forest.  N-grams and positions are hashed to ``hashed``
-    features each, so nothing is cut and no vocabulary goes through the driver;
-    ``depth`` is the most that Spark's trees can have."""
-    stages = [NGram(n=n, inputCol="chars", outputCol=f"grams_{n}") for n in range(1, 6)]
-    stages += [
-        SQLTransformer(
-            statement="SELECT *, concat(grams_1, grams_2, grams_3, grams_4, grams_5) AS grams FROM __THIS__"
-        ),
-        HashingTF(inputCol="grams", outputCol="tf", numFeatures=hashed),
-        IDF(inputCol="tf", outputCol="idf"),
-        Normalizer(inputCol="idf", outputCol="tfidf"),
-        HashingTF(inputCol="positions", outputCol="position_counts", numFeatures=hashed),
-        VectorAssembler(inputCols=["tfidf", "position_counts", "counts"], outputCol="features"),
-        StringIndexer(inputCol="label", outputCol="label_index", stringOrderType="alphabetAsc", handleInvalid="keep"),
-        RandomForestClassifier(
-            labelCol="label_index", featuresCol="features", numTrees=trees, seed=seed, maxDepth=depth,
-            subsamplingRate=1.0, predictionCol="predicted_index",
-        ),
-    ]
-    return Pipeline(stages=stages)
-
-
-def train_and_predict(df: DataFrame, trees: int = 100, seed: int = 42, hashed: int = 1 << 18, depth: int = 30) -> DataFrame:
-    """(label, prediction) of the held-out fifth of (text, label) rows."""
-    train, test = with_character_features(df).randomSplit([0.8, 0.2], seed)
-    model = pipeline(trees, seed, hashed, depth).fit(train)
+def vocabulary(df: DataFrame, text: str = "text", longest: int = 5) -> DataFrame:
+    """(feature, kind, n, weight, index): every n-gram of the texts with the weight of ``gram_table``, then every character
+    marked by position with weight 1, numbered from 0 on in their order; ``n`` is how many texts have it.
+
+    The numbers come from running sums over ranges of features, so no vocabulary goes through the driver."""
+    grams = gram_table(df, text, longest).select(F.col("gram").alias("feature"), F.lit(0).alias("kind"), F.col("documents").alias("n"), F.col("idf").alias("weight"))
+    places = position_table(df, text).select("feature", F.lit(1).alias("kind"), F.col("occurrences").alias("n"), F.lit(1.0).alias("weight"))
+    return kept(running(grams.unionByName(places), [], ["kind", "feature"], {"index": F.lit(1)}))
+
+
+def vectors(df: DataFrame, text: str, known: DataFrame, longest: int = 5) -> DataFrame:
+    """``df`` with ``indices`` and ``values``: the sparse vector of each text over a ``vocabulary``.  N-grams count times their
+    weight, scaled to length 1 together; positions count 1; what the vocabulary doesn't have is left out.
+
+    Rows are numbered and written; only (row, feature) pairs meet the vocabulary, frequent features in several tasks."""
+    base = kept(df.withColumn("__row", F.monotonically_increasing_id()))
+    both = F.array(F.struct(F.lit(0).alias("kind"), _grams(F.col(text), longest).alias("found")), F.struct(F.lit(1).alias("kind"), _positions(F.col(text)).alias("found")))
+    each = base.select("__row", F.inline(both)).select("__row", "kind", F.explode("found").alias("feature"))
+    counted = each.groupBy("__row", "kind", "feature").agg(F.count(F.lit(1)).alias("times"))
+    met = spread_join(counted, known, ["kind", "feature"], "n", F.xxhash64("__row"))
+    weighted = met.select("__row", "kind", F.col("index").cast("int").alias("index"), (F.col("times") * F.col("weight")).alias("value"))
+    lengths = F.sqrt(F.sum(F.when(F.col("kind") == 0, F.col("value") * F.col("value"))))
+    entries = F.array_sort(F.collect_list(F.struct("index", "kind", "value")))
+    rows = weighted.groupBy("__row").agg(entries.alias("entries"), lengths.alias("length"))
+    scaled = F.transform("entries", lambda e: F.when(e["kind"] == 0, e["value"] / F.col("length")).otherwise(e["value"]))
+    out = base.join(rows, "__row", "left").withColumns({"indices": F.transform("entries", lambda e: e["index"]), "values": scaled})
+    none = F.array()
+    return out.select(
+        *df.columns, F.coalesce("indices", none.cast("array<int>")).alias("indices"), F.coalesce("values", none.cast("array<double>")).alias("values")
+    )
+
+
+def features(df: DataFrame, text: str, known: DataFrame, size: int, longest: int = 5) -> DataFrame:
+    """``df`` with ``features`` for Spark ML: the vector over ``size`` features and the character counts."""
+
+    def vector(indices: list[int], values: list[float], counts: list[int]) -> SparseVector:
+        return Vectors.sparse(size + len(counts), [*indices, *range(size, size + len(counts))], [*values, *map(float, counts)])
+
+    build = F.udf(vector, VectorUDT())  # Spark has no native function for sparse vectors
+    return vectors(df, text, known, longest).withColumn("features", build("indices", "values", character_counts(F.col(text)))).drop("indices", "values")
+
+
+def forest(trees: int = 100, seed: int = 42, depth: int = 30) -> Pipeline:
+    """A random forest over ``features``; ``depth`` is the most that Spark's trees can have."""
+    return Pipeline(
+        stages=[
+            StringIndexer(inputCol="label", outputCol="label_index", stringOrderType="alphabetAsc", handleInvalid="keep"),
+            RandomForestClassifier(
+                labelCol="label_index", featuresCol="features", numTrees=trees, seed=seed, maxDepth=depth,
+                subsamplingRate=1.0, predictionCol="predicted_index",
+            ),
+        ]
+    )
+
+
+def train_and_predict(df: DataFrame, trees: int = 100, seed: int = 42, depth: int = 30) -> DataFrame:
+    """(label, prediction) of the held-out fifth of (text, label) rows.  The vocabulary and its weights are those of the
+    other rows, whole."""
+    train, test = (kept(part) for part in df.select("text", "label").randomSplit([0.8, 0.2], seed))
+    known = vocabulary(train)
+    size = known.count()
+    model = forest(trees, seed, depth).fit(features(train, "text", known, size))
     labels = next(s.labels for s in model.stages if hasattr(s, "labels"))
     names = F.array(*map(F.lit, labels))
-    return model.transform(test).select(
+    return model.transform(features(test, "text", known, size)).select(
         "label", F.element_at(names, (F.col("predicted_index") + 1).cast("int")).alias("prediction")
     )
 

@@ -7,7 +7,7 @@ can have begun before it, so one offset per partition makes the sums whole.
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -32,40 +32,44 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def _local(batches: Iterator[pa.RecordBatch], n: int, combine: np.ufunc) -> Iterator[pa.RecordBatch]:
+def _local(n: int, combine: np.ufunc) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Sorted rows whose last columns are the group (two longs) and ``n`` values -> the same with what comes before each
     row in its group and partition, what it comes to with the row, the number of groups before, and the row's number."""
-    group, carry, number, rows = None, [np.int64(0)] * n, 0, 0
-    for b in batches:
-        if not b.num_rows:
-            continue
-        at = b.num_columns - n - 2
-        ids = np.column_stack([b.column(at + k).to_numpy(zero_copy_only=False) for k in (0, 1)])
-        new = np.concatenate(([group is not None and (ids[0] != group).any()], (ids[1:] != ids[:-1]).any(axis=1)))
-        of = np.cumsum(new)
-        edges = np.concatenate(([0], np.flatnonzero(new[1:]) + 1))
-        befores, afters = [], []
-        for k in range(n):
-            value = b.column(at + 2 + k).to_numpy(zero_copy_only=False)
-            with np.errstate(over="ignore"):
-                through = combine.accumulate(value)
-                before = np.concatenate(([np.int64(0)], through[:-1]))
-                base = before[edges]  # what all groups of the batch before this one come to
-                if combine is np.add:
-                    before = before - np.repeat(base, np.diff(np.append(edges, len(ids))))
-                else:
-                    before = before ^ np.repeat(base, np.diff(np.append(edges, len(ids))))
-                if not new[0]:
-                    first = slice(0, edges[1] if len(edges) > 1 else len(ids))
-                    before[first] = combine(before[first], carry[k])
-                after = combine(before, value)
-            befores.append(pa.array(before)), afters.append(pa.array(after))
-            carry[k] = after[-1]
-        numbers = pa.array(number + of)
-        place = pa.array(rows + np.arange(len(ids), dtype=np.int64))
-        number, group, rows = number + int(of[-1]), ids[-1], rows + len(ids)
-        names = [*b.schema.names[: at + 2], *(f"__before{k}" for k in range(n)), *(f"__after{k}" for k in range(n)), "__number", "__place"]
-        yield pa.RecordBatch.from_arrays([*b.columns[: at + 2], *befores, *afters, numbers, place], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, carry, number, rows = None, [np.int64(0)] * n, 0, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            at = b.num_columns - n - 2
+            ids = np.column_stack([b.column(at + k).to_numpy(zero_copy_only=False) for k in (0, 1)])
+            new = np.concatenate(([group is not None and (ids[0] != group).any()], (ids[1:] != ids[:-1]).any(axis=1)))
+            of = np.cumsum(new)
+            edges = np.concatenate(([0], np.flatnonzero(new[1:]) + 1))
+            befores, afters = [], []
+            for k in range(n):
+                value = b.column(at + 2 + k).to_numpy(zero_copy_only=False)
+                with np.errstate(over="ignore"):
+                    through = combine.accumulate(value)
+                    before = np.concatenate(([np.int64(0)], through[:-1]))
+                    base = before[edges]  # what all groups of the batch before this one come to
+                    if combine is np.add:
+                        before = before - np.repeat(base, np.diff(np.append(edges, len(ids))))
+                    else:
+                        before = before ^ np.repeat(base, np.diff(np.append(edges, len(ids))))
+                    if not new[0]:
+                        first = slice(0, edges[1] if len(edges) > 1 else len(ids))
+                        before[first] = combine(before[first], carry[k])
+                    after = combine(before, value)
+                befores.append(pa.array(before)), afters.append(pa.array(after))
+                carry[k] = after[-1]
+            numbers = pa.array(number + of)
+            place = pa.array(rows + np.arange(len(ids), dtype=np.int64))
+            number, group, rows = number + int(of[-1]), ids[-1], rows + len(ids)
+            names = [*b.schema.names[: at + 2], *(f"__before{k}" for k in range(n)), *(f"__after{k}" for k in range(n)), "__number", "__place"]
+            yield pa.RecordBatch.from_arrays([*b.columns[: at + 2], *befores, *afters, numbers, place], names=names)
+
+    return run
 
 
 def running(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], values: dict[str, Column], how: str = "sum") -> DataFrame:
@@ -85,7 +89,7 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], val
     sort = ["__group0", "__group1", *order, "__tie"]
     ranged = keyed.repartitionByRange(*sort).sortWithinPartitions(*sort)
     wide = ranged.select(*df.columns, F.spark_partition_id().alias("__part"), "__group0", "__group1", *[v.cast("long").alias(f"__value{k}") for k, v in enumerate(values.values())])
-    local = kept(wide.mapInArrow(lambda batches: _local(batches, n, combine), schema))
+    local = kept(wide.mapInArrow(_local(n, combine), schema))
     group_id = F.struct("__group0", "__group1").alias("group")
     last = F.struct("__number", *[F.col(f"__after{k}") for k in range(n)], group_id)
     ends = local.groupBy("__part").agg(F.min_by(group_id, "__place").alias("first"), F.max_by(last, "__place").alias("last")).orderBy("__part").collect()

@@ -172,14 +172,38 @@ def matching_values(column: str, query: str) -> Column:
     return F.expr(f"array_sort(filter({_matches_sql(name_sql(column), field)}, v -> {condition}))")
 
 
+def _closing(query: str, begin: int) -> int:
+    """Where the parenthesis that opens at ``begin`` closes; quoted ones don't count."""
+    depth = 0
+    for m in re.compile(r'"[^"]*"|[()]').finditer(query, begin):
+        depth += {"(": 1, ")": -1}.get(m.group(), 0)
+        if depth == 0:
+            return m.start()
+    raise ValueError(f"Unclosed parenthesis: {query}")
+
+
+def _repeat_fields(query: str, field: str = "") -> str:
+    """The query with the field of each group written before every term in it, at any depth."""
+    out, at = [], 0
+    term = re.compile(r'(\w+):\(|"[^"]*"|[()]|[^\s()]+|\s+')
+    while at < len(query):
+        m = term.match(query, at)
+        if m.group(1):
+            end = _closing(query, m.end() - 1)
+            out.append("(" + _repeat_fields(query[m.end() : end], m.group(1)) + ")")
+            at = end + 1
+            continue
+        word = m.group()
+        plain = field and not word.isspace() and word not in ("(", ")", "AND", "OR", "NOT") and not re.match(r"\w+:.", word)
+        out.append(f"{field}:{word}" if plain else word)
+        at = m.end()
+    return "".join(out)
+
+
 def text_filter(column: str, query: str) -> Column:
     """A row condition: free terms, "quoted phrases", wildcards, ranges
     ``[A TO B]`` (one character from A to B), nearness ``a+N+b``, and
     ``field:term`` (an entity of that field that holds the term), combined by
-    AND, OR, NOT and parentheses.  ``field:(a OR b)`` repeats the field."""
-
-    def repeat_field(m: re.Match) -> str:
-        words = [w if w in _JOINERS else f"{m[1]}:{w}" for w in re.findall(r'"[^"]*"|\S+', m[2])]
-        return "(" + " ".join(words) + ")"
-
-    return F.expr(_condition_sql(re.sub(r"(\w+):\(([^()]*)\)", repeat_field, query), name_sql(column)))
+    AND, OR, NOT and parentheses.  ``field:((a OR b) AND NOT c)`` repeats the field for
+    every term inside that has none of its own."""
+    return F.expr(_condition_sql(_repeat_fields(query), name_sql(column)))

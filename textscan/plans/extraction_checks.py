@@ -305,6 +305,12 @@ def checks() -> dict:
         f"list_filter({url}, lambda v: v LIKE '%example%' AND v LIKE '%1%' AND NOT v LIKE '%2%')",
     )
 
+    lq(
+        "LQ09_nested_value_condition",
+        lambda: Q.matching_values("text", "url:((example OR ssh) AND NOT (3 OR 7))"),
+        f"list_filter({url}, lambda v: (v LIKE '%example%' OR v LIKE '%ssh%') AND NOT (v LIKE '%3%' OR v LIKE '%7%'))",
+    )
+
     def rows(name, query, condition):
         add(
             name,
@@ -324,5 +330,12 @@ def checks() -> dict:
         exists(url, "v LIKE '%example%' OR v LIKE '%ssh%'")
         + " AND NOT " + exists(unix, "v LIKE '%etc%'") + " AND (text LIKE '%Id%' OR text LIKE '%write%')",
     )
+    rows(
+        "LQ12_nested_grouping",
+        "url:((example OR ssh) AND NOT (3 OR 7)) AND (Id OR write)",
+        "(" + " OR ".join(exists(url, f"v LIKE '%{w}%'") for w in ("example", "ssh")) + ") AND NOT ("
+        + " OR ".join(exists(url, f"v LIKE '%{w}%'") for w in ("3", "7")) + ")"
+        " AND (text LIKE '%Id%' OR text LIKE '%write%')",
+    )
     rows("LQ13_nearness", "the+20+lab", "regexp_matches(text, 'the.{0,20}lab')")
     return out

@@ -383,6 +383,24 @@ def checks() -> dict:
            SELECT gram, count(*) AS occurrences, count(DISTINCT p_partkey) AS documents,
              round(ln((1 + (SELECT count(*) FROM part)) / (1 + count(DISTINCT p_partkey))) + 1, 6) AS idf FROM g GROUP BY gram""",
     )
+    def gram_vectors(spark, d):
+        names = table(spark, d, "part").select("p_partkey", "p_name")
+        found = M.vectors(names, "p_name", M.vocabulary(names, "p_name"))
+        pairs = F.arrays_zip("indices", "values")
+        return found.select("p_partkey", F.inline(pairs)).select("p_partkey", F.col("indices").alias("index"), F.round("values", 6).alias("value"))
+
+    add(
+        "M2_gram_vectors",
+        gram_vectors,
+        """WITH g AS (SELECT p_partkey, unnest(list_transform(range(1, length(p_name) - k + 2), lambda i: substr(lower(p_name), i, k))) AS gram
+             FROM part, range(1, 6) AS s(k) WHERE length(p_name) >= k),
+           w AS (SELECT gram, ln((1 + (SELECT count(*) FROM part)) / (1 + count(DISTINCT p_partkey))) + 1 AS idf, row_number() OVER (ORDER BY gram) - 1 AS i FROM g GROUP BY gram),
+           t AS (SELECT p_partkey, i, count(*) * any_value(idf) AS v FROM g JOIN w USING (gram) GROUP BY p_partkey, i),
+           c AS (SELECT p_partkey, unnest(string_split(p_name, '')) || '_pos_' || (generate_subscripts(string_split(p_name, ''), 1) - 1) AS feature FROM part),
+           p AS (SELECT feature, (SELECT count(*) FROM w) + row_number() OVER (ORDER BY feature) - 1 AS i FROM c GROUP BY feature)
+           SELECT p_partkey, CAST(i AS INTEGER) AS index, round(v / sqrt(sum(v * v) OVER (PARTITION BY p_partkey)), 6) AS value FROM t
+           UNION ALL SELECT p_partkey, CAST(i AS INTEGER), 1.0 FROM c JOIN p USING (feature)""",
+    )
     add(
         "M3_position_counts",
         lambda spark, d: M.position_table(table(spark, d, "part"), "p_name"),
@@ -405,8 +423,7 @@ def checks() -> dict:
         # which column a value comes from, told by its characters
         lambda spark, d: M.classification_report(
             M.train_and_predict(
-                table(spark, d, "part").selectExpr("stack(3, p_name, 'name', p_brand, 'brand', p_type, 'type') AS (text, label)"),
-                hashed=1 << 12,
+                table(spark, d, "part").selectExpr("stack(3, p_name, 'name', p_brand, 'brand', p_type, 'type') AS (text, label)")
             )
         ),
     )

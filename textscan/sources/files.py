@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import mimetypes
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
@@ -163,28 +163,36 @@ def embedded_urls(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"https?://[^ \t\n\r\f\x0b]+"), F.lit(0))
 
 
-def _histogram(data: bytes) -> np.ndarray:
-    """How often each byte value occurs; slices are counted one by one, so no wider copy of the file is made."""
-    counts = np.zeros(256, np.int64)
-    values = np.frombuffer(data, np.uint8)
-    for at in range(0, len(values), 1 << 20):
-        counts += np.bincount(values[at : at + (1 << 20)], minlength=256)
-    return counts
+def _histogram_function() -> Callable[[bytes], np.ndarray]:
+    def histogram(data: bytes) -> np.ndarray:
+        """How often each byte value occurs; slices are counted one by one, so no wider copy of the file is made."""
+        counts = np.zeros(256, np.int64)
+        values = np.frombuffer(data, np.uint8)
+        for at in range(0, len(values), 1 << 20):
+            counts += np.bincount(values[at : at + (1 << 20)], minlength=256)
+        return counts
 
+    return histogram
+
+
+def _entropies() -> Callable[[pd.Series], pd.Series]:
+    count = _histogram_function()
 
-def _entropies(contents: pd.Series) -> pd.Series:
     def entropy(data: bytes | None) -> float | None:
         if data is None:
             return None
-        shares = _histogram(data) / max(1, len(data))
+        shares = count(data) / max(1, len(data))
         shares = shares[shares > 0]
         return float(-(shares * np.log2(shares)).sum()) + 0.0
 
-    return pd.Series([entropy(c) for c in contents], dtype=object)
+    def entropies(contents: pd.Series) -> pd.Series:
+        return pd.Series([entropy(c) for c in contents], dtype=object)
+
+    return entropies
 
 
 #: Shannon entropy of a binary Column in bits per byte, from a histogram made in one pass.
-byte_entropy = F.pandas_udf(_entropies, T.DoubleType())
+byte_entropy = F.pandas_udf(_entropies(), T.DoubleType())
 
 
 def magic_number(content: Column) -> Column:

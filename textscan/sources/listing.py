@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,24 +14,27 @@ from textscan.operators.ordered import kept
 _ENTRIES = "parent string, path string, is_folder boolean, length long, modified double"
 
 
-def _list(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The entries of folders; hidden ones (``.`` and ``_``) are left out, as in a scan."""
-    from pyarrow import fs as arrow_fs
+def _lister() -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def entries_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The entries of folders; hidden ones (``.`` and ``_``) are left out, as in a scan."""
+        from pyarrow import fs as arrow_fs
 
-    for batch in batches:
-        rows = []
-        for folder in batch["path"]:
-            system, inner = arrow_fs.FileSystem.from_uri(folder)
-            prefix = folder.rstrip("/").removesuffix(inner.rstrip("/"))
-            try:
-                entries = system.get_file_info(arrow_fs.FileSelector(inner, recursive=False))
-            except FileNotFoundError:  # gone since its parent was listed
-                continue
-            for e in entries:
-                if not e.base_name.startswith((".", "_")):
-                    is_folder = e.type == arrow_fs.FileType.Directory
-                    rows.append((folder, prefix + e.path, is_folder, None if is_folder else e.size, e.mtime_ns / 1e9 if e.mtime_ns else None))
-        yield pd.DataFrame(rows, columns=["parent", "path", "is_folder", "length", "modified"])
+        for batch in batches:
+            rows = []
+            for folder in batch["path"]:
+                system, inner = arrow_fs.FileSystem.from_uri(folder)
+                prefix = folder.rstrip("/").removesuffix(inner.rstrip("/"))
+                try:
+                    entries = system.get_file_info(arrow_fs.FileSelector(inner, recursive=False))
+                except FileNotFoundError:  # gone since its parent was listed
+                    continue
+                for e in entries:
+                    if not e.base_name.startswith((".", "_")):
+                        is_folder = e.type == arrow_fs.FileType.Directory
+                        rows.append((folder, prefix + e.path, is_folder, None if is_folder else e.size, e.mtime_ns / 1e9 if e.mtime_ns else None))
+            yield pd.DataFrame(rows, columns=["parent", "path", "is_folder", "length", "modified"])
+
+    return entries_of
 
 
 def list_tree(spark: SparkSession, root: str) -> DataFrame:
@@ -44,7 +47,7 @@ def list_tree(spark: SparkSession, root: str) -> DataFrame:
     levels: list[DataFrame] = []
     frontier = spark.createDataFrame([(root,)], "path string")
     while True:
-        found = kept(frontier.repartition(F.col("path")).mapInPandas(_list, _ENTRIES))
+        found = kept(frontier.repartition(F.col("path")).mapInPandas(_lister(), _ENTRIES))
         levels.append(found)
         frontier = found.filter("is_folder").select("path")
         if frontier.isEmpty():
