@@ -9,6 +9,7 @@ from textscan import catalog
 from textscan.catalog import PATTERNS
 from textscan.functions.regexes import markable, marked, running, sanitize, spans, to_jvm
 from textscan.operators import extract as E
+from textscan.plans.inputs import searched_documents
 
 # pieces of text around the shapes of the catalog, with awkward neighbours
 PIECES = [
@@ -239,3 +240,20 @@ def test_context_phrases_take_linear_time(spark, label, verb, end):
             start = time.monotonic()
             E.extract(df.filter(F.col("id") == i), "text", "id", label, sanitized=sanitized).count()
             assert time.monotonic() - start < 5, (i, sanitized)
+
+
+def test_giant_texts_in_stretches(spark):
+    rnd = random.Random(11)
+    parts = [p for r in searched_documents(spark, "/root/testdata/sf0.001").limit(60).collect() for p in r["text"][-900:].split(" ")]
+    parts += [".", "/a. /b.c", "a.b@c.de.", '"', "1.", "2. 34 555 6789", "C:\\x.", "::", "Mon.", "U. N. Corp", "\n", "said", "completed"]
+    texts = [" ".join(rnd.choice(parts) for _ in range(n)) for n in (0, 5, 3000, 4000, 2500)] + ["x" * 5000 + ". " + "10.0.0.1 " * 900, None, "no stop " * 1000]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    rows = lambda d: sorted(map(tuple, d.collect()), key=str)
+    for sanitized in (True, False):
+        want = rows(E.find_matches(df, "text", "id", sanitized=sanitized))
+        assert len(want) > 1500
+        for stretch in (50, 1000):
+            assert rows(E.find_matches(df, "text", "id", sanitized=sanitized, stretch=stretch)) == want
+        assert rows(E.extract(df, "text", "id", sanitized=sanitized, stretch=300)) == rows(E.extract(df, "text", "id", sanitized=sanitized))
+    spread = E.find_matches(df.filter("id = 3"), "text", "id", "email", stretch=50)
+    assert "Exchange hashpartitioning(__start" in spread._jdf.queryExecution().executedPlan().toString()

@@ -28,6 +28,10 @@ from textscan.functions.regexes import (
 
 _TEXT = "__text"
 
+#: Labels with a pattern of which a match can hold a full stop and white space behind it, so that its length has no bound and
+#: a long text is searched for it as a whole.
+UNBOUNDED = ("reporting_statement", "quoted_text", "action_context", "ipv6")
+
 
 def _columns(keep: str | Sequence[str]) -> list[str]:
     return [keep] if isinstance(keep, str) else list(keep)
@@ -256,9 +260,13 @@ def extract(
     stitch: str = "concat",
     sanitized: bool = True,
     patterns: Iterable[Pattern] = PATTERNS,
+    stretch: int | None = None,
 ) -> DataFrame:
-    """Distinct values per input row and label, in long form: (keep…, label, value)."""
+    """Distinct values per input row and label, in long form: (keep…, label, value).  With ``stretch``, longer texts are searched
+    in pieces by many tasks (see ``find_matches``); their matches, not the texts, are gathered by row and label."""
     keep = _columns(keep)
+    if stretch is not None:
+        return _extract_long(df, text, keep, labels, mode=stitch, sanitized=sanitized, patterns=patterns, stretch=stretch)
     found = entities(F.col(_TEXT), labels, stitch, sanitized, patterns)
     pairs = F.transform(
         found,
@@ -267,6 +275,18 @@ def extract(
     return _prepared(df, text, keep, sanitized).select(*keep, F.inline(F.flatten(pairs)))
 
 
+def _extract_long(df: DataFrame, text: str, keep: list[str], labels, mode: str, sanitized: bool, patterns, stretch: int) -> DataFrame:
+    size = F.length(F.col(text))
+    short = extract(df.filter(size <= stretch), text, keep, labels, mode, sanitized, patterns)
+    numbered = df.filter(size > stretch).withColumn("__row", F.monotonically_increasing_id())
+    found = find_matches(numbered, text, [*keep, "__row"], labels, sanitized, patterns, stretch)
+    by = [*keep, "__row", "label"]
+    sorted_matches = F.array_sort(F.collect_list(F.struct("start", "ordinal", "end", "value")))
+    values = found.groupBy(*by).agg(sorted_matches.alias("matches"))
+    final = clean_values(stitch(F.col("matches"), mode), F.col("label"))
+    return short.unionByName(values.select(*keep, "label", F.explode(final).alias("value")))
+
+
 def extract_map(df: DataFrame, text: str, keep: str | Sequence[str], labels=None, **options) -> DataFrame:
     """One ``entities`` map per row, from the labels that matched to their values."""
     keep = _columns(keep)
@@ -290,13 +310,25 @@ def find_matches(
     labels: str | Sequence[str] | None = None,
     sanitized: bool = True,
     patterns: Iterable[Pattern] = PATTERNS,
+    stretch: int | None = None,
 ) -> DataFrame:
     """Every match of every pattern before stitching, with its offsets:
-    (keep…, label, ordinal, value, start, end)."""
+    (keep…, label, ordinal, value, start, end).
+
+    With ``stretch``, texts of more characters than that are searched in pieces by many tasks, with the same result, but for
+    the labels in ``UNBOUNDED`` and patterns from elsewhere, which see the text as a whole."""
     keep = _columns(keep)
     valid, _ = split_valid(select_patterns(labels, patterns))
+    prepared = _prepared(df, text, keep, sanitized)
+    if stretch is None:
+        return _matches_of(prepared, keep, valid, sanitized)
+    return _in_stretches(prepared, keep, valid, sanitized, stretch)
+
+
+def _matches_of(prepared: DataFrame, keep: list[str], valid: Sequence[Pattern], sanitized: bool, offset: Column | None = None) -> DataFrame:
     base = markable(F.col(_TEXT), sanitized)
     original = None if sanitized else F.col(_TEXT)
+    at = F.lit(0) if offset is None else offset
     texts = with_triggers(
         base,
         valid,
@@ -315,12 +347,36 @@ def find_matches(
                 x["label"].alias("label"),
                 x["ordinal"].alias("ordinal"),
                 m["value"].alias("value"),
-                m["start"].alias("start"),
-                m["end"].alias("end"),
+                (m["start"] + at).alias("start"),
+                (m["end"] + at).alias("end"),
             ),
         ),
     )
-    return _prepared(df, text, keep, sanitized).select(*keep, F.inline(F.flatten(rows)))
+    return prepared.select(*keep, F.inline(F.flatten(rows)))
+
+
+def _in_stretches(prepared: DataFrame, keep: list[str], valid: Sequence[Pattern], sanitized: bool, stretch: int) -> DataFrame:
+    """As ``_matches_of``, with texts of more than ``stretch`` characters dealt out over the tasks in pieces.
+
+    Pieces end behind a full stop with white space after it, the last one within ``stretch`` characters or else the next.  No match
+    of the catalog's other patterns goes over such a place, and the characters on both sides look to it like the ends of a
+    text, so the matches of the pieces are those of the text."""
+    whole = [p for p in valid if p.label in UNBOUNDED or p.group == "custom"]
+    cut = [p for p in valid if p not in whole]
+    size = F.length(_TEXT)
+    out = _matches_of(prepared.filter(size <= stretch), keep, valid, sanitized)
+    giants = prepared.filter(size > stretch)
+    if whole:
+        out = out.unionByName(_matches_of(giants, keep, whole, sanitized))
+    if cut:
+        stop = to_jvm(r"(?:(?<=\.)(?=\s)|\Z)").removeprefix("(?d)")
+        pieces = F.regexp_extract_all(_TEXT, F.lit(rf"(?s).{{1,{stretch}}}{stop}|.+?{stop}"), F.lit(0))
+        starts = running(F.transform("__pieces", F.length), lambda total, n: total + n, F.lit(0))
+        dealt = giants.select(*keep, pieces.alias("__pieces")).withColumn("__starts", starts)
+        each = dealt.select(*keep, F.inline(F.arrays_zip("__pieces", "__starts")))
+        rows = each.select(*keep, F.col("__pieces").alias(_TEXT), F.col("__starts").alias("__start")).repartition(F.col("__start"))
+        out = out.unionByName(_matches_of(rows, keep, cut, sanitized, F.col("__start")))
+    return out
 
 
 def merge_spans(found: DataFrame, keys: str | Sequence[str]) -> DataFrame:

@@ -260,10 +260,22 @@ def checks() -> dict:
     )
 
     # --- files, paths, sinks ---------------------------------------------------------
+    files_sql = "SELECT source || '/' || lang || '/' || lpad(CAST(doc_id AS VARCHAR), 9, '0') || '.txt' AS path, CASE WHEN doc_id % 50 = 7 THEN '' ELSE text END AS text FROM documents"
+
+    def document_files(spark, d):
+        """Every document as a file of its source and language, some of them empty."""
+        path = F.concat("source", F.lit("/"), "lang", F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit(".txt"))
+        text = F.when(F.col("doc_id") % 50 == 7, "").otherwise(F.col("text"))
+        return table(spark, d, "documents").select(
+            path.alias("path"), text.alias("text"), text.cast("binary").alias("content"), F.octet_length(text).cast("long").alias("length"),
+            F.lit("2024-01-01").cast("timestamp").alias("modificationTime"),
+        )
+
     add(
         "F1_F2_hashes",
-        lambda spark, d: table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.md5("text").alias("md5")),
-        "SELECT doc_id, sha256(text) AS sha256, md5(text) AS md5 FROM documents",
+        lambda spark, d: S.inventory(document_files(spark, d)).select("file_path", "file_size", "sha256", "md5", "extension", "is_empty"),
+        f"""SELECT path AS file_path, octet_length(encode(text)) AS file_size, sha256(text) AS sha256, md5(text) AS md5, '.txt' AS extension,
+            octet_length(encode(text)) = 0 AS is_empty FROM ({files_sql})""",
     )
     add(
         "F3_byte_entropy",
@@ -275,9 +287,15 @@ def checks() -> dict:
     add(
         "F4_readable_strings",
         lambda spark, d: table(spark, d, "pages").select(
-            "page_id", F.array_join(S.readable_strings(F.col("html").cast("binary"), None), "|").alias("strings")
+            "page_id",
+            F.translate(
+                F.array_join(
+                    S.readable_strings(F.concat(F.col("html").cast("binary"), F.lit(b"\x01"), F.encode(F.concat(F.lit("Wide "), "page_id"), "UTF-16LE")), None), "|"
+                ),
+                "\0", "",
+            ).alias("strings"),
         ),
-        "SELECT page_id, array_to_string(regexp_extract_all(html, '[ -~]{4,}'), '|') AS strings FROM pages",
+        "SELECT page_id, array_to_string(list_append(regexp_extract_all(html, '[ -~]{4,}'), 'Wide ' || page_id), '|') AS strings FROM pages",
     )
     add(
         "F5_embedded_urls",
@@ -330,6 +348,16 @@ def checks() -> dict:
         """SELECT path, '## File: ' || path || chr(10) || '```' || chr(10) || text || chr(10) || '```' || chr(10) || chr(10) AS block
            FROM (SELECT source || '/' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS path, text FROM documents)""",
     )
+    placed = """placed AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS directory, path, '## File: ' || path || chr(10) || '```' || chr(10) || text || chr(10) || '```' || chr(10) || chr(10) AS block
+      FROM files WHERE text <> '')"""
+    for name, by in (("SNK1_concatenate", ""), ("SNK1_concatenate_by_directory", "directory, ")):
+        add(
+            name,
+            lambda spark, d, by=by: sinks.concatenate(document_files(spark, d).select("path", "text"), 50_000, per_directory=bool(by)),
+            f"""WITH files AS ({files_sql}), {placed},
+                offs AS (SELECT *, CAST(sum(length(block)) OVER ({"PARTITION BY directory" if by else ""} ORDER BY path ROWS UNBOUNDED PRECEDING) - length(block) AS BIGINT) AS offset_ FROM placed)
+                SELECT {by}offset_ // 50000 AS part, min(offset_) AS "offset", string_agg(block, '' ORDER BY path) AS content FROM offs GROUP BY {by}part""",
+        )
     add(
         "CNV1_json_to_csv",
         lambda spark, d: table(spark, d, "events").select(
@@ -339,8 +367,13 @@ def checks() -> dict:
         """SELECT event_id, json_extract_string(props, '$.k') AS csv, '{"event_id":' || event_id || ',"event_type":"' || event_type || '"}' AS json FROM events""",
     )
 
-    named = "'page' || cast(page_id as string) || CASE page_id % 6 WHEN 0 THEN '.html' WHEN 1 THEN '.TXT' WHEN 2 THEN '.json' WHEN 3 THEN '' WHEN 4 THEN '.png' ELSE '.zip' END"
-    mime = "CASE page_id % 6 WHEN 0 THEN 'text/html' WHEN 1 THEN 'text/plain' WHEN 2 THEN 'application/json' WHEN 3 THEN 'text/plain' WHEN 4 THEN 'image/png' ELSE 'application/zip' END"
+    kinds = {
+        ".html": "text/html", ".TXT": "text/plain", ".json": "application/json", "": "text/plain", ".png": "image/png", ".zip": "application/zip",
+        ".mp3": "audio/mpeg", ".mp4": "video/mp4", ".pdf": "application/pdf", ".py": "text/x-python", ".csv": "text/csv", ".xml": "text/xml",
+    }
+    cases = [f"WHEN {i} THEN '{{}}'" for i in range(len(kinds))]
+    named = f"'page' || cast(page_id as string) || CASE page_id % {len(kinds)} " + " ".join(c.format(e) for c, e in zip(cases, kinds, strict=True)) + " END"
+    mime = f"CASE page_id % {len(kinds)} " + " ".join(c.format(m) for c, m in zip(cases, kinds.values(), strict=True)) + " END"
 
     def typed_pages(spark, d):
         pages = table(spark, d, "pages").selectExpr("page_id", f"{named} AS path", "cast(html as binary) AS content")
@@ -352,9 +385,10 @@ def checks() -> dict:
     add(
         "F8_F9_file_types",
         lambda spark, d: typed_pages(spark, d).select(
-            "page_id", "mime", *[f.alias(n) for n, f in S.file_flags(F.col("mime")).items() if n in ("is_text", "is_image", "is_archive")]
+            "page_id", "mime", *[f.alias(n) for n, f in S.file_flags(F.col("mime")).items()]
         ),
-        f"""SELECT page_id, mime, starts_with(mime, 'text/') AS is_text, mime = 'image/png' AS is_image, mime = 'application/zip' AS is_archive
+        f"""SELECT page_id, mime, starts_with(mime, 'text/') AS is_text, mime = 'image/png' AS is_image, mime = 'audio/mpeg' AS is_audio, mime = 'video/mp4' AS is_video,
+            mime = 'application/pdf' AS is_pdf, mime = 'application/zip' AS is_archive, false AS is_executable, mime = 'text/csv' AS is_spreadsheet, mime = 'text/x-python' AS is_script
             FROM (SELECT page_id, {mime} AS mime FROM pages)""",
     )
     add(
@@ -363,7 +397,8 @@ def checks() -> dict:
             "page_id", F.inline(S.mismatches(F.col("path"), F.col("mime"), F.col("magic")))
         ),
         f"""SELECT page_id, 'MIME vs Content' AS type, mime AS expected, 'text/plain' AS actual
-            FROM (SELECT page_id, {mime} AS mime FROM pages) WHERE mime <> 'text/plain'""",
+            FROM (SELECT page_id, {mime} AS mime FROM pages) WHERE mime <> 'text/plain'
+            UNION ALL SELECT page_id, 'Extension vs MIME type', 'application/xml', mime FROM (SELECT page_id, {mime} AS mime FROM pages) WHERE mime = 'text/xml'""",
     )
 
     # --- model -----------------------------------------------------------------------

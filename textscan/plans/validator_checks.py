@@ -478,12 +478,15 @@ def checks() -> dict:
         "V41_validate_hashtag", "hashtag", V.validate_hashtag, ["hashtag", "valid", "error"],
         f"trim(value) AS hashtag, {tag_ok} AS valid, CASE WHEN NOT {tag_ok} THEN 'Invalid format' END AS error",
     )
+    # as it is, without opening signs, and with a blank behind each
+    html_or_less = "CASE page_id % 3 WHEN 0 THEN html WHEN 1 THEN replace(html, '<', ' ') ELSE replace(html, '<', '< ') END"
     add(
         "V42_is_html",
         lambda spark, d: table(spark, d, "pages").select(
-            F.col("page_id").alias("id"), V.is_html(F.col("html")).alias("page"), V.is_html(F.col("url")).alias("address")
+            F.col("page_id").alias("id"), V.is_html(F.expr(html_or_less)).alias("page"), V.is_html(F.col("url")).alias("address")
         ),
-        f"SELECT page_id AS id, {match('html', '<[A-Za-z][^>]*>')} AS page, {match('url', '<[A-Za-z][^>]*>')} AS address FROM pages",
+        f"""SELECT page_id AS id, {match('CASE page_id % 3 WHEN 0 THEN html WHEN 1 THEN replace(html, chr(60), chr(32)) ELSE replace(html, chr(60), chr(60) || chr(32)) END', '<[A-Za-z][^>]*>')} AS page,
+            {match('url', '<[A-Za-z][^>]*>')} AS address FROM pages""",
     )
     mixed = {"email": "email", "ipv4": "ip", "uuid": "uuid", "ssn": "ssn", "routing_number": "routing", "mac": "mac"}
     pick = "(CASE id % 6 " + " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(mixed.values())) + " END)"
