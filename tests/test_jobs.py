@@ -1,9 +1,13 @@
 import pytest
 from pyspark.sql import functions as F
 
+from textscan.catalog import label_names
+from textscan.functions import validators as V
+from textscan.operators import extract as E
 from textscan.operators import model
 from textscan.operators import validation as J
 from textscan.plans import actions
+from textscan.plans.inputs import searched_documents
 
 
 @pytest.fixture(scope="module")
@@ -62,6 +66,27 @@ def test_sql_functions(spark):
     assert tuple(row) == (True, ["a@b.co"], True, ["http://a"])
 
 
+def test_sql_names_give_what_the_columns_give(spark):
+    names = actions.register_functions(spark)
+    assert {f"entities_{x}" for x in label_names()} | {f"is_{x}" for x in V.VALIDATORS} <= set(names)
+    df = searched_documents(spark, "/root/testdata/sf0.001").limit(40).select("doc_id", "text").cache()
+    df.createOrReplaceTempView("texts_of_names")
+    total = 0
+    for label in ("datetime", "analyze", "ipv6", "action_context", "reporting_statement", "protocol", "windows_path", "month"):
+        want = sorted((r["doc_id"], r["value"]) for r in E.extract(df, "text", "doc_id", label).collect())
+        got = spark.sql(f"SELECT doc_id, e.value FROM texts_of_names, LATERAL entities_{label}(text) e").collect()
+        assert sorted(map(tuple, got)) == want, label
+        total += len(want)
+        held = spark.sql(f"SELECT doc_id FROM texts_of_names WHERE has_{label}(text)").count()
+        assert held == df.filter(E.has_entity(F.col("text"), label)).count()
+    assert total > 100
+    values = ["a@b.co", "10.0.0.1", "2024-01-02", "4111 1111 1111 1111", "GB82 WEST 1234 5698 7654 32", "078-05-1120", "x", "", None, "#tag", "00:11:22:33:44:55", "https://a.b/c", "+44 20 7946 0958", "{\"a\": 1}"]
+    data = spark.createDataFrame([(v,) for v in values], "v string").coalesce(1).cache()
+    data.createOrReplaceTempView("values_of_names")
+    want = data.select(*[c(F.col("v")).alias(k) for k, c in V.VALIDATORS.items()]).collect()
+    assert spark.sql("SELECT " + ", ".join(f"is_{k}(v) AS {k}" for k in V.VALIDATORS) + " FROM values_of_names").collect() == want
+
+
 def test_classifier(spark):
     samples = model.character_samples(spark, per_class=60)
     assert samples.count() == 540 and samples.filter(F.length("text") != 15).count() == 0

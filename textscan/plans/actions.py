@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textscan.catalog import PATTERNS
+from textscan.catalog import label_names, select_patterns
 from textscan.functions import text as X
 from textscan.functions import validators as V
-from textscan.functions.regexes import jvm_regex
+from textscan.functions.regexes import jvm_regex, sanitize
 from textscan.operators import extract as E
 from textscan.operators import query as Q
 from textscan.operators import validation as J
+from textscan.plans.column_text import column_text
 from textscan.sources import files, sinks
 
 
@@ -71,36 +72,34 @@ def run(df: DataFrame, action: str, *args, **options):
     return ACTIONS[action](df, *args, **options)
 
 
-def _is_date_sql() -> str:
-    """``V.is_date`` of ``t`` as SQL."""
-    tests = [f"t RLIKE {Q.sql_string(V.TIME_SHAPE)}"]
-    for shape, forms in V.DATE_SHAPES:
-        reads = " OR ".join(f"try_to_timestamp(m, '{f}') IS NOT NULL" for f in forms)
-        tests.append(f"exists(regexp_extract_all(t, {Q.sql_string(shape)}, 1), m -> {reads})")
-    for shape, parts in V.NAMED_DATES:
-        plain = f"initcap(regexp_replace(m, {Q.sql_string(shape)}, '{' '.join(f'${i}' for i in parts)}'))"
-        tests.append(f"exists(regexp_extract_all(t, {Q.sql_string(shape)}, 0), m -> try_to_timestamp({plain}, 'd MMM yyyy') IS NOT NULL)")
-    return " OR ".join(tests)
-
-
 def register_functions(spark: SparkSession) -> list[str]:
-    """Make functions available to SQL: ``has_<label>(text)`` and
-    ``find_<label>(text)`` as native SQL functions for labels of one pattern, and
-    the Python-backed checks."""
+    """Make functions available to SQL, as native SQL functions but for the last:
+
+    * ``entities_<label>(text)`` for every label: a table of its stitched, cleaned values, as ``extract`` gives them;
+    * ``has_<label>(text)`` for every label, and ``find_<label>(text)``, the raw matches, for labels of one pattern;
+    * ``is_<type>(value)`` for every validator;
+    * ``byte_entropy(binary)`` and ``strip_accents(text)``, which run in Python workers.
+    """
     names = []
-    several = {p.label for p in PATTERNS if p.ordinal and PATTERNS[p.ordinal - 1].label == p.label}
-    for p in PATTERNS:
-        if p.label in several:
-            continue
-        regex = Q.sql_string(jvm_regex(p))
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION has_{p.label}(t STRING) RETURNS BOOLEAN RETURN t RLIKE {regex}")
+
+    def scalar(name: str, returns: str, body: str) -> None:
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(t STRING) RETURNS {returns} RETURN {body}")
+        names.append(name)
+
+    for label in label_names():
+        patterns = select_patterns(label)
+        found = E.entities(sanitize(F.col("t")), label)
+        values = F.flatten(F.transform(found, lambda e: e["values"]))
         spark.sql(
-            f"CREATE OR REPLACE TEMPORARY FUNCTION find_{p.label}(t STRING) RETURNS ARRAY<STRING> "
-            f"RETURN regexp_extract_all(t, {regex}, 0)"
+            f"CREATE OR REPLACE TEMPORARY FUNCTION entities_{label}(t STRING) RETURNS TABLE(value STRING) "
+            f"RETURN SELECT explode({column_text(values)}) AS value"
         )
-        names += [f"has_{p.label}", f"find_{p.label}"]
+        names.append(f"entities_{label}")
+        scalar(f"has_{label}", "BOOLEAN", column_text(E.has_entity(F.col("t"), label)))
+        if len(patterns) == 1:
+            scalar(f"find_{label}", "ARRAY<STRING>", f"regexp_extract_all(t, {Q.sql_string(jvm_regex(patterns[0]))}, 0)")
+    for kind, check in V.VALIDATORS.items():
+        scalar(f"is_{kind}", "BOOLEAN", column_text(check(F.col("t"))))
     spark.udf.register("byte_entropy", files.byte_entropy)
-    names.append("byte_entropy")
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION is_date(t STRING) RETURNS BOOLEAN RETURN {_is_date_sql()}")
     spark.udf.register("strip_accents", X._strip_accents)
-    return [*names, "is_date", "strip_accents"]
+    return [*names, "byte_entropy", "strip_accents"]
