@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,6 +88,16 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_rows(df: DataFrame) -> list[Column] | None:
+    """Two longs that tell the rows of a Parquet table apart, the same whenever it is read; None for other tables."""
+    ids = [F.xxhash64("_metadata.file_path"), F.col("_metadata.row_index")]
+    try:
+        df.select(*ids).schema  # noqa: B018
+    except AnalysisException:
+        return None
+    return ids
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` without its lineage, for loops."""
     spark = df.sparkSession

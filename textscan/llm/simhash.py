@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textscan.llm.batches import append_columns, cut, fresh, written
+from textscan.llm.batches import append_columns, cut, fresh, stored_rows, written
 
 SEED = 42
 DISTANCE = 3
@@ -216,15 +216,19 @@ def simhash_classes(df: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def drop_near_duplicates(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``df`` with one row of each class: the one with the smallest ``doc_id`` (the first as stored among
-    rows that repeat it; rows without an id come last)."""
-    fp, row = fresh(df, "fp", "row")
-    tagged = written(with_fingerprint(df, text, fp).withColumn(row, F.monotonically_increasing_id()))
-    rank = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col(row).alias("row"))
-    small = tagged.select(F.col(doc_id).alias("doc_id"), F.col(fp).alias("fp"), rank.alias("rank"))
-    per = small.groupBy("fp").agg(F.min("rank").alias("rank"))
-    per = cut(per)
+    rows that repeat it; rows without an id come last).
+
+    Null and blank texts are one class; whole texts count, however long; an empty table stays empty; all columns stay, whatever
+    their names.  Rows of a Parquet table are known by their file and place; of another table a copy with numbers is written."""
+    file, place = fresh(df, "file", "place")
+    ids = stored_rows(df)
+    numbered = df.withColumns(dict(zip((file, place), ids or [F.lit(0).cast("long"), F.monotonically_increasing_id()], strict=True)))
+    if ids is None:
+        numbered = written(numbered)
+    prints = written(with_fingerprint(numbered.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(file).alias("file"), F.col(place).alias("place")), "text", "fp").drop("text"))
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "file", "place")
+    per = cut(prints.groupBy("fp").agg(F.min(rank).alias("rank")))
     found = components(close_pairs(per.select("fp"))).withColumnRenamed("node", "fp")
-    kept = (
-        per.join(found, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias(row))
-    )
-    return tagged.join(kept, row, "left_semi").select(*df.columns)
+    least = per.join(found, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("rank").alias("rank"))
+    kept = least.select(F.col("rank.file").alias(file), F.col("rank.place").alias(place))
+    return numbered.join(kept, [file, place], "left_semi").select(*df.columns)
