@@ -188,7 +188,8 @@ def contamination(df: DataFrame, text: str, benchmark: DataFrame, item_id: str,
 
 
 def drop_contaminated(df: DataFrame, text: str, benchmark: DataFrame, item_id: str, item_text: str) -> DataFrame:
-    """The rows of ``df`` without any window of the benchmark, with its columns."""
+    """The rows of ``df`` without any window of the benchmark, with its columns, whatever their names; see ``contamination``
+    for nulls and the like."""
     return contamination(df.select(F.struct("*").alias("row"), F.col(text).alias("text")), "text", benchmark, item_id, item_text).filter("not contaminated").select("row.*")
 
 

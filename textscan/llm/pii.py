@@ -165,7 +165,8 @@ def redact(text: str | None) -> str | None:
 def personal_data(df: DataFrame, text: str) -> DataFrame:
     """``df`` with n_email, n_ip, n_card, n_phone, base_sha256 and spans (underscores in front where taken).
 
-    Null and empty texts have no spans; repeated rows are searched each.
+    Null and empty texts have no spans; repeated rows are searched each; whole texts are read, however long, in time linear in
+    them; an empty table gives an empty result.
     """
     names = fresh(df, *[f"n_{k}" for k in BASE], "base_sha256", "spans")
 
@@ -183,7 +184,10 @@ def personal_data(df: DataFrame, text: str) -> DataFrame:
 
 
 def redacted(df: DataFrame, text: str, size: str | None = None) -> DataFrame:
-    """``df`` with its texts redacted, and their length in ``size`` if that column is named."""
+    """``df`` with its texts redacted, and their length in ``size`` if that column is named.
+
+    Null texts stay null (length 0), empty ones empty; repeated rows change alike; whole texts are read, however long; an empty table
+    gives an empty result; all other columns stay, whatever their names."""
     from pyspark.sql import functions as F
 
     (new,) = fresh(df, "redacted")

@@ -263,7 +263,8 @@ def trie(turns: DataFrame, conversations: DataFrame) -> DataFrame:
 
     A node is named by its smallest member and its depth.  ``saved_tokens`` are the bytes of last texts that need not be
     computed again for further members, ``ends_sha256`` digests the members that end there.  Conversations without turns
-    end at the root; without any conversation there is no node.  Repeated conversations share all their nodes."""
+    end at the root; without any conversation there is no node.  Conversations with equal turns share all their nodes; texts
+    of any length count by their hashes; other columns are left out, so their names can't clash."""
     small_batches(turns.sparkSession)
     prefixes = written(_prefixes(turns))
     nodes = _nodes(prefixes, conversations)

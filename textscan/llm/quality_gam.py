@@ -198,7 +198,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> t
 def scored(df: DataFrame, text: str, model: Model, threshold: float = 0.7) -> DataFrame:
     """``df`` with ``score`` and ``predicted`` (underscores in front where taken).
 
-    Null texts score as empty ones.  Equal texts have equal scores."""
+    Null texts score as empty ones.  Equal texts have equal scores; whole texts are read, however long.  An empty
+    table gives an empty result."""
     score, predicted = fresh(df, "score", "predicted")
 
     def run(texts: list[str | None]) -> list[np.ndarray]:

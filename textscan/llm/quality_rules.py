@@ -133,7 +133,8 @@ def judged(df: DataFrame, text: str, lang: str, source: str, prefix: str = "", c
     Without ``carry_text`` the text is measured only, and left out of the result.
 
     Null texts have no words and fail the base rules.  A null language or source is a group like any
-    other.  Repeated rows count and are judged each; an empty table gives an empty result.
+    other.  Repeated rows count and are judged each; whole texts are measured, however long; an empty table gives an empty
+    result.  New columns get underscores in front if ``df`` has their names already.
     """
     names = fresh(df, *[prefix + n for n in MEASURES])
     measured = with_measures(df, text, names)
@@ -151,7 +152,7 @@ def judged(df: DataFrame, text: str, lang: str, source: str, prefix: str = "", c
 
 
 def quality_filter(df: DataFrame, text: str, lang: str, source: str) -> DataFrame:
-    """The rows of ``df`` that pass, with its columns."""
+    """The rows of ``df`` that pass, with its columns; see ``judged`` for nulls and the like."""
     out, names = judged(df, text, lang, source, prefix="q_")
     return out.filter(F.col(names[-1])).select(*df.columns)
 

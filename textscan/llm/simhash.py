@@ -207,6 +207,8 @@ def simhash_classes(df: DataFrame, doc_id: str, text: str) -> DataFrame:
 
     Null and blank texts have fingerprint zero and are linked like any other.  Rows that repeat an id or a
     text are in one class; a null id stays null and never names a class unless it has no other member.
+    Whole texts count, however long, in blocks of shingles.  An empty table gives an empty result.  Other columns are left out, so
+    their names can't clash.
     """
     prints = written(with_fingerprint(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", "fp").drop("text"))
     return prints.join(near_classes(prints, "doc_id", "fp"), "fp").select(

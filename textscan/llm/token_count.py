@@ -97,7 +97,8 @@ def token_counts(df: DataFrame, text: str, path: str, limit: int = 1024) -> Data
     """``df`` with ``n_bytes`` (UTF-8), ``n_tokens`` and ``over_limit`` (underscores in front where taken).
 
     ``path`` is a tokenizer file that every executor can open.  Null counts as the empty text: 0 bytes, 0
-    tokens.  Each row counts by itself, so repeated rows and ids need no rule.
+    tokens.  Each row counts by itself, so repeated rows and ids need no rule.  Whole texts are counted, however
+    long.  An empty table gives an empty result.
     """
     whole_tokens(path)  # proved here first: a file that doesn't suit fails before the job
 

@@ -170,8 +170,9 @@ def reports(turns: DataFrame) -> DataFrame:
 
     ``gaps`` counts whole numbers between the least and greatest turn without a turn; ``illegal`` counts neighbours whose
     roles can't follow each other.  Dropped turns only say that there is such a conversation.  Turns are in the order of
-    ``turn`` (nulls first), then role, digest of the text, and copy.  A null id is an id like any other.  One task reads a
-    conversation; it holds some 40 bytes per turn, whatever the texts."""
+    ``turn`` (nulls first), then role, digest of the text, and copy.  A null id is an id like any other, equal rows are turns of
+    their own, texts may be empty or of any length, and no turns give no rows; roles and texts must not be null.  Other columns are
+    left out, so their names can't clash.  One task reads a conversation; it holds some 40 bytes per turn, whatever the texts."""
     small_batches(turns.sparkSession)
     rows = with_faults(turns).repartition("conv_id").sortWithinPartitions(*_order("conv_id"))
     return rows.select("conv_id", "turn", "role", "fault", "dropped").mapInArrow(_search_conversations, _REPORT)

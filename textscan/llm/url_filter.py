@@ -135,8 +135,8 @@ def url_verdicts(df: DataFrame, url: str, rules: Sequence[Rule]) -> DataFrame:
     in front where ``df`` has them already).
 
     A null URL and one without ``://`` has an empty host and path; no host rule fits it, a null URL fits
-    only patterns that match the empty text.  Equal rules count once; repeated rows are judged alike; an
-    empty table gives an empty result.
+    only patterns that match the empty text.  Equal rules count once; repeated rows are judged alike; a URL
+    of any length is read whole; an empty table gives an empty result.
     """
     if len(rules) > MAX_RULES:
         raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} travel with the tasks")
