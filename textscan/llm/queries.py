@@ -2,7 +2,7 @@
 
 Without SQL: substring deduplication (the cuts inside long sentences follow a hash that SQL doesn't have),
 the classifier, personal data (its parsers drop failing matches without retries and give code points),
-token counts, SimHash (XXH64) and packing.  Tests hold these against brute force or held-out labels.
+token counts, SimHash (XXH64), packing, byte-exact repeats and the cheapest repairs.  Tests hold these against brute force or held-out labels.
 """
 
 from __future__ import annotations
@@ -127,4 +127,5 @@ ORACLES: dict[str, str] = {
     "op7_quality_rules": quality_rules.SQL,
     "op8_decontamination": decontamination.SQL,
     "op10_chat": chat.SQL,
+    "op13_prefix_trie": prefix_trie.SQL,
 }
