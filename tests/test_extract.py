@@ -136,8 +136,8 @@ def test_invalid_and_custom_patterns(spark):
     refused = catalog.split_valid(catalog.from_regexes([r"(?P<x>a)(?(1)b|c)", r"(?P<y>ab)"]))
     assert [p.label for p in refused[0]] == ["y"] and refused[1][0][0].label == "x" and refused[1][0][1]
     assert catalog.is_regex(r"\d+") and not catalog.is_regex("(")
-    with pytest.raises(ValueError, match="Invalid regex pattern"):
-        catalog.validate_regex("(")
+    with pytest.raises(ValueError, match="not a regular expression"):
+        catalog.checked_regex("(")
 
 
 def test_redaction_and_predicates(spark):

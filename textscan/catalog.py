@@ -271,11 +271,10 @@ def is_regex(pattern: str) -> bool:
     return compile_error(pattern) is None
 
 
-def validate_regex(pattern: str) -> str:
-    """Return the pattern, or raise ValueError if it does not compile."""
-    error = compile_error(pattern)
-    if error is not None:
-        raise ValueError(f"Invalid regex pattern '{pattern}': {error}")
+def checked_regex(pattern: str) -> str:
+    """The pattern itself; a ValueError says why it is none."""
+    if (reason := compile_error(pattern)) is not None:
+        raise ValueError(f"not a regular expression: {pattern!r} ({reason})")
     return pattern
 
 

@@ -130,7 +130,7 @@ def features(df: DataFrame, text: str, known: DataFrame, size: int, longest: int
     def vector(indices: list[int], values: list[float], counts: list[int]) -> SparseVector:
         return Vectors.sparse(size + len(counts), [*indices, *range(size, size + len(counts))], [*values, *map(float, counts)])
 
-    build = F.udf(vector, VectorUDT())  # Spark has no native function for sparse vectors
+    build = F.udf(vector, VectorUDT(), useArrow=False)  # Spark has no native function for sparse vectors
     return vectors(df, text, known, longest).withColumn("features", build("indices", "values", character_counts(F.col(text)))).drop("indices", "values")
 
 
