@@ -36,7 +36,7 @@ def concatenate(texts: DataFrame, part_chars: int = 16_000_000, per_directory: b
     """
     blocks = texts.filter(F.length("text") > 0).select(directory(F.col("path")).alias("directory"), "path", fenced(F.col("path"), F.col("text")).alias("block"))
     by = ["directory"] if per_directory else []
-    placed = running(blocks, by, ["path", "block"], {"offset": F.length("block")})
+    placed = running(blocks, by, ["path", F.xxhash64("block")], {"offset": F.length("block")})
     pieces = placed.groupBy(*by, F.floor(F.col("offset") / part_chars).alias("part")).agg(F.array_sort(F.collect_list(F.struct("offset", "block"))).alias("blocks"))
     content = F.array_join(F.transform("blocks", lambda b: b["block"]), "")
     return pieces.select(*by, "part", F.col("blocks")[0]["offset"].alias("offset"), content.alias("content"))
