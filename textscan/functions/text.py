@@ -5,7 +5,7 @@ from __future__ import annotations
 import string
 import sys
 import unicodedata
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import cache
 
 import pandas as pd
@@ -102,14 +102,28 @@ def _unaccented() -> tuple[str, str, str]:
     return "".join(single), "".join(becomes), "".join(gone)
 
 
-@F.pandas_udf(T.StringType())
-def _strip_accents(values: pd.Series) -> pd.Series:
-    def plain(text) -> str | None:
-        if text is None:
-            return None
-        return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+@cache
+def _strip_accents() -> Callable[[Column], Column]:
+    """A UDF for texts of any characters.  The table of combining marks is made here and travels with it."""
+    marks = {cp: None for cp in range(0x80, sys.maxunicode + 1) if unicodedata.combining(chr(cp))}
+
+    @F.pandas_udf(T.StringType())
+    def stripped(values: pd.Series) -> pd.Series:
+        return values.map(lambda text: unicodedata.normalize("NFKD", text).translate(marks), na_action="ignore")
 
-    return values.map(plain)
+    return stripped
+
+
+@cache
+def _beyond_translate() -> str:
+    """A regex for one character beyond ASCII that ``translate`` cannot decompose: outside the Latin blocks, or becoming several
+    characters.  Characters of ASCII, nearly all of most texts, are dismissed by one comparison."""
+    several = "".join(
+        chr(cp)
+        for cp in range(0x80, 0x250)
+        if len([x for x in unicodedata.normalize("NFKD", chr(cp)) if not unicodedata.combining(x)]) > 1
+    )
+    return rf"[^\x00-\x7f](?:(?<=[^\x00-ɏ̀-ͯ])|(?<=[{several}]))"
 
 
 def remove_accents(value: Column, latin_only: bool = False) -> Column:
@@ -124,15 +138,11 @@ def remove_accents(value: Column, latin_only: bool = False) -> Column:
     narrow = [(s, b) for s, b in zip(single, becomes) if s < "ɐ"]
     source = "".join(s for s, _ in narrow) + "".join(c for c in gone if "̀" <= c <= "ͯ")
     latin = F.translate(value, source, "".join(b for _, b in narrow))
+    plain = F.when(value.rlike(r"[^\x00-\x7f]"), latin).otherwise(value)
     if latin_only:
-        return F.when(value.rlike(r"[^\x00-\x7f]"), latin).otherwise(value)
-    several = "".join(
-        chr(cp)
-        for cp in range(0x80, 0x250)
-        if len([x for x in unicodedata.normalize("NFKD", chr(cp)) if not unicodedata.combining(x)]) > 1
-    )
-    other = value.rlike(rf"[^\x00-ɏ̀-ͯ]|[{several}]")
-    return F.when(other, _strip_accents(F.when(other, value))).when(value.rlike(r"[^\x00-\x7f]"), latin).otherwise(value)
+        return plain
+    # the worker's result is null for the rows it doesn't get, so the test runs once
+    return F.coalesce(_strip_accents()(F.when(value.rlike(_beyond_translate()), value)), plain)
 
 
 def expand_contractions(value: Column, table: Mapping[str, str] | None = None) -> Column:
