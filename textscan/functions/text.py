@@ -39,11 +39,12 @@ CONTRACTIONS = {
 
 _WORD_RUN = to_jvm(r"\w+")
 _SPACES = to_jvm(r"\s+")
-_OUTER_SPACES = to_jvm(r"^\s+|\s+\Z")
+# the characters of \s
+_SPACE_CHARACTERS = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(value: Column) -> Column:
-    return F.regexp_replace(value, _OUTER_SPACES, "")
+    return F.trim(value, F.lit(_SPACE_CHARACTERS))
 
 
 def split_words(value: Column) -> Column:
@@ -264,22 +265,22 @@ def statistics(value: Column) -> Column:
     def of(text: Column) -> Column:
         cleaned = F.regexp_replace(text, to_jvm(r"[^\w\s]"), "")
 
-        def with_words(words: Column) -> Column:
+        def with_counts(words: Column, sentences: Column) -> Column:
             count = F.size(words)
-            sentences = F.when(text == "", 0).otherwise(F.size(tokenize_sentences(text)))
             letters = F.length(F.array_join(words, ""))
             return F.struct(
                 count.alias("word_count"),
                 F.size(F.array_distinct(words)).alias("unique_words"),
                 sentences.alias("sentence_count"),
                 F.when(count > 0, letters / count).otherwise(F.lit(0.0)).alias("avg_word_length"),
-                # sentences are cut at whitespace, so their words add up to all words
-                F.when(sentences > 0, F.size(split_words(text)) / sentences)
+                # sentences are cut at whitespace, so their words add up to all words; the text has no outer whitespace
+                F.when(sentences > 0, F.size(F.split(text, _SPACES)) / sentences)
                 .otherwise(F.lit(0.0))
                 .alias("avg_sentence_length"),
             )
 
-        return let(tokenize_words(cleaned), with_words)
+        sentences = F.when(text == "", 0).otherwise(F.size(tokenize_sentences(text)))
+        return let(tokenize_words(cleaned), lambda words: let(sentences, lambda n: with_counts(words, n)))
 
     return F.when(value.isNotNull(), let(strip(value), of))
 
