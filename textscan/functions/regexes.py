@@ -65,6 +65,11 @@ def _word_list(alternatives: list[str], boundary: str) -> str:
     return f"(?=[{letters}]){boundary}(?iu:{branches})"
 
 
+def word_list(words: Sequence[str]) -> str:
+    """A JVM pattern for whole words of ASCII letters, digits and ``_`` in any case."""
+    return f"{_word_list(sorted(words), _STARTS)}{_ENDS}"
+
+
 def to_jvm(regex: str, known: bool = False) -> str:
     """The pattern in the JVM dialect, Unicode-aware as in Python.  ``known``
     says that the pattern is from the catalog."""
@@ -192,6 +197,17 @@ def running(
     return let(values, lambda v: F.when(F.size(v) <= block, fold(v, start)).otherwise(in_blocks(v)))
 
 
+#: A regex that matches one string only.
+_LITERAL = re.compile(r"(?:\\[^A-Za-z0-9]|[^\\\[\](){}|?*+.^$])+")
+
+
+def _passes(text: Column, gate: str) -> Column:
+    """Whether the text has a match of a gate; a plain string is searched without a regex."""
+    if _LITERAL.fullmatch(gate):
+        return F.contains(text, F.lit(re.sub(r"\\(.)", r"\1", gate)))
+    return text.rlike(to_jvm(gate))
+
+
 def markable(text: Column, sanitized: bool) -> Column:
     """The text to match on: free of the marks used below, same length."""
     marks = START_MARK + END_MARK + STEP_MARKS
@@ -211,7 +227,7 @@ def with_triggers(text: Column, patterns: Sequence[Pattern], body: Callable[[Seq
     gates = sorted({p.gate for p in patterns if p.gate is not None})
 
     def with_words(words: Column | None) -> Column:
-        tests = [text.rlike(to_jvm(g)) for g in gates]
+        tests = [_passes(text, g) for g in gates]
 
         def read(passed: Column | None) -> Column:
             out = []
@@ -242,7 +258,7 @@ def marked(text: Column, pattern: Pattern, trigger: Column | None = None) -> Col
         hit = F.regexp_replace(hit, F.lit(to_jvm(regex, known=pattern.group != "custom")), F.lit(replacement))
     kept = let(hit, lambda m: F.when(F.contains(m, F.lit(START_MARK)), m))
     if trigger is None and pattern.gate is not None:
-        trigger = text.rlike(to_jvm(pattern.gate))
+        trigger = _passes(text, pattern.gate)
     return kept if trigger is None else F.when(trigger, kept)
 
 

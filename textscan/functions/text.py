@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import string
 import sys
 import unicodedata
@@ -15,7 +16,7 @@ from pyspark.sql import types as T
 
 from textscan.catalog import is_regex
 from textscan.functions.dictionary import dictionary
-from textscan.functions.regexes import jvm_replacement, let, to_jvm
+from textscan.functions.regexes import END_MARK, START_MARK, jvm_replacement, let, to_jvm, word_list
 
 # --- Fixed values: English contractions -----------------------------------------
 CONTRACTIONS = {
@@ -293,8 +294,36 @@ def correct_and_analyze(value: Column, corrections: Mapping[str, str]) -> Column
     )
 
 
+#: As many words are looked for by one alternation; in a text's words one by one beyond that.
+_MOST_LISTED = 1000
+
+
 def correct_words(value: Column, corrections: Mapping[str, str]) -> Column:
-    """Replace whole words by a table (exact case first, then lower case)."""
+    """Replace whole words by a table (exact case first, then lower case).
+
+    Of a short table of ASCII words, one pass marks the words that are in it in any case, and only these are looked up."""
+    if 0 < len(corrections) <= _MOST_LISTED and all(re.fullmatch(r"[A-Za-z0-9_]+", w) for w in corrections):
+        marks = f"[{START_MARK}{END_MARK}]"
+        return F.when(value.rlike(marks), _correct_each(value, corrections)).otherwise(_correct_listed(value, corrections))
+    return _correct_each(value, corrections)
+
+
+def _correct_listed(value: Column, corrections: Mapping[str, str]) -> Column:
+    value_of = dictionary(corrections)
+    listed = F.regexp_replace(value, F.lit(word_list(list(corrections))), F.lit(f"{START_MARK}$0{END_MARK}"))
+
+    def corrected(piece: Column) -> Column:
+        # <listed word><end mark><text up to the next one>; the first piece has no mark
+        replaced = let(
+            F.substring_index(piece, END_MARK, 1),
+            lambda w: F.concat(F.coalesce(value_of(w), value_of(F.lower(w)), w), piece.substr(F.length(w) + 2, F.length(piece))),
+        )
+        return F.when(F.contains(piece, F.lit(END_MARK)), replaced).otherwise(piece)
+
+    return strip(F.array_join(F.transform(F.split(listed, START_MARK), corrected), ""))
+
+
+def _correct_each(value: Column, corrections: Mapping[str, str]) -> Column:
     value_of = dictionary(corrections)
     parts = F.regexp_extract_all(value, F.lit(to_jvm(r"\w+|[^\w]+")), F.lit(0))
     return strip(
