@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from textscan.functions import checksums as C
 from textscan.functions import network as N
 from textscan.functions import validators as V
+from textscan.plans.column_text import column_text
 
 
 def inet(family, text):
@@ -296,3 +297,24 @@ def test_dates(evaluate):
         "31 june 2024": False, "at 23:59.": True, "at 24:10": False, "1-URGENT": False, "Monday": False, "2024": False,
     }
     assert evaluate(V.is_date, list(texts)) == list(texts.values())
+
+
+def test_types_are_flat_cases_and_unknown_ones_null(spark):
+    rows = [("10.0.0.1", "ipv4"), ("x", "ipv4"), (None, "ipv4"), ("x", "nothing"), ("x", None), ("12.5, 100", "geo_coordinate"), ("112.5, 100", "geo_coordinate")]
+    column = V.validate_as(F.col("v"), F.col("t"))
+    assert [r[0] for r in spark.createDataFrame(rows, "v string, t string").select(column).collect()] == [True, False, None, None, None, True, False]
+    assert "ELSE CASE WHEN (`t` =" not in column_text(column)
+
+
+def test_geo_coordinates_in_all_forms(evaluate):
+    values = ["-90,180", "-90.1,0", "45°10'20.5\"N 120°59'59\"W", "45°60'20\"N 120°0'0\"W", "45°10'20\" 181°0'0\"", "", "x", None, "１,２", "-1°0'0\" 0°0'0\""]
+    assert evaluate(V.is_geo_coordinate, values) == [True, False, True, False, False, False, False, None, True, False]
+
+
+def test_tasks_get_a_bounded_number_of_rows(spark, tmp_path):
+    from textscan.sources.files import spread
+
+    path = str(tmp_path / "t")
+    spark.range(5000).coalesce(1).write.parquet(path)
+    sizes = spread(spark.read.parquet(path), 100).select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert sum(r["count"] for r in sizes) == 5000 and max(r["count"] for r in sizes) < 200

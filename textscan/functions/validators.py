@@ -8,6 +8,7 @@ apply.  Only the doubtful rows of ``is_json`` use Python workers.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -487,17 +488,26 @@ def validate_hashtag(value: Column) -> Column:
 def is_geo_coordinate(value: Column) -> Column:
     """Decimal degrees within ±90, ±180, or degrees, minutes and seconds within
     range (degrees not negative)."""
-    text = ascii_digits(value)
     decimal, dms = to_jvm(GEO_DECIMAL), to_jvm(GEO_DMS)
 
-    def part(regex: str, group: int) -> Column:
-        return F.regexp_extract(text, regex, group).try_cast("double")
+    def within(text: Column, regex: str, groups: tuple[int, ...], test: Callable[[Column], Column]) -> Column:
+        # only a text of that form has numbers to read, and each is read once
+        numbers = F.array(*[F.regexp_extract(text, regex, g).try_cast("double") for g in groups])
+        return F.coalesce(F.when(text.rlike(regex), let(numbers, test)), F.lit(False))
 
-    by_degrees = part(decimal, 1).between(-90, 90) & part(decimal, 2).between(-180, 180)
-    by_dms = part(dms, 1).between(0, 90) & part(dms, 6).between(0, 180)
-    for group in (2, 3, 7, 8):
-        by_dms = by_dms & (part(dms, group) >= 0) & (part(dms, group) < 60)
-    return known(value, F.coalesce(by_degrees, F.lit(False)) | F.coalesce(by_dms, F.lit(False)))
+    def by_degrees(n: Column) -> Column:
+        return n[0].between(-90, 90) & n[1].between(-180, 180)
+
+    def by_dms(n: Column) -> Column:
+        in_range = n[0].between(0, 90) & n[1].between(0, 180)
+        for i in range(2, 6):
+            in_range = in_range & (n[i] >= 0) & (n[i] < 60)
+        return in_range
+
+    def of(text: Column) -> Column:
+        return within(text, decimal, (1, 2), by_degrees) | within(text, dms, (1, 6, 2, 3, 7, 8), by_dms)
+
+    return known(value, let(ascii_digits(value), of))
 
 
 def is_html(text: Column) -> Column:
@@ -569,9 +579,11 @@ def validate_as(value: Column, type_name: Column | str) -> Column:
     """Validity of a value as the named type; null for an unknown type."""
     if isinstance(type_name, str):
         return VALIDATORS[type_name](value)
-    result = F.lit(None).cast("boolean")
-    for name, check in VALIDATORS.items():
-        result = F.when(type_name == name, check(value)).otherwise(result)
+    # one flat list of cases: nested ones are evaluated through as many calls
+    first, *others = VALIDATORS.items()
+    result = F.when(type_name == first[0], first[1](value))
+    for name, check in others:
+        result = result.when(type_name == name, check(value))
     return result
 
 

@@ -12,8 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from textscan.sources.files import spread
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+#: Orders that a task makes values of and checks.
+ORDERS_PER_TASK = 50_000
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, most_rows: int | None = None) -> DataFrame:
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), most_rows)
 
 
 def _s(expression: str) -> str:
@@ -235,7 +239,7 @@ ORDER_VALUES = {
 
 def order_values(spark: SparkSession, sf_dir: str, name: str, *more: str) -> DataFrame:
     columns = [f"{ORDER_VALUES[m]} AS {m}" for m in more]
-    return table(spark, sf_dir, "orders").selectExpr(f"{K} AS id", f"{ORDER_VALUES[name]} AS value", *columns)
+    return table(spark, sf_dir, "orders", ORDERS_PER_TASK).selectExpr(f"{K} AS id", f"{ORDER_VALUES[name]} AS value", *columns)
 
 
 def order_values_sql(name: str, *more: str) -> str:

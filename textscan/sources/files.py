@@ -48,14 +48,19 @@ MAGIC_TYPES = {
 # ------------------------------------------------------------------------------
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, most_rows: int | None = None) -> DataFrame:
     """Spread a scan that yields fewer tasks than there are cores.
 
     A small file is one task however costly its rows are.  A big table has more
     splits than cores and is returned as it is, so nothing large is shuffled.
     Several tasks per core even out rows of very different length.
+
+    With ``most_rows``, for small rows with much work on each, a task gets that many rows, however large the table and
+    its row groups, which a scan cannot split.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if most_rows is not None:
+        return df.repartition(max(4 * cores, -(-df.count() // most_rows)))
     return df.repartition(4 * cores) if df.rdd.getNumPartitions() < cores else df
 
 
