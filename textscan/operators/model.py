@@ -153,7 +153,8 @@ def train_and_predict(df: DataFrame, trees: int = 100, seed: int = 42, depth: in
     train, test = (kept(part) for part in df.select("text", "label").randomSplit([0.8, 0.2], seed))
     known = vocabulary(train)
     size = known.count()
-    model = forest(trees, seed, depth).fit(features(train, "text", known, size))
+    # the forest reads its rows several times before it keeps them, so the vectors are built once
+    model = forest(trees, seed, depth).fit(kept(features(train, "text", known, size)))
     labels = next(s.labels for s in model.stages if hasattr(s, "labels"))
     names = F.array(*map(F.lit, labels))
     return model.transform(features(test, "text", known, size)).select(
