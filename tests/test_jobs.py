@@ -103,3 +103,26 @@ def test_classifier(spark):
 def test_character_counts(spark):
     df = spark.createDataFrame([("a1 é²!\n",)], "t string")
     assert df.select(model.character_counts(F.col("t"))).first()[0] == [1, 2, 2, 1]
+
+
+def test_vectors_by_broadcast_equal_those_by_join(spark, monkeypatch):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["abab", "Abc", "", "b" * 40, "xyz abc", None])], "i int, t string")
+    known = model.vocabulary(df.limit(5), "t", 3)
+
+    def found():
+        out = model.vectors(df, "t", known, 3)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        return plan, sorted((r["i"], r["indices"], [round(v, 9) for v in r["values"]]) for r in out.select("i", "indices", "values").collect())
+
+    plan, small = found()
+    assert "SortMergeJoin [kind" not in plan and "hashpartitioning(kind" not in plan  # pairs stay where their rows are
+    monkeypatch.setattr(model, "MOST_BYTES", 0)
+    assert found()[1] == small and len(small) == 6 and small[5][1] == []
+
+
+def test_the_forest_reads_vectors_that_are_built_once(spark, monkeypatch):
+    seen, kept = [], model.kept
+    monkeypatch.setattr(model, "kept", lambda df: seen.append(df.columns) or kept(df))
+    samples = model.character_samples(spark, per_class=5)
+    assert model.train_and_predict(samples, trees=2, depth=2).count() > 0
+    assert any("features" in columns for columns in seen)

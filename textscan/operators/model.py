@@ -11,9 +11,13 @@ from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textscan.functions.dictionary import MOST_BYTES
 from textscan.operators.joins import spread_join
 from textscan.operators.ordered import kept, running
 
+#: Rows whose n-grams one task counts, and bytes of the numbers beside a feature of a vocabulary.
+ROWS_PER_TASK, _NUMBER_BYTES = 20_000, 28
+
 _LETTERS = string.ascii_lowercase + string.ascii_uppercase
 # --- Fixed values: the characters of each class -----------------------------------
 _PUNCTUATION = "!@#$%^&*()_+=-{}[]|;:'\\\",.<>?/`~"
@@ -106,12 +110,19 @@ def vectors(df: DataFrame, text: str, known: DataFrame, longest: int = 5) -> Dat
     """``df`` with ``indices`` and ``values``: the sparse vector of each text over a ``vocabulary``.  N-grams count times their
     weight, scaled to length 1 together; positions count 1; what the vocabulary doesn't have is left out.
 
-    Rows are numbered and written; only (row, feature) pairs meet the vocabulary, frequent features in several tasks."""
-    base = kept(df.withColumn("__row", F.monotonically_increasing_id()))
+    Rows are numbered, written and dealt out by number.  A vocabulary of at most ``MOST_BYTES`` is broadcast to them, so that no
+    (row, feature) pair is shuffled; a larger one is met by the pairs, by frequent features in several tasks."""
+    numbered = kept(df.withColumn("__row", F.monotonically_increasing_id()))
+    tasks = max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-numbered.count() // ROWS_PER_TASK))
+    base = numbered.repartition(tasks, "__row")
     both = F.array(F.struct(F.lit(0).alias("kind"), _grams(F.col(text), longest).alias("found")), F.struct(F.lit(1).alias("kind"), _positions(F.col(text)).alias("found")))
     each = base.select("__row", F.inline(both)).select("__row", "kind", F.explode("found").alias("feature"))
     counted = each.groupBy("__row", "kind", "feature").agg(F.count(F.lit(1)).alias("times"))
-    met = spread_join(counted, known, ["kind", "feature"], "n", F.xxhash64("__row"))
+    size = known.agg(F.sum(F.octet_length("feature") + _NUMBER_BYTES)).first()[0] or 0
+    if size <= MOST_BYTES:
+        met = counted.join(F.broadcast(known), ["kind", "feature"])
+    else:
+        met = spread_join(counted, known, ["kind", "feature"], "n", F.xxhash64("__row"))
     weighted = met.select("__row", "kind", F.col("index").cast("int").alias("index"), (F.col("times") * F.col("weight")).alias("value"))
     lengths = F.sqrt(F.sum(F.when(F.col("kind") == 0, F.col("value") * F.col("value"))))
     entries = F.array_sort(F.collect_list(F.struct("index", "kind", "value")))
