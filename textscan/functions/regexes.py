@@ -158,7 +158,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def sanitize(text: Column) -> Column:
     """Drop unprintable characters (line ends and tabs included), then collapse
     runs of blanks."""
-    return F.regexp_replace(F.regexp_replace(text, r"[\p{C}\p{Z}&&[^ ]]+", ""), " {2,}", " ")
+    return F.regexp_replace(F.regexp_replace(text, r"(?=[^ -~])[\p{C}\p{Z}&&[^ ]]+", ""), " {2,}", " ")
 
 
 def running(
@@ -249,14 +249,18 @@ def with_triggers(text: Column, patterns: Sequence[Pattern], body: Callable[[Seq
     return let(F.array_intersect(words, F.array(*map(F.lit, known))), with_words)
 
 
-def marked(text: Column, pattern: Pattern, trigger: Column | None = None) -> Column:
-    """The text with a mark before and after every match, by one regex pass; null
-    if nothing matches, so that no copy of a text without a match is kept.  ``trigger``
-    tells whether the pattern may match; without it, the pattern's gate does."""
+def replaced(text: Column, pattern: Pattern) -> Column:
+    """The text with a mark before and after every match, by one regex pass or the pattern's steps."""
     hit = text
     for regex, replacement in pattern.steps or [(pattern.jvm or pattern.regex, f"{START_MARK}$0{END_MARK}")]:
         hit = F.regexp_replace(hit, F.lit(to_jvm(regex, known=pattern.group != "custom")), F.lit(replacement))
-    kept = let(hit, lambda m: F.when(F.contains(m, F.lit(START_MARK)), m))
+    return hit
+
+
+def marked(text: Column, pattern: Pattern, trigger: Column | None = None) -> Column:
+    """The text with its matches marked; null if nothing matches, so that no copy of a text without a match is kept.
+    ``trigger`` tells whether the pattern may match; without it, the pattern's gate does."""
+    kept = let(replaced(text, pattern), lambda m: F.when(F.contains(m, F.lit(START_MARK)), m))
     if trigger is None and pattern.gate is not None:
         trigger = _passes(text, pattern.gate)
     return kept if trigger is None else F.when(trigger, kept)
@@ -314,4 +318,6 @@ def joined_values(marked_text: Column) -> Column:
             F.slice(pieces, F.lit(2), F.size(pieces) - 1), lambda p: F.substring_index(p, END_MARK, 1)
         )
 
-    return _pieces(F.replace(marked_text, F.lit(END_MARK + START_MARK), F.lit("")), read, "array<string>")
+    # computed once: whether it is null and its pieces are two uses of it
+    joined = F.replace(marked_text, F.lit(END_MARK + START_MARK), F.lit(""))
+    return let(joined, lambda m: _pieces(m, read, "array<string>"))

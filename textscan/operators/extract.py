@@ -6,13 +6,14 @@ needed to extract entities, whatever the number of labels.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textscan.catalog import PATTERNS, Pattern, label_names, select_patterns, split_valid
+from textscan.functions.pieces import MANY, in_pieces, marked_pieces
 from textscan.functions.regexes import (
     joined_values,
     let,
@@ -26,7 +27,7 @@ from textscan.functions.regexes import (
     with_triggers,
 )
 
-_TEXT = "__text"
+_TEXT, _CUT = "__text", "__cut"
 
 #: Labels with a pattern of which a match can hold a full stop and white space behind it, so that its length has no bound and
 #: a long text is searched for it as a whole.
@@ -46,6 +47,19 @@ def _by_label(labels, patterns: Iterable[Pattern]) -> dict[str, tuple[Pattern, .
 # --- Column level -----------------------------------------------------------
 
 
+def _with_marks(
+    base: Column,
+    chosen: Sequence[Pattern],
+    cut: Column | None,
+    body: Callable[[dict[Pattern, Column]], Column],
+    values_only: Sequence[Pattern] = (),
+) -> Column:
+    """``body`` of the marked text of each pattern."""
+    if cut is not None:
+        return body(marked_pieces(base, cut, chosen, values_only))
+    return with_triggers(base, chosen, lambda may: body({p: marked(base, p, t) for p, t in zip(chosen, may, strict=True)}))
+
+
 def _marked_array(text: Column, patterns: Sequence[Pattern], sanitized: bool) -> Column:
     """array<struct<ordinal, marked>>: one regex pass per pattern.  What follows
     is written once, over this array, so that the plan stays small however many
@@ -146,9 +160,10 @@ def entities(
     mode: str = "concat",
     sanitized: bool = True,
     patterns: Iterable[Pattern] = PATTERNS,
+    cut: Column | None = None,
 ) -> Column:
     """The labels found in a (sanitized) text with their final values, as
-    array<struct<label, values>> ordered by label."""
+    array<struct<label, values>> ordered by label.  ``cut`` is the text ``in_pieces``, if it was cut up."""
     by_label = _by_label(labels, patterns)
     # A label with one pattern needs no offsets: its matches cannot overlap.
     single = {label: ps for label, ps in by_label.items() if len(ps) == 1 and sanitized}
@@ -157,12 +172,12 @@ def entities(
     def final(values: Column, label: Column) -> Column:
         return F.struct(label.alias("label"), clean_values(values, label).alias("values"))
 
-    def found(may: dict[Pattern, Column]) -> Column:
+    def found(marks: dict[Pattern, Column]) -> Column:
         parts = []
         if single:
             values = F.array(
                 *[
-                    F.struct(F.lit(label).alias("label"), joined_values(marked(base, ps[0], may[ps[0]])).alias("values"))
+                    F.struct(F.lit(label).alias("label"), joined_values(marks[ps[0]]).alias("values"))
                     for label, ps in single.items()
                 ]
             )
@@ -173,7 +188,7 @@ def entities(
                     F.struct(
                         F.lit(label).alias("label"),
                         F.array(
-                            *[F.struct(F.lit(p.ordinal).alias("ordinal"), marked(base, p, may[p]).alias("marked")) for p in ps]
+                            *[F.struct(F.lit(p.ordinal).alias("ordinal"), marks[p].alias("marked")) for p in ps]
                         ).alias("patterns"),
                     )
                     for label, ps in several.items()
@@ -188,8 +203,7 @@ def entities(
     if not by_label:
         return F.array().cast("array<struct<label:string,values:array<string>>>")
     base = markable(text, sanitized)
-    chosen = [p for ps in by_label.values() for p in ps]
-    return with_triggers(base, chosen, lambda may: found(dict(zip(chosen, may, strict=True))))
+    return _with_marks(base, [p for ps in by_label.values() for p in ps], cut, found, [ps[0] for ps in single.values()])
 
 
 def has_entity(text: Column, labels: str | Sequence[str], patterns: Iterable[Pattern] = PATTERNS) -> Column:
@@ -252,6 +266,23 @@ def _prepared(df: DataFrame, text: str, keep: list[str], sanitized: bool) -> Dat
     return df.select(*keep, source.alias(_TEXT))
 
 
+def _cut(prepared: DataFrame, chosen: Sequence[Pattern], sanitized: bool) -> tuple[DataFrame, Column | None]:
+    """The prepared texts with their pieces, if the patterns are many."""
+    if len(chosen) < MANY:
+        return prepared, None
+    return prepared.withColumn(_CUT, in_pieces(markable(F.col(_TEXT), sanitized), chosen)), F.col(_CUT)
+
+
+def _entities(
+    df: DataFrame, text: str, keep: list[str], labels, mode: str = "concat", sanitized: bool = True, patterns: Iterable[Pattern] = PATTERNS
+) -> tuple[DataFrame, Column]:
+    """The prepared texts, and their ``entities``."""
+    patterns = tuple(patterns)
+    chosen = [p for ps in _by_label(labels, patterns).values() for p in ps]
+    prepared, cut = _cut(_prepared(df, text, keep, sanitized), chosen, sanitized)
+    return prepared, entities(F.col(_TEXT), labels, mode, sanitized, patterns, cut)
+
+
 def extract(
     df: DataFrame,
     text: str,
@@ -267,12 +298,12 @@ def extract(
     keep = _columns(keep)
     if stretch is not None:
         return _extract_long(df, text, keep, labels, mode=stitch, sanitized=sanitized, patterns=patterns, stretch=stretch)
-    found = entities(F.col(_TEXT), labels, stitch, sanitized, patterns)
+    prepared, found = _entities(df, text, keep, labels, stitch, sanitized, patterns)
     pairs = F.transform(
         found,
         lambda e: F.transform(e["values"], lambda v: F.struct(e["label"].alias("label"), v.alias("value"))),
     )
-    return _prepared(df, text, keep, sanitized).select(*keep, F.inline(F.flatten(pairs)))
+    return prepared.select(*keep, F.inline(F.flatten(pairs)))
 
 
 def _extract_long(df: DataFrame, text: str, keep: list[str], labels, mode: str, sanitized: bool, patterns, stretch: int) -> DataFrame:
@@ -290,8 +321,8 @@ def _extract_long(df: DataFrame, text: str, keep: list[str], labels, mode: str,
 def extract_map(df: DataFrame, text: str, keep: str | Sequence[str], labels=None, **options) -> DataFrame:
     """One ``entities`` map per row, from the labels that matched to their values."""
     keep = _columns(keep)
-    prepared = _prepared(df, text, keep, options.get("sanitized", True))
-    return prepared.select(*keep, F.map_from_entries(entities(F.col(_TEXT), labels, **options)).alias("entities"))
+    prepared, found = _entities(df, text, keep, labels, **options)
+    return prepared.select(*keep, F.map_from_entries(found).alias("entities"))
 
 
 def extract_wide(df: DataFrame, text: str, keep: str | Sequence[str], labels=None, **options) -> DataFrame:
@@ -329,13 +360,15 @@ def _matches_of(prepared: DataFrame, keep: list[str], valid: Sequence[Pattern],
     base = markable(F.col(_TEXT), sanitized)
     original = None if sanitized else F.col(_TEXT)
     at = F.lit(0) if offset is None else offset
-    texts = with_triggers(
+    prepared, cut = _cut(prepared, valid, sanitized)
+    texts = _with_marks(
         base,
         valid,
-        lambda may: F.array(
+        cut,
+        lambda marks: F.array(
             *[
-                F.struct(F.lit(p.label).alias("label"), F.lit(p.ordinal).alias("ordinal"), marked(base, p, t).alias("marked"))
-                for p, t in zip(valid, may, strict=True)
+                F.struct(F.lit(p.label).alias("label"), F.lit(p.ordinal).alias("ordinal"), marks[p].alias("marked"))
+                for p in valid
             ]
         ),
     )
@@ -419,13 +452,13 @@ def entity_profile(
     values they hold.  Counts are taken inside each row and added up, so no
     distinct count and no explode of values is needed."""
     by = _columns(by)
+    prepared, found = _entities(df, text, by, labels, patterns=patterns)
     counts = F.transform(
-        entities(F.col(_TEXT), labels, patterns=patterns),
+        found,
         lambda e: F.struct(e["label"].alias("label"), F.size(e["values"]).alias("n")),
     )
     return (
-        _prepared(df, text, by, True)
-        .select(*by, F.inline(counts))
+        prepared.select(*by, F.inline(counts))
         .groupBy(*by, "label")
         .agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("values"))
     )
