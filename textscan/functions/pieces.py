@@ -67,8 +67,10 @@ _TESTS = {
     "analyze": (None, None, None, None, r"(?:[A-Za-z0-9]{2}[,:|.-](?:[A-Za-z0-9]{2})?){4}"),
     "unix_path": r"(?:^|[ \t\n])/[a-zA-Z0-9_.-]",
 }
-#: Patterns (label and number) that may go over a full stop and a blank; their texts are searched as a whole.
-_WHOLE = {("reporting_statement", 0), ("quoted_text", 0), ("action_context", 0), ("ipv6", 2)}
+#: Patterns (label and number) that may go over a full stop and a blank.  Those of the first kind begin in the piece that has what
+#: their test looks for, so texts are searched from there on; the other is searched for in the text as a whole.
+_ONWARD = {("reporting_statement", 0), ("quoted_text", 0), ("action_context", 0)}
+_WHOLE = {("ipv6", 2)}
 _FOLDS = {"i": "[iıİ]"}  # the JVM takes these for equal; RE2 knows the others (s, k)
 #: Labels that have a digit in every match: their tests run on the pieces with a digit.
 _WITH_DIGIT = ("number_context", "phone_number", "datetime", "date", "time", "ipv4")
@@ -84,14 +86,15 @@ def _any_word(words: Sequence[str]) -> str:
     return f"(?:^|{_NO_WORD})(?i:{spelled})(?:$|{_NO_WORD})"
 
 
-def _tests(patterns: Sequence[Pattern]) -> list[tuple[str | None, str | None, bool]]:
-    """Per pattern: a test that several share, its own test and whether it is searched for in the whole text."""
+def _tests(patterns: Sequence[Pattern]) -> list[tuple[str | None, str | None, str]]:
+    """Per pattern: a test that several share, its own test and what is searched: the "pieces" that pass, the text from the first of
+    them "onward", or the "whole" text."""
     some_word = _any_word(sorted({w for p in patterns for w in p.words}))
     numbers = {p: sum(q.label == p.label for q in PATTERNS[:i]) for i, p in enumerate(PATTERNS)}
     out = []
     for p in patterns:
         if p not in numbers:  # not of the catalog
-            out.append((None, None, True))
+            out.append((None, None, "whole"))
             continue
         own = _TESTS.get(p.label)
         own = own[numbers[p]] if isinstance(own, tuple) else own
@@ -100,11 +103,12 @@ def _tests(patterns: Sequence[Pattern]) -> list[tuple[str | None, str | None, bo
             shared, own = some_word, _any_word(p.words)
         elif own is None and p.gate is not None:
             own = _wide(p.gate)
-        out.append((shared, own, (p.label, numbers[p]) in _WHOLE))
+        key = (p.label, numbers[p])
+        out.append((shared, own, "whole" if key in _WHOLE else "onward" if key in _ONWARD else "pieces"))
     return out
 
 
-def cutter(tests: Sequence[tuple[str | None, str | None, bool]]) -> Callable[[pa.Array], pa.Array]:
+def cutter(tests: Sequence[tuple[str | None, str | None, str]]) -> Callable[[pa.Array], pa.Array]:
     """A function from texts to struct<mask0.., pieces: array<struct<text, mask0..>>>; bit i of the masks says that pattern i may
     match.  A piece ends behind a full stop with white space after it; neighbours with the same masks are one piece.  It goes
     to the tasks with all that it calls, so they need not find this package."""
@@ -132,10 +136,10 @@ def cutter(tests: Sequence[tuple[str | None, str | None, bool]]) -> Callable[[pa
         shared = {s: holding(pieces, s) for s in {s for s, _, _ in tests} if s is not None}
         fewer = {s: pieces.take(pa.array(at)) for s, at in shared.items()}
         known = {}
-        for (k, bit), (prior, test, whole) in zip(bits, tests, strict=True):
+        for (k, bit), (prior, test, searched) in zip(bits, tests, strict=True):
             if test is None:
-                (of_row if whole else of_piece)[k] |= bit
-            elif whole:
+                (of_row if searched == "whole" else of_piece)[k] |= bit
+            elif searched == "whole":
                 of_row[k, holding(texts, test)] |= bit
             else:
                 if (prior, test) not in known:
@@ -167,17 +171,26 @@ def marked_pieces(text: Column, cut: Column, patterns: Sequence[Pattern], values
     """``marked`` of the text for each pattern; only the pieces that may hold a match are searched.  For ``values_only``, a blank
     stands for each other piece, so that matches that touch still do, but offsets are lost."""
 
-    def of_pattern(i: int, p: Pattern, whole: bool) -> Column:
+    def joined(pieces: Column) -> Column:
+        return F.array_join(F.transform(pieces, lambda x: x["text"]), "")
+
+    def of_pattern(i: int, p: Pattern, searched: str) -> Column:
         def may(x: Column) -> Column:
             return x[f"mask{i // _BITS}"].bitwiseAND(F.lit(1 << i % _BITS).cast("bigint")) != 0
 
         def rest(x: Column) -> Column:
             return F.lit(" ") if p in values_only else x["text"]
 
-        if whole:
+        def onward(first: Column) -> Column:
+            head, tail = F.slice(cut["pieces"], F.lit(1), first - 1), F.slice(cut["pieces"], first, F.size(cut["pieces"]))
+            return F.concat(joined(head), replaced(joined(tail), p))
+
+        if searched == "whole":
             return marked(text, p, may(cut))
-        searched = F.transform(cut["pieces"], lambda x: F.when(may(x), replaced(x["text"], p)).otherwise(rest(x)))
-        kept = let(F.array_join(searched, ""), lambda m: F.when(F.contains(m, F.lit(START_MARK)), m))
-        return F.when(may(cut), kept)
+        if searched == "onward":
+            hit = let(F.array_position(F.transform(cut["pieces"], may), True).cast("int"), onward)
+        else:
+            hit = F.array_join(F.transform(cut["pieces"], lambda x: F.when(may(x), replaced(x["text"], p)).otherwise(rest(x))), "")
+        return F.when(may(cut), let(hit, lambda m: F.when(F.contains(m, F.lit(START_MARK)), m)))
 
-    return {p: of_pattern(i, p, whole) for i, (p, (_, _, whole)) in enumerate(zip(patterns, _tests(patterns), strict=True))}
+    return {p: of_pattern(i, p, searched) for i, (p, (_, _, searched)) in enumerate(zip(patterns, _tests(patterns), strict=True))}
